@@ -56,3 +56,9 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: s
     inside = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
     out = parts.join(F.broadcast(offsets), "__pid")  # a row for each partition
     return out.select(*df.columns, *((F.col(f"__o_{k}") + F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0))).alias(k) for k in sums))
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with k1, k2: two hashes of the text. Equal texts share a key and all that is found about it, whatever their ids."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"k1": F.xxhash64(t), "k2": F.xxhash64(F.lit("second"), t)})
