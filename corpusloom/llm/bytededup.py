@@ -10,8 +10,9 @@ the positions are anchors. An anchor stands for the windows whose smallest hash
 Pass 1: the GRAM bytes at the anchor. Groups of one are settled.
 Pass 2: all bytes under the anchor's windows, with the anchor's place in them. Members that agree are one class; in a class of
 two or more, all windows are repeated.
-Pass 3: one member of each class whose group has several classes: each of its windows, all WINDOW bytes. Windows that two
-classes share are repeated.
+Pass 3: one member of each class whose group has several classes. Its windows that begin HALF bytes or more before the anchor
+hold the same HALF + GRAM bytes, and so do the others; a half whose bytes no other class has is settled.
+Pass 4: the windows of the halves that are left, all WINDOW bytes. Windows that two classes share are repeated.
 
 Hashes are two independent 64-bit polynomials. No list of a group is ever built: groups are counted by partial aggregation, and
 a class sends one member to the last pass, so a passage with thousands of copies costs as much as one with two.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import keyed, materialize, table
 
-WINDOW, GRAM = 200, 56
+WINDOW, GRAM = 200, 32
+HALF = (WINDOW - GRAM) // 2
 #: Bytes of a text that are hashed at once; positions inside such a part must fit into 24 bits.
 PART = 1 << 22
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -85,7 +87,8 @@ def _parts(n: int, window: int) -> Iterator[tuple[int, int]]:
 
 
 def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> list[tuple[np.ndarray, ...]]:
-    """For each part: anchor positions, first and last start of the windows they stand for, and the two digits' hashes."""
+    """For each part: anchor positions, first and last start of the windows they stand for, the two digits' hashes, and 32 bits of
+    each half's hash."""
     out = []
     if len(data) < window:
         return out
@@ -103,31 +106,38 @@ def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> list[tu
         last = np.concatenate((first[1:], [len(anchor)])) - 1
         a = anchor[first]
         place = ((a - first) * 1024 + (last - first)).astype(np.uint64)
-        out.append((a + at, first + at, last + at, g[a].view(np.int64), _mix(h.of(1, first, last + window) + place).view(np.int64)))
+        half = (window - gram) // 2
+        left, right = np.zeros((2, len(a)), np.uint64)
+        some = first <= a - half
+        left[some] = h.of(0, a[some] - half, a[some] + gram) >> np.uint64(32)
+        some = last > a - half
+        right[some] = h.of(0, a[some], a[some] + gram + half) >> np.uint64(32)
+        halves = (left << np.uint64(32) | right).view(np.int64)
+        out.append((a + at, first + at, last + at, g[a].view(np.int64), _mix(h.of(1, first, last + window) + place).view(np.int64), halves))
     return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["k1", "k2", "first", "last", "g", "r"]
+    names = ["k1", "k2", "first", "last", "a", "g", "r", "halves"]
     for batch in batches:
         k1, k2, texts = batch.columns
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row, first, last, g, r = (np.concatenate(c) for c in cols)
+            row, *rest = (np.concatenate(c) for c in cols)
             at = pa.array(row)
-            return pa.RecordBatch.from_arrays([k1.take(at), k2.take(at), pa.array(first), pa.array(last), pa.array(g), pa.array(r)], names)
+            return pa.RecordBatch.from_arrays([k1.take(at), k2.take(at), *map(pa.array, rest)], names)
 
         for i in range(len(texts)):
             t = texts[i].as_py()
-            for _, first, last, g, r in anchors(np.frombuffer((t or "").encode("utf-8"), np.uint8)):
-                for c, v in zip(cols, (np.full(len(first), i), first.astype(np.int32), last.astype(np.int32), g, r)):
+            for a, first, last, *hashes in anchors(np.frombuffer((t or "").encode("utf-8"), np.uint8)):
+                for c, v in zip(cols, (np.full(len(a), i), *(x.astype(np.int32) for x in (first, last, a)), *hashes)):
                     c.append(v)
-                size += len(first)
+                size += len(a)
             if size > 1 << 17:
                 yield flush()
-                cols, size = [[], [], [], [], []], 0
+                cols, size = [[] for _ in range(7)], 0
         if size:
             yield flush()
 
@@ -175,23 +185,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(k1, k2, first, stop): byte ranges of each text (columns k1, k2, k3, text) that repeated windows cover; they may overlap."""
-    rows = materialize(texts.select("k1", "k2", "text").mapInArrow(_rows, "k1 long, k2 long, first int, last int, g long, r long"), "anchors")
-    classes = rows.groupBy("g", "r").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("k1", "k2", "first", "last")).alias("one"))
-    groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.sum("members").alias("total")).filter("total > 1")
-    open_ = materialize(classes.join(groups.select("g", "classes"), "g"), "classes")
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(k1, k2, first, stop): byte ranges of each text that repeated windows cover; they may overlap.
+
+    rows: (doc_id, text, k1, k2). Equal texts share a key, and one of them is read for all.
+    """
+    texts = rows.filter(F.octet_length("text") >= WINDOW)
+    at = materialize(texts.select("k1", "k2", "text").mapInArrow(_rows, "k1 long, k2 long, first int, last int, a int, g long, r long, halves long"), "anchors")
+    classes = at.groupBy("g", "r").agg(F.count(F.lit(1)).alias("members"))
+    groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.sum("members").alias("total")).filter("total > 1").drop("total")
+    open_ = classes.join(groups, "g").filter("members > 1 or classes > 1")
+    members = materialize(at.join(open_, ["g", "r"]), "open")
     # pass 2: every member of a class of two or more
-    several = open_.filter("members > 1").select("g", "r")
-    spans = rows.join(several, ["g", "r"]).select("k1", "k2", F.col("first"), (F.col("last") + WINDOW).alias("stop"))
-    # pass 3: one member of each class, window by window
-    ones = open_.filter("classes > 1").select("one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    # of equal texts one is read: k3 also spreads the copies over the tasks
-    ones = texts.groupBy("k1", "k2").agg(F.min("k3").alias("k3")).join(ones, ["k1", "k2"])
-    with_text = texts.join(ones, ["k1", "k2", "k3"]).select("k1", "k2", "text", "ranges")
-    windows = materialize(with_text.mapInArrow(_windows, "k1 long, k2 long, first int, w1 long, w2 long"), "windows")
-    place = F.struct("k1", "k2", "first")
-    again = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w1", "w2")
+    spans = members.filter("members > 1").select("k1", "k2", "first", (F.col("last") + WINDOW).alias("stop"))
+    # pass 3: one member of each class, in halves
+    names = ["k1", "k2", "first", "last", "a", "halves"]
+    ones = members.filter("classes > 1").groupBy("g", "r").agg(F.min(F.struct(*names)).alias("m")).select("g", "m.*")
+    low = F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("halves", 32).alias("h"), F.col("first").alias("s0"), F.least(F.col("last"), F.col("a") - HALF).alias("s1"))
+    high = F.struct(F.lit(1).alias("side"), F.col("halves").bitwiseAND(F.lit((1 << 32) - 1).cast("long")).alias("h"), F.greatest(F.col("first"), F.col("a") - HALF + 1).alias("s0"), F.col("last").alias("s1"))
+    halves = materialize(ones.select("g", "k1", "k2", F.explode(F.array(low, high)).alias("x")).select("g", "k1", "k2", "x.*").filter("s0 <= s1"), "halves")
+    shared = halves.groupBy("g", "side", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    wanted = halves.join(shared, ["g", "side", "h"]).groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("s0").alias("first"), F.col("s1").alias("last"))).alias("ranges"))
+    one_text = texts.groupBy("k1", "k2").agg(F.min(F.xxhash64("doc_id")).alias("k3"))
+    wanted = materialize(one_text.join(wanted, ["k1", "k2"]), "wanted").alias("w")
+    # pass 4. The difference keeps the id out of the join's key, so that this exchange of texts is also that of the last join
+    r = rows.alias("r")
+    with_text = r.join(wanted, (F.col("r.k1") == F.col("w.k1")) & (F.col("r.k2") == F.col("w.k2")) & (F.xxhash64("r.doc_id").bitwiseXOR(F.col("w.k3")) == 0)).select("r.k1", "r.k2", "text", "ranges")
+    windows = with_text.mapInArrow(_windows, "k1 long, k2 long, first int, w1 long, w2 long")
+    # a text that repeats as a row may be read twice here; all its windows are repeated anyway
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
     more = windows.join(again, ["w1", "w2"]).select("k1", "k2", "first", (F.col("first") + WINDOW).alias("stop"))
     return spans.unionByName(more)
 
@@ -203,8 +225,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bytes lose nothing. Empty tables give no rows.
     """
     rows = keyed(docs.select("doc_id", "text"))
-    texts = rows.filter(F.octet_length("text") >= WINDOW).select("k1", "k2", F.xxhash64("doc_id").alias("k3"), "text")
-    spans = repeated_spans(texts).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
+    spans = repeated_spans(rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
     out = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     return out.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
