@@ -15,14 +15,14 @@ from corpusloom.llm.common import WORD, WS, table, words
 
 WINDOW = 8
 #: Rules in the order of their bits; each is true where the document fails.
-RULES: dict[str, Column] = {
-    "too_short": F.expr("n_words < 20"),
-    "repeated_words": F.expr("100 * n_repeat_words > 30 * n_words"),
-    "symbols": F.expr("10 * n_symbols > n_words"),
-    "duplicate_lines": F.expr("2 * n_dup_lines > n_lines"),
-    "few_distinct_words": F.expr("100 * n_distinct_words < 20 * n_words"),
-    "upper_case": F.expr("2 * n_upper > word_chars"),
-    "word_length": F.expr("word_chars < 2 * n_words or word_chars > 15 * n_words"),
+RULES: dict[str, str] = {
+    "too_short": "n_words < 20",
+    "repeated_words": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "duplicate_lines": "2 * n_dup_lines > n_lines",
+    "few_distinct_words": "100 * n_distinct_words < 20 * n_words",
+    "upper_case": "2 * n_upper > word_chars",
+    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
 }
 #: Fixed versions of policies.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -64,7 +64,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and fail_bits (long): bit k is set where the k-th rule of RULES fails."""
-    bits = [F.when(F.coalesce(rule, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
+    bits = [F.when(F.coalesce(F.expr(rule), F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
     return measure(docs, text).withColumn("fail_bits", sum(bits[1:], bits[0]))
 
 
