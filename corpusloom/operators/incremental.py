@@ -81,3 +81,22 @@ def access_policy(log: DataFrame) -> DataFrame:
 
 def merge_grants(grants: DataFrame) -> DataFrame:
     return grants.groupBy("path").agg(F.bool_or("writable").alias("writable"), F.min("pos").alias("pos"))
+
+
+def required_access(task_paths: DataFrame) -> DataFrame:
+    """(path, writable): the directories that a playlist must reach. A glob needs its literal prefix, a read its own path; what
+    is made, moved or edited needs the directory above it, writable."""
+    base = P.literal_prefix(F.col("path"))
+    whole = base == F.col("path")
+    writes = F.col("role") != "input"
+    rows = task_paths.select(F.when(writes & whole, P.dirname(F.col("path"))).otherwise(base).alias("path"), writes.alias("writable")).filter("path <> ''").distinct()
+    write = minimal_cover(rows.filter("writable"))
+    read = covered(minimal_cover(rows.filter("not writable")), write, anti=True)
+    return write.withColumn("writable", F.lit(True)).unionByName(read.withColumn("writable", F.lit(False)))
+
+
+def violations(lines: DataFrame) -> DataFrame:
+    """(pid, operation, path) of the log lines (value) that deny a file operation: `... (pid) deny(n) operation /path`."""
+    pattern = r"\((\d+)\) deny\(\d+\) ([a-z*-]+) (/.*)$"
+    part = lambda i: F.regexp_extract("value", pattern, i)
+    return lines.filter(F.col("value").rlike(pattern)).select(part(1).cast("long").alias("pid"), part(2).alias("operation"), part(3).alias("path")).filter("operation like 'file-%'")

@@ -175,3 +175,18 @@ def resolve_links(links: DataFrame, most: int = 64) -> DataFrame:
     for d in done:
         out = out.unionByName(d)
     return out
+
+
+def dirty(edge: DataFrame, changed: DataFrame, most: int = 100_000) -> DataFrame:
+    """(task_id, distance): the changed tasks (distance 0) and all that wait for one of them, by the shortest chain. What of
+    these runs for nothing, because its inputs come out the same, is known only from hashes (incremental.up_to_date)."""
+    shared_dir(edge.sparkSession)
+    e = edge.select("src", "dst").distinct().checkpoint()
+    seen = front = changed.select("task_id").distinct().withColumn("distance", F.lit(0)).checkpoint()
+    for k in range(1, most):
+        new = e.join(front, e["src"] == front["task_id"], "left_semi").select(F.col("dst").alias("task_id")).distinct().join(seen, "task_id", "left_anti").withColumn("distance", F.lit(k))
+        front = new.checkpoint()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen

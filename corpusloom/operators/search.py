@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import paths as P
+
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, line, text): lines from 1, without a trailing carriage return; a last empty line does not count."""
@@ -85,3 +87,41 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
         fresh = F.col("error").isNull()
         out = out.withColumn("__p", F.when(fresh, problem)).withColumn("text", F.when(fresh & F.col("__p").isNull(), done).otherwise(text)).withColumn("error", F.coalesce("error", "__p")).drop("__p")
     return out
+
+
+#: Media types by file name extension.
+MEDIA_TYPES = {
+    "c": "text/x-c", "cpp": "text/x-c++", "css": "text/css", "csv": "text/csv", "gif": "image/gif", "h": "text/x-c", "html": "text/html", "jpg": "image/jpeg",
+    "js": "text/javascript", "json": "application/json", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png", "py": "text/x-python", "sh": "application/x-sh",
+    "svg": "image/svg+xml", "txt": "text/plain", "xml": "application/xml", "yaml": "application/yaml", "zip": "application/zip",
+}
+
+
+def resources(files: DataFrame) -> DataFrame:
+    """(path, name, uri, mime) of each file; what no extension names is application/octet-stream."""
+    kinds = files.sparkSession.createDataFrame(list(MEDIA_TYPES.items()), "ext string, known string")
+    rows = files.select("path", P.basename(F.col("path")).alias("name"), P.file_uri(F.col("path")).alias("uri"), P.extension(F.col("path")).alias("ext"))
+    return rows.join(F.broadcast(kinds), "ext", "left").select("path", "name", "uri", F.coalesce("known", F.lit("application/octet-stream")).alias("mime"))
+
+
+def summarize(matches: DataFrame, most: int, skipped: int = 0) -> DataFrame:
+    """One row: files and lines that matched, those skipped, and whether the cap was reached."""
+    return matches.agg(F.count_distinct("path").alias("files"), F.count_if("is_match").alias("matches")).withColumns({"skipped": F.lit(skipped), "truncated": F.col("matches") >= most})
+
+
+def unified_diff(before: DataFrame, after: DataFrame, context: int = 3) -> DataFrame:
+    """(path, start, old_lines, new_lines, hunk) of each file that changed: one hunk, from the first line that differs to the
+    last, with context. Texts are split into arrays of lines; their common ends are found by higher-order functions."""
+    a, b = F.col("a"), F.col("b")
+    rows = before.select("path", F.split("text", "\n").alias("a")).join(after.select("path", F.split("text", "\n").alias("b")), "path").filter(~(a == b))
+    shorter = F.least(F.size(a), F.size(b))
+    same = lambda flags, x: F.when(flags["on"] & x, F.struct((flags["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(flags["n"].alias("n"), F.lit(False).alias("on")))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+    rows = rows.withColumn("head", F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), zero, same)["n"])
+    rows = rows.withColumn("tail", F.least(F.aggregate(F.zip_with(F.reverse(a), F.reverse(b), lambda x, y: x.eqNullSafe(y)), zero, same)["n"], shorter - F.col("head")))
+    first = F.greatest(F.col("head") - context, F.lit(0))
+    cut = lambda c, at, n: F.slice(c, (at + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int"))
+    mark = lambda c, sign: F.transform(c, lambda x: F.concat(F.lit(sign), x))
+    after_n = F.least(F.col("tail"), F.lit(context))
+    hunk = F.concat(mark(cut(a, first, F.col("head") - first), " "), mark(cut(a, F.col("head"), F.size(a) - F.col("head") - F.col("tail")), "-"), mark(cut(b, F.col("head"), F.size(b) - F.col("head") - F.col("tail")), "+"), mark(cut(a, F.size(a) - F.col("tail"), after_n), " "))
+    return rows.select("path", (first + 1).alias("start"), (F.size(a) - F.col("tail") + after_n - first).alias("old_lines"), (F.size(b) - F.col("tail") + after_n - first).alias("new_lines"), F.array_join(hunk, "\n").alias("hunk"))

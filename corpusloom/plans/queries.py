@@ -161,11 +161,34 @@ def action_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "action", F.coalesce(actions.typed_option(F.col("options"), "n", "bigint"), F.lit(-1)).alias("n"), F.coalesce(actions.typed_option(F.col("options"), "raw", "boolean"), F.lit(False)).alias("raw"), F.array_join("fields", ",").alias("fields"), "error")
 
 
-QUERIES = {f.__name__: f for f in (tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_unique, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream)}
+def file_resources(spark: SparkSession, d: str) -> DataFrame:
+    return search.resources(files(spark, d))
+
+
+def edit_preview(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d)
+    return search.unified_diff(f, search.apply_edits(f, [{"old": "License", "new": "Licence", "limit": 1}]))
+
+
+def dirty_tasks(spark: SparkSession, d: str) -> DataFrame:
+    paths = task_paths(spark, d).filter("path not like '/customer/%'")
+    return lineage.dirty(lineage.edges(paths), paths.filter("task_id % 1009 = 7").select("task_id"))
+
+
+def required_access(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.required_access(task_paths(spark, d).withColumn("path", F.lower("path")))
+
+
+QUERIES = {f.__name__: f for f in (tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_unique, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
 
 _HASH = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} = '' THEN '0' ELSE sha256({0}) END"
 _PAGE = r"p AS (SELECT page_id, rtrim(regexp_replace('/' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1), '/+', '/', 'g'), '/') AS path FROM pages)"
 ORACLE = {
+    "file_resources": f"WITH {FILES} SELECT path, name, 'file://' || path AS uri, 'text/plain' AS mime FROM f",
+    "dirty_tasks": f"""WITH RECURSIVE {TASKS}, g AS (SELECT DISTINCT b AS src, t AS dst FROM l WHERE b IN (SELECT o_orderkey FROM orders) AND b <> t),
+      w(task_id, distance) AS (SELECT t, 0 FROM (SELECT DISTINCT t FROM tp WHERE path NOT LIKE '/customer/%') WHERE t % 1009 = 7 UNION SELECT g.dst, w.distance + 1 FROM w JOIN g ON g.src = w.task_id) SELECT task_id, CAST(min(distance) AS INT) AS distance FROM w GROUP BY task_id""",
+    "required_access": f"""WITH {TASKS}, w AS (SELECT DISTINCT '/' || string_split(path, '/')[2] AS path FROM tp WHERE role <> 'input')
+      SELECT path, true AS writable FROM w UNION ALL SELECT DISTINCT path, false FROM tp WHERE role = 'input' AND '/' || string_split(path, '/')[2] NOT IN (SELECT path FROM w)""",
     "tree_fingerprint": f"WITH {FILES} SELECT source, count(*) AS n_files, sha256(string_agg({_HASH.format('text')}, '' ORDER BY reverse(path))) AS fingerprint FROM f WHERE lang = 'en' AND NOT regexp_matches(name, '^doc_[^/]*7\\.txt$') AND text IS NOT NULL GROUP BY source",
     "glob_select": f"""WITH {FILES} SELECT path, rel, size FROM f WHERE (lang = 'en' OR source LIKE 'src1_%' AND source <> 'src' OR starts_with(source, 'src1') OR name LIKE 'doc\\_%7.txt' ESCAPE '\\'
       OR source IN ('src2', 'src3') AND regexp_matches(lang, '^[de][ens]$') AND regexp_matches(name, '^doc_.[0-4].*\\.txt$') OR regexp_matches(rel, 'doc_\\d*99\\.'))

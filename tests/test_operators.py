@@ -136,3 +136,19 @@ def test_no_nested_loops(spark):
     for name in ("many_globs", "task_edges", "minimal_cover"):
         plan = queries.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_preview_resources_and_logs(spark):
+    a = spark.createDataFrame([("f", "\n".join("abcdefghij")), ("g", "same")], "path string, text string")
+    b = spark.createDataFrame([("f", "\n".join("abcdEFghij")), ("g", "same")], "path string, text string")
+    assert rows(search.unified_diff(a, b)) == [("f", 2, 8, 8, " b\n c\n d\n-e\n-f\n+E\n+F\n g\n h\n i")]
+    c = spark.createDataFrame([("f", "\n".join("abcdeefghij"))], "path string, text string")
+    assert rows(search.unified_diff(a, c)) == [("f", 3, 6, 7, " c\n d\n e\n+e\n f\n g\n h")]
+    got = search.resources(spark.createDataFrame([("/a b/x.PNG",), ("/n*o",)], "path string"))
+    assert rows(got) == [("/a b/x.PNG", "x.PNG", "file:///a%20b/x.PNG", "image/png"), ("/n*o", "n*o", "file:///n%2Ao", "application/octet-stream")]
+    log = spark.createDataFrame([("kernel: sh(12) deny(1) file-read-data /a/b",), ("x(3) deny(1) mach-lookup /q",), ("noise",)], "value string")
+    assert rows(incremental.violations(log)) == [(12, "file-read-data", "/a/b")]
+    tp = _paths(spark, (1, "input", "/r/s/*.c"), (1, "output", "/w/o/x"), (2, "mutating", "/w/**"), (3, "input", "/w/q"))
+    assert rows(incremental.required_access(tp)) == [("/r/s", False), ("/w", True)]
+    e = spark.createDataFrame([(0, 1), (1, 2), (3, 2), (2, 0)], "src long, dst long")
+    assert rows(lineage.dirty(e, spark.createDataFrame([(1,)], "task_id long"))) == [(0, 2), (1, 0), (2, 1)]
