@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keyed, materialize, table
+from corpusloom.llm.common import discard, keyed, materialize, table
 
 WINDOW, GRAM = 200, 32
 HALF = (WINDOW - GRAM) // 2
@@ -196,6 +196,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.sum("members").alias("total")).filter("total > 1").drop("total")
     open_ = classes.join(groups, "g").filter("members > 1 or classes > 1")
     members = materialize(at.join(open_, ["g", "r"]), "open")
+    discard(at)
     # pass 2: every member of a class of two or more
     spans = members.filter("members > 1").select("k1", "k2", "first", (F.col("last") + WINDOW).alias("stop"))
     # pass 3: one member of each class, in halves
@@ -207,14 +208,15 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     shared = halves.groupBy("g", "side", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     wanted = halves.join(shared, ["g", "side", "h"]).groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("s0").alias("first"), F.col("s1").alias("last"))).alias("ranges"))
     one_text = texts.groupBy("k1", "k2").agg(F.min(F.xxhash64("doc_id")).alias("k3"))
-    wanted = materialize(one_text.join(wanted, ["k1", "k2"]), "wanted").alias("w")
-    # pass 4. The difference keeps the id out of the join's key, so that this exchange of texts is also that of the last join
-    r = rows.alias("r")
-    with_text = r.join(wanted, (F.col("r.k1") == F.col("w.k1")) & (F.col("r.k2") == F.col("w.k2")) & (F.xxhash64("r.doc_id").bitwiseXOR(F.col("w.k3")) == 0)).select("r.k1", "r.k2", "text", "ranges")
+    # pass 4. Only the texts with windows that are still open move on; each of the steps below lets go of its shuffle files
+    by_id = texts.withColumn("k3", F.xxhash64("doc_id"))
+    with_text = materialize(by_id.join(one_text.join(wanted, ["k1", "k2"]), ["k1", "k2", "k3"]).select("k1", "k2", "text", "ranges"), "unsettled")
     windows = with_text.mapInArrow(_windows, "k1 long, k2 long, first int, w1 long, w2 long")
     # a text that repeats as a row may be read twice here; all its windows are repeated anyway
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    more = windows.join(again, ["w1", "w2"]).select("k1", "k2", "first", (F.col("first") + WINDOW).alias("stop"))
+    again = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"), "again")
+    more = materialize(windows.join(again, ["w1", "w2"]).select("k1", "k2", "first", (F.col("first") + WINDOW).alias("stop")), "more")
+    for done in (halves, with_text, again):
+        discard(done)
     return spans.unionByName(more)
 
 
