@@ -25,7 +25,7 @@ def matcher(text: Column, pattern: str, regex: bool = True, ignore_case: bool =
 
 def is_binary(content: Column) -> Column:
     """A NUL among the first 4096 bytes."""
-    return F.instr(F.hex(F.substring(content, 1, 4096)), "00") % 2 == 1
+    return F.decode(F.substring(content, 1, 4096), "ISO-8859-1").contains("\x00")
 
 
 def grep(files: DataFrame, pattern: str, regex: bool = True, ignore_case: bool = False, context: int = 0) -> DataFrame:
@@ -39,31 +39,83 @@ def grep(files: DataFrame, pattern: str, regex: bool = True, ignore_case: bool =
     return rows.withColumn("separator", F.coalesce(F.col("line") - F.lag("line").over(by_line) > 1, F.lit(False)))
 
 
-def template(new: str, groups: int) -> str:
-    r"""A replacement with \1, $1, $&, $$, \n, \t, \r, \\ in Java's notation; a group that the pattern lacks raises."""
-    out, i = "", 0
+def template_parts(new: str, groups: int) -> list[str | int]:
+    r"""A replacement with \1, $1, $&, $$, \n, \t, \r, \\ as texts and group numbers; a group that the pattern lacks raises."""
+    out, i = [], 0
     while i < len(new):
         two = new[i : i + 2]
         if re.fullmatch(r"[\\$]\d", two):
             if int(two[1]) > groups:
                 raise ValueError(f"replacement {new!r} names group {two[1]} of {groups}")
-            out, i = out + f"${{{two[1]}}}".replace("{", "").replace("}", ""), i + 2
+            out.append(int(two[1]))
         elif two == "$&":
-            out, i = out + "$0", i + 2
+            out.append(0)
         elif two == "$$":
-            out, i = out + r"\$", i + 2
+            out.append("$")
         elif two[:1] == "\\" and len(two) == 2:
-            out, i = out + {"n": "\n", "t": "\t", "r": "\r", "\\": r"\\"}.get(two[1], re.escape(two[1])), i + 2
+            out.append({"n": "\n", "t": "\t", "r": "\r"}.get(two[1], two[1]))
         else:
-            out, i = out + ("\\" + new[i] if new[i] in "\\$" else new[i]), i + 1
+            out.append(new[i])
+            two = new[i]
+        i += len(two)
     return out
 
 
+def template(new: str, groups: int) -> str:
+    """The same in the notation of Java's regular expressions."""
+    return "".join(f"${x}" if isinstance(x, int) else re.sub(r"([\\$])", r"\\\1", x) for x in template_parts(new, groups))
+
+
+def replace_first(text: Column, pattern: str, parts: list[str | int], limit: int) -> tuple[Column, Column]:
+    """text with the first matches replaced, and whether a match is empty (which this form can't place).
+
+    Groups are read from the whole text, so that what stands around a match counts as it does in the search.
+    """
+    pieces = F.split(text, pattern, limit + 1)
+    found = {g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in {0, *(x for x in parts if isinstance(x, int))}}
+    put = lambda i: [F.get(found[x], i) if isinstance(x, int) else F.lit(x) for x in parts]
+    each = F.transform(pieces, lambda p, i: F.when(i < F.size(pieces) - 1, F.concat(p, *put(i))).otherwise(p))
+    return F.array_join(each, ""), F.exists(found[0], lambda x: x == "")
+
+
+def _block(text: str) -> list[str]:
+    """Lines without their common indentation."""
+    each = text.split("\n")
+    least = min((len(x) - len(x.lstrip(" \t")) for x in each if x), default=0)
+    return [x[least:] for x in each]
+
+
+def _indent(each: Column) -> Column:
+    """The common indentation of an array of lines, in characters; empty lines don't count."""
+    return F.coalesce(F.array_min(F.transform(F.filter(each, lambda x: x != ""), lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" \t"))))), F.lit(0))
+
+
+def replace_block(text: Column, old: str, new: str) -> tuple[Column, Column]:
+    """Where the lines of old stand in text if the common indentation of either is set aside (line numbers from 0), and text with
+    the first such block replaced by the lines of new, indented as the block was. The block is whole lines: a newline at its
+    end goes with it, and what new ends with stands there instead, with one more newline if it ends with one."""
+    wanted = _block(old.removesuffix("\n"))
+    each = F.split(text, "\n")
+    n = F.size(each) - (F.element_at(each, -1) == "").cast("int")
+    part = lambda i: F.slice(each, i + 1, len(wanted))
+    bare = lambda x: F.transform(x, lambda y: F.substr(y, _indent(x) + 1))
+    longest = max((x.strip(" \t") for x in wanted), key=len)
+    starts = F.when(text.contains(longest) & (n >= len(wanted)), F.sequence(F.lit(0), n - len(wanted))).otherwise(F.array().cast("array<int>"))
+    places = F.filter(starts, lambda i: bare(part(i)) == F.array(*map(F.lit, wanted)))
+    at = F.get(places, F.lit(0))
+    lead = F.coalesce(F.substr(F.get(F.filter(part(at), lambda x: x != ""), F.lit(0)), F.lit(1), _indent(part(at))), F.lit(""))
+    fresh = [F.concat(lead, F.lit(x)) if x else F.lit("") for x in _block(new)]
+    body = F.concat_ws("\n", *fresh, *([F.lit("")] if new.endswith("\n") else []))
+    before = F.array_join(F.transform(F.slice(each, F.lit(1), at), lambda x: F.concat(x, F.lit("\n"))), "")
+    return places, F.concat(before, body, F.array_join(F.slice(each, at + len(wanted) + 1, F.greatest(F.size(each) - at - len(wanted), F.lit(0))), "\n"))
+
+
 def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
     """files with text edited and error: each edit works on the last one's result, and the first that fails stops that file.
 
     An edit: old, new, limit (1: exactly one occurrence must exist; 0: all; n: the first n), regex, ignore_case. No occurrence
-    is always an error. Limits other than 0 and 1 need a literal, case-sensitive edit.
+    is always an error. A literal edit with limit 1 that occurs nowhere is looked for as a block of lines with another
+    indentation. A regular expression with a limit above 1 that matches an empty text is an error.
     """
     out = files.withColumn("error", F.lit(None).cast("string"))
     for k, e in enumerate(edits):
@@ -78,10 +130,15 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
         if limit in (0, 1):
             done = F.regexp_replace(text, pattern, java_new) if e.get("regex") or e.get("ignore_case") else F.replace(text, F.lit(old), F.lit(new))
         elif e.get("regex") or e.get("ignore_case"):
-            raise ValueError("limits above 1 need a literal, case-sensitive edit")
+            done, empty = replace_first(text, pattern, template_parts(new, groups) if e.get("regex") else [new], limit)
         else:
             done = F.concat_ws(new, F.split(text, pattern, limit + 1))
+        if limit == 1 and not flags and re.search(r"\n|^[ \t]", old):
+            places, block = replace_block(text, old, new)
+            done, n = F.when(n == 0, block).otherwise(done), F.when(n == 0, F.size(places)).otherwise(n)
         problem = F.when(n == 0, F.lit(f"edit {k}: no match"))
+        if limit > 1 and flags:
+            problem = problem.when(empty, F.lit(f"edit {k}: empty match"))
         if limit == 1:
             problem = problem.when(n > 1, F.concat(F.lit(f"edit {k}: "), n.cast("string"), F.lit(" matches")))
         fresh = F.col("error").isNull()

@@ -68,6 +68,22 @@ def tree(entries: DataFrame, depth: int = 5) -> DataFrame:
     return (entries if depth < 0 else entries.filter(F.col("depth") <= depth)).orderBy("path")
 
 
+def nested_tree(entries: DataFrame, depth: int = 5) -> DataFrame:
+    """(path, json) of each entry of depth 1: name, kind and, for directories above the given depth, children in the order of
+    their names. Levels are joined from the deepest up, so a task holds no more than the subtree it writes."""
+    name = F.concat(F.lit('{"name":'), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(',"kind":"'), F.col("kind"), F.lit('"'))
+    below = None
+    for level in range(depth, 0, -1):
+        here = entries.filter(F.col("depth") == level).select("path", "parent", "name", "kind", name.alias("head"))
+        inner = F.lit("")
+        if below is not None:
+            listed = below.groupBy(F.col("parent").alias("path")).agg(F.expr("listagg(json, ',') within group (order by name, kind)").alias("children"))
+            here = here.join(listed, "path", "left")
+            inner = F.when(F.col("kind") == "directory", F.concat(F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]"))).otherwise("")
+        below = here.select("path", "parent", "name", "kind", F.concat("head", inner, F.lit("}")).alias("json"))
+    return below.select("path", "json")
+
+
 def find_by_name(entries: DataFrame, part: str, most: int = 1000) -> DataFrame:
     return capped(entries.filter(F.lower("name").contains(part.lower())), [F.col("path")], most)
 

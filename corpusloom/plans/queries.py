@@ -96,6 +96,15 @@ def edit_unique(spark: SparkSession, d: str) -> DataFrame:
     return search.apply_edits(files(spark, d), [{"old": "License", "new": "Licence", "limit": 1}]).select("path", F.sha2("text", 256).alias("text_hash"), "error")
 
 
+def edit_first(spark: SparkSession, d: str) -> DataFrame:
+    out = search.apply_edits(files(spark, d), [{"old": r"(\w+), ", "new": r"\1; ", "limit": 2, "regex": True}])
+    return out.select("path", F.sha2("text", 256).alias("text_hash"), "error")
+
+
+def nested_tree(spark: SparkSession, d: str) -> DataFrame:
+    return select.nested_tree(select.with_directories(files(spark, d), ROOT), 3)
+
+
 def task_paths(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tasks: each makes out/<key>, and reads a part and what a task of a smaller key makes."""
     o = _table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("c"))
@@ -179,7 +188,7 @@ def required_access(spark: SparkSession, d: str) -> DataFrame:
     return incremental.required_access(task_paths(spark, d).withColumn("path", F.lower("path")))
 
 
-QUERIES = {f.__name__: f for f in (tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_unique, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
+QUERIES = {f.__name__: f for f in (tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_first, edit_unique, nested_tree, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
 
 _HASH = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} = '' THEN '0' ELSE sha256({0}) END"
 _PAGE = r"p AS (SELECT page_id, rtrim(regexp_replace('/' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1), '/+', '/', 'g'), '/') AS path FROM pages)"
@@ -210,6 +219,9 @@ ORACLE = {
       w AS (SELECT *, max(is_match::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM m)
       SELECT path, CAST(line AS BIGINT) AS line, text, is_match, coalesce(line - lag(line) OVER (PARTITION BY path ORDER BY line) > 1, false) AS separator FROM w WHERE near = 1""",
     "grep_literal": f"WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f) SELECT path, CAST(line AS BIGINT) AS line, regexp_replace(x, '\\r$', '') AS text FROM l WHERE contains(lower(x), 'license')",
+    "edit_first": rf"WITH {FILES} SELECT path, sha256(CASE WHEN regexp_matches(text, '(\w+), ') THEN regexp_replace(regexp_replace(text, '(\w+), ', '\1; '), '(\w+), ', '\1; ') ELSE text END) AS text_hash, CASE WHEN NOT regexp_matches(text, '(\w+), ') THEN 'edit 0: no match' END AS error FROM f",
+    "nested_tree": f"""WITH {FILES}, l AS (SELECT source, lang, '{{"name":"' || lang || '","kind":"directory","children":[' || string_agg('{{"name":"' || name || '","kind":"file"}}', ',' ORDER BY name) || ']}}' AS j FROM f GROUP BY source, lang)
+      SELECT '/corpus/' || source AS path, '{{"name":"' || source || '","kind":"directory","children":[' || string_agg(j, ',' ORDER BY lang) || ']}}' AS json FROM l GROUP BY source""",
     "edit_unique": f"WITH {FILES}, c AS (SELECT path, text, len(string_split(text, 'License')) - 1 AS n FROM f) SELECT path, sha256(CASE WHEN n = 1 THEN replace(text, 'License', 'Licence') ELSE text END) AS text_hash, CASE WHEN n = 0 THEN 'edit 0: no match' WHEN n > 1 THEN 'edit 0: ' || n || ' matches' END AS error FROM c",
     "task_edges": f"WITH {TASKS} SELECT src, dst, reason FROM e",
     "task_conflicts": f"""WITH {TASKS} SELECT 'duplicate producer' AS rule, path, count(DISTINCT t) AS n FROM tp WHERE role = 'output' GROUP BY path HAVING count(DISTINCT t) > 1

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from corpusloom.functions import paths as P
 from corpusloom.plans import globs as G
 
 MAX_BYTES = 10 * 1024 * 1024
+#: One line for each published generation of a manifest.
+PUBLISHED = "generation string, at long, version int, playlist string, algorithm string"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,3 +97,26 @@ def playlist(spark: SparkSession, path: str, step: str, key: str | None = None)
     many = text.filter(~is_array).select(F.explode(keyed).alias("key", "steps")).select("key", F.posexplode("steps").alias("seq", "step"))
     rows = one.unionByName(many)
     return rows if key is None else rows.filter(F.col("key") == key)
+
+
+def write_manifest(manifest: DataFrame, path: str, version: int, playlist: str, algorithm: str) -> None:
+    """A new generation of a manifest. It counts from when its line is among the published ones; until then readers see the last."""
+    generation = uuid.uuid4().hex
+    manifest.select("signature", "world_in", "world_out").write.parquet(f"{path}/data/{generation}")
+    line = manifest.sparkSession.createDataFrame([(generation, time.time_ns(), version, playlist, algorithm)], PUBLISHED)
+    line.coalesce(1).write.mode("append").json(f"{path}/published")
+
+
+def read_manifest(spark: SparkSession, path: str, version: int, playlist: str, algorithm: str) -> DataFrame:
+    """(signature, world_in, world_out) of the newest generation; no rows if there is none, or if it is for another version,
+    playlist or hash algorithm."""
+    try:
+        newest = spark.read.schema(PUBLISHED).json(f"{path}/published").orderBy(F.desc("at")).limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = []
+    schema = "signature string, world_in string, world_out string"
+    if not newest or tuple(newest[0])[2:] != (version, playlist, algorithm):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/data/{newest[0].generation}")

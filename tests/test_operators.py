@@ -71,6 +71,40 @@ def test_search_and_edits(spark):
         search.template(r"\2", 1)
 
 
+def test_edit_first_and_block(spark):
+    files = spark.createDataFrame([("f", "a1 b2 c3 d4"), ("g", "if x:\n    one\n      two\n\n    three\nend\n"), ("h", "  one\n    two\n one\n   two"), ("n", None)], "path string, text string")
+    edit = lambda **e: {r.path: (r.text, r.error) for r in search.apply_edits(files, [e]).collect()}
+    assert edit(old=r"([a-d])(\d)(?= |$)", new=r"\2$1$$\\", limit=3, regex=True)["f"] == ("1a$\\ 2b$\\ 3c$\\ d4", None)
+    assert edit(old="A", new="$1", limit=5, ignore_case=True)["f"] == ("$11 b2 c3 d4", None)
+    assert edit(old="x*", new="y", limit=2, regex=True)["f"][1] == "edit 0: empty match"
+    assert edit(old="\tone\n\t  two\n", new="1\n 2\n", limit=1)["g"] == ("if x:\n    1\n     2\n\n\n    three\nend\n", None)
+    got = edit(old="one\n  two", new="1", limit=1)
+    assert got["g"] == ("if x:\n    1\n    three\nend\n", None) and got["h"][1] == "edit 0: 2 matches" and got["f"][1] == "edit 0: no match" and got["n"][0] is None
+    assert edit(old=" end", new="END", limit=1)["g"][0].endswith("three\nEND")
+
+
+def test_binary(spark):
+    rows_ = spark.createDataFrame([(bytearray(b"\x10\x02"),), (bytearray(b"\x10\x02\x00"),), (bytearray(b"x" * 4096 + b"\x00"),), (bytearray(b""),)], "c binary")
+    assert [r[0] for r in rows_.select(search.is_binary(F.col("c"))).collect()] == [False, True, False, False]
+
+
+def test_nested_tree(spark):
+    files = spark.createDataFrame([("/r/b/x.txt",), ("/r/b/c/y",), ("/r/a\"q",)], "path string")
+    entries = select.with_directories(files, "/r")
+    got = {r.path: json.loads(r.json) for r in select.nested_tree(entries).collect()}
+    assert got == {"/r/a\"q": {"name": 'a"q', "kind": "file"}, "/r/b": {"name": "b", "kind": "directory", "children": [{"name": "c", "kind": "directory", "children": [{"name": "y", "kind": "file"}]}, {"name": "x.txt", "kind": "file"}]}}
+    assert json.loads(select.nested_tree(entries, 1).filter("path = '/r/b'").first().json) == {"name": "b", "kind": "directory"}
+
+
+def test_manifest(spark, tmp_path):
+    at = f"file://{tmp_path}/m"
+    assert corpus.read_manifest(spark, at, 1, "p", "sha256").count() == 0
+    for w in ("old", "new"):
+        corpus.write_manifest(spark.createDataFrame([("s", w, None)], "signature string, world_in string, world_out string"), at, 1, "p", "sha256")
+    assert rows(corpus.read_manifest(spark, at, 1, "p", "sha256")) == [("s", "new", None)]
+    assert corpus.read_manifest(spark, at, 2, "p", "sha256").count() == 0 and corpus.read_manifest(spark, at, 1, "q", "sha256").count() == 0
+
+
 def _paths(spark, *r):
     return spark.createDataFrame([(t, t, role, p) for t, role, p in r], "task_id long, seq long, role string, path string")
 
