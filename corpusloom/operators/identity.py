@@ -67,6 +67,20 @@ def diff_snapshots(old: DataFrame, new: DataFrame, same_algorithm: bool = True,
     return both.select("path", change.alias("change"), F.when(change == "modified", details).alias("details")).filter("change is not null")
 
 
+def diff_params(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, old, new) of the parameters (name, value) in which two snapshots differ. If hash_algorithm is among them, their
+    hashes must not be compared (same_algorithm=False)."""
+    a, b = old.select("name", F.col("value").alias("old")), new.select("name", F.col("value").alias("new"))
+    return a.join(b, "name", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def relative_to(files: DataFrame, bases: DataFrame) -> DataFrame:
+    """files with rel: the path below the deepest of the bases (path) that is above it, or the path itself."""
+    up = files.select("path").distinct().select("path", F.posexplode(P.ancestors(F.col("path"))).alias("depth", "base"))
+    deepest = up.join(bases.select(F.rtrim("path", F.lit("/")).alias("base")).distinct(), "base").groupBy("path").agg(F.max_by("base", "depth").alias("__base"))
+    return files.join(deepest, "path", "left").withColumn("rel", F.coalesce(P.relative(F.col("path"), F.col("__base")), F.col("path"))).drop("__base")
+
+
 def memo_lookup(files: DataFrame, memo: DataFrame) -> DataFrame:
     """files (path, file_key, stat_tag) with the stored hash where key and tag agree; the others must be hashed (hit false)."""
     known = memo.select("file_key", F.col("stat_tag").alias("__tag"), F.col("content_hash").alias("__hash"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
+from corpusloom.operators import lineage
 
 
 def framed(*fields: Column) -> Column:
@@ -57,6 +58,62 @@ def next_manifest(manifest: DataFrame, outcomes: DataFrame) -> DataFrame:
     return manifest.select("signature", "world_in", "world_out").join(gone, "signature", "left_anti").unionByName(stored)
 
 
+def prune(manifest: DataFrame, declared: DataFrame, key: str, partial: bool = False) -> DataFrame:
+    """manifest (key, signature, ...) without the entries of this key whose signature is no longer declared; a partial build
+    proves nothing about what it left out, so it prunes nothing."""
+    if partial:
+        return manifest
+    gone = manifest.filter(F.col("key") == key).join(declared.select("signature").distinct(), "signature", "left_anti").select("signature").distinct().withColumn("__gone", F.lit(True))
+    return manifest.join(gone, "signature", "left").filter((F.col("key") != key) | F.col("key").isNull() | F.col("__gone").isNull()).select(*manifest.columns)
+
+
+def gate(tasks: DataFrame, stored: DataFrame) -> DataFrame:
+    """tasks (signature, inputs, outputs, n_outputs) with reason and hit, against stored (signature, inputs, outputs).
+
+    inputs and outputs are fingerprints, null where they could not be taken; a task without outputs runs once for its inputs.
+    """
+    s = stored.select("signature", F.col("inputs").alias("__in"), F.col("outputs").alias("__out"), F.lit(True).alias("__known"))
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    reason = (
+        F.when(F.col("__known").isNull(), "no entry").when(~same("inputs", "__in"), "inputs changed")
+        .when((F.col("n_outputs") > 0) & ~same("outputs", "__out"), "outputs changed").otherwise("up to date")
+    )
+    return tasks.join(s, "signature", "left").withColumn("reason", reason).withColumn("hit", F.col("reason") == "up to date").drop("__in", "__out", "__known")
+
+
+def forecast(tasks: DataFrame, manifest: DataFrame, edge: DataFrame, refresh: bool = False) -> DataFrame:
+    """(task_id, wave, hit, reason, may_change): what a run would do, in the order it would, without running anything.
+
+    Each task is judged by the hashes as they are, as up_to_date() does. may_change marks hits behind a task that will run:
+    they run too if that task's bytes come out different, and stay hits if they don't.
+    """
+    judged = up_to_date(tasks, manifest, refresh).select("task_id", "hit", "reason")
+    reach = lineage.dirty(edge, judged.filter("not hit").select("task_id")).filter("distance > 0").select("task_id", F.lit(True).alias("__behind"))
+    wave = lineage.waves(tasks.select("task_id"), edge)
+    return judged.join(wave, "task_id").join(reach, "task_id", "left").select("task_id", "wave", "hit", "reason", (F.col("hit") & F.coalesce("__behind", F.lit(False))).alias("may_change"))
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """(n, hits, executed, failed) of a run: executed are those that ran well."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    return outcomes.agg(F.count(F.lit(1)).alias("n"), n("hit").alias("hits"), n("ok").alias("executed"), n("failed").alias("failed"))
+
+
+def existence(declared: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(task_id, world): one hash of which of a task's declared paths are there and of their kind (inventory: path, kind), whatever they hold."""
+    rows = declared.select("task_id", "path").distinct().join(inventory.select("path", "kind"), "path", "left")
+    item = F.concat_ws("=", "path", F.coalesce("kind", F.lit("-")))
+    return rows.withColumn("item", item).groupBy("task_id").agg(F.sha2(F.expr("listagg(item, ',') within group (order by item)"), 256).alias("world"))
+
+
+def expand_declared(declared: DataFrame, env: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """declared (task_id, path) with variables expanded, without the paths that name an unknown one; and (task_id, cacheable):
+    false where a path was dropped, since the rest no longer says what the task reads."""
+    rows = declared.withColumn("__path", P.expand(F.col("path"), env))
+    kept = rows.filter("__path is not null").withColumn("path", F.col("__path")).drop("__path")
+    return kept, rows.groupBy("task_id").agg((~F.bool_or(F.col("__path").isNull() & F.col("path").isNotNull())).alias("cacheable"))
+
+
 def minimal_cover(directories: DataFrame) -> DataFrame:
     """(path): the directories without those that lie below another; the root itself is refused."""
     d = directories.select("path").filter("path <> '/'").distinct()

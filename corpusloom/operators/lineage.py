@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.plans import globs as G
-from corpusloom.sources.corpus import shared_dir
+from corpusloom.sources.corpus import written
 
 IS_GLOB = r"[*?\[{]|[@+!]\("
 #: What each action reads, consumes, edits and makes, of its own fields.
@@ -108,6 +108,17 @@ def mutator_edges(task_paths: DataFrame) -> DataFrame:
     return chain.unionByName(makers.unionByName(readers).join(settled, ["src", "dst"], "left_anti")).groupBy("src", "dst").agg(F.min("reason").alias("reason"))
 
 
+def effective_producers(task_paths: DataFrame) -> DataFrame:
+    """(path, task_id): whom the readers of a concrete path wait for. An editor takes the maker's place unless something used
+    the path before it; of several, the last one counts. Only a minimum and a maximum of each path are taken, so a path that
+    every task uses is no large group."""
+    rows = task_paths.filter(~F.col("path").rlike(IS_GLOB)).select("task_id", "seq", "role", F.lower("path").alias("path"))
+    used = rows.filter("role in ('input', 'exclusive')").groupBy("path").agg(F.min("seq").alias("first_use"))
+    makers = rows.filter("role in ('output', 'mutating')").join(used, "path", "left")
+    counted = makers.filter("role = 'output' or first_use is null or seq <= first_use")
+    return counted.groupBy("path").agg(F.max_by("task_id", F.struct("seq", "task_id")).alias("task_id"))
+
+
 def conflicts(task_paths: DataFrame) -> DataFrame:
     """(rule, path, n): concrete declarations that contradict each other."""
     rows = task_paths.filter(~F.col("path").rlike(IS_GLOB)).select("task_id", "seq", "role", F.lower("path").alias("path"))
@@ -131,9 +142,8 @@ def conflicts(task_paths: DataFrame) -> DataFrame:
 def waves(tasks: DataFrame, edge: DataFrame, most: int = 100_000) -> DataFrame:
     """(task_id, wave): the first wave waits for nothing, each other one only for earlier ones. Tasks on or behind a cycle have
     a null wave. A round is one join of the frontier with the edges; only (task, count) is carried, and written each round."""
-    shared_dir(tasks.sparkSession)
-    e = edge.select("src", "dst").distinct().checkpoint()
-    left = tasks.select("task_id").distinct().join(e.groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("n")), "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n")).checkpoint()
+    e = written(edge.select("src", "dst").distinct())
+    left = written(tasks.select("task_id").distinct().join(e.groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("n")), "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n")))
     done: list[DataFrame] = []
     for k in range(most):
         front = left.filter("n = 0").select("task_id")
@@ -141,7 +151,7 @@ def waves(tasks: DataFrame, edge: DataFrame, most: int = 100_000) -> DataFrame:
             break
         done.append(front.withColumn("wave", F.lit(k)))
         fewer = e.join(front, e["src"] == front["task_id"], "left_semi").groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("m"))
-        left = left.filter("n > 0").join(fewer, "task_id", "left").select("task_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).checkpoint()
+        left = written(left.filter("n > 0").join(fewer, "task_id", "left").select("task_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")))
     out = left.select("task_id", F.lit(None).cast("int").alias("wave"))
     for d in done:
         out = out.unionByName(d)
@@ -159,13 +169,12 @@ def resolve_links(links: DataFrame, most: int = 64) -> DataFrame:
 
     links: path, target, exists (whether the target is there at all). Each round follows all open chains by one hop.
     """
-    shared_dir(links.sparkSession)
-    table = links.select(F.col("path").alias("p"), F.col("target").alias("t"), F.col("exists").alias("x")).checkpoint()
+    table = written(links.select(F.col("path").alias("p"), F.col("target").alias("t"), F.col("exists").alias("x")))
     open_ = table.select(F.col("p").alias("path"), F.col("t").alias("target"), F.col("x").alias("exists"), F.lit(1).alias("hops"))
     done: list[DataFrame] = []
     size = table.count()
     for k in range(1, most + 1):
-        step = open_.join(table, open_["target"] == table["p"], "left").checkpoint()
+        step = written(open_.join(table, open_["target"] == table["p"], "left"))
         done.append(step.filter("p is null").select("path", "target", "hops", F.when(F.col("exists"), "resolved").otherwise("broken").alias("state")))
         done.append(step.filter("p is not null and t = path").select("path", "target", "hops", F.lit("cycle").alias("state")))
         open_ = step.filter("p is not null and t <> path").select("path", F.col("t").alias("target"), F.col("x").alias("exists"), (F.col("hops") + 1).alias("hops"))
@@ -180,12 +189,11 @@ def resolve_links(links: DataFrame, most: int = 64) -> DataFrame:
 def dirty(edge: DataFrame, changed: DataFrame, most: int = 100_000) -> DataFrame:
     """(task_id, distance): the changed tasks (distance 0) and all that wait for one of them, by the shortest chain. What of
     these runs for nothing, because its inputs come out the same, is known only from hashes (incremental.up_to_date)."""
-    shared_dir(edge.sparkSession)
-    e = edge.select("src", "dst").distinct().checkpoint()
-    seen = front = changed.select("task_id").distinct().withColumn("distance", F.lit(0)).checkpoint()
+    e = written(edge.select("src", "dst").distinct())
+    seen = front = written(changed.select("task_id").distinct().withColumn("distance", F.lit(0)))
     for k in range(1, most):
         new = e.join(front, e["src"] == front["task_id"], "left_semi").select(F.col("dst").alias("task_id")).distinct().join(seen, "task_id", "left_anti").withColumn("distance", F.lit(k))
-        front = new.checkpoint()
+        front = written(new)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

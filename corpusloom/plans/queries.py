@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
-from corpusloom.operators import identity, incremental, lineage, search, select
+from corpusloom.operators import access, identity, incremental, lineage, search, select
 from corpusloom.streaming import actions
 
 ROOT = "/corpus"
@@ -188,11 +188,67 @@ def required_access(spark: SparkSession, d: str) -> DataFrame:
     return incremental.required_access(task_paths(spark, d).withColumn("path", F.lower("path")))
 
 
-QUERIES = {f.__name__: f for f in (tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_first, edit_unique, nested_tree, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
+def access_check(spark: SparkSession, d: str) -> DataFrame:
+    """Files against grants on some of their sources, and a writable grant on English files."""
+    f = files(spark, d)
+    docs = _table(spark, d, "documents")
+    sources = docs.groupBy("source").agg(F.min("doc_id").alias("m")).filter("m % 5 <> 0 and source is not null")
+    grants = sources.select(F.concat(F.lit(ROOT + "/"), "source").alias("path"), (F.col("m") % 2 == 0).alias("writable"))
+    english = docs.filter("source is not null").select(F.concat(F.lit(ROOT + "/"), "source", F.lit("/en")).alias("path"), F.lit(True).alias("writable")).distinct()
+    return access.allowed(f.select("doc_id", "path", (F.col("doc_id") % 3 == 0).alias("need_writable")), grants.unionByName(english)).select("doc_id", "need_writable", "allowed")
+
+
+def declared_files(spark: SparkSession, d: str) -> DataFrame:
+    """For each source a task that declares its directory of English files, a glob over all languages and one file."""
+    f = files(spark, d).filter("path is not null")
+    s = _table(spark, d, "documents").filter("source is not null").groupBy("source").agg(F.min("doc_id").alias("m"))
+    base = F.concat(F.lit(ROOT + "/"), "source")
+    paths = F.array(F.concat(base, F.lit("/en")), F.concat(base, F.lit("/*/doc_*7.txt")), F.concat(base, F.lit("/fr/doc_"), F.col("m").cast("string"), F.lit(".txt")))
+    found = access.declared_files(s.select(F.col("m").alias("task_id"), F.explode(paths).alias("path")), f.select("path", identity.content_hash(F.col("text")).alias("hash")))
+    return found.groupBy("task_id", "declared").agg(F.count("path").alias("n"), F.min("path").alias("first_path"))
+
+
+def gate_check(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = _table(spark, d, "orders").select(k.alias("signature"), F.when(k % 11 != 0, F.col("o_custkey")).alias("inputs"), F.col("o_totalprice").alias("outputs"), (k % 4).alias("n_outputs"))
+    stored = o.filter("signature % 5 <> 0").select("signature", F.when(F.col("signature") % 7 == 0, -1).otherwise(F.col("inputs")).alias("inputs"), F.when(F.col("signature") % 9 == 0, -1.0).otherwise(F.col("outputs")).alias("outputs"))
+    return incremental.gate(o, stored).select("signature", "reason", "hit")
+
+
+def effective_producers(spark: SparkSession, d: str) -> DataFrame:
+    edits = _table(spark, d, "lineitem").filter("l_orderkey > 0 and l_linenumber = 3").select(F.col("l_orderkey").alias("task_id"), F.col("l_orderkey").alias("seq"), F.lit("mutating").alias("role"), F.concat(F.lit("/Part/"), F.col("l_partkey").cast("string")).alias("path"))
+    return lineage.effective_producers(task_paths(spark, d).unionByName(edits))
+
+
+def task_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tasks in their order of execution; stored worlds are missing for some and out of date for others."""
+    paths = task_paths(spark, d).filter("path not like '/customer/%'")
+    k = F.col("task_id")
+    now = paths.select("task_id").distinct().select("task_id", F.sha2(k.cast("string"), 256).alias("signature"), F.lit("in").alias("world_in"), F.lit("out").alias("world_out"), F.lit(False).alias("missing_output"))
+    stored = now.filter("task_id % 1009 <> 7").select("signature", F.when(k % 997 == 11, "other").otherwise(F.col("world_in")).alias("world_in"), "world_out")
+    return incremental.forecast(now, stored, lineage.edges(paths))
+
+
+QUERIES = {f.__name__: f for f in (access_check, declared_files, effective_producers, gate_check, task_forecast, tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_first, edit_unique, nested_tree, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
 
 _HASH = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} = '' THEN '0' ELSE sha256({0}) END"
 _PAGE = r"p AS (SELECT page_id, rtrim(regexp_replace('/' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1), '/+', '/', 'g'), '/') AS path FROM pages)"
 ORACLE = {
+    "access_check": f"""WITH {FILES}, s AS (SELECT source, min(doc_id) AS m FROM documents WHERE source IS NOT NULL GROUP BY source)
+      SELECT doc_id, doc_id % 3 = 0 AS need_writable, coalesce(path IS NOT NULL AND (lang = 'en' OR m % 5 <> 0 AND (m % 2 = 0 OR doc_id % 3 <> 0)), false) AS allowed FROM f LEFT JOIN s USING (source)""",
+    "declared_files": f"""WITH {FILES}, s AS (SELECT source, min(doc_id) AS m FROM documents WHERE source IS NOT NULL GROUP BY source),
+      x AS (SELECT m AS task_id, '/corpus/' || source || '/en' AS declared, source, 0 AS k FROM s UNION ALL SELECT m, '/corpus/' || source || '/*/doc_*7.txt', source, 1 FROM s UNION ALL SELECT m, '/corpus/' || source || '/fr/doc_' || m || '.txt', source, 2 FROM s)
+      SELECT task_id, declared, count(path) AS n, min(path) AS first_path FROM x LEFT JOIN f ON x.source = f.source AND path IS NOT NULL AND (k = 0 AND lang = 'en' OR k = 1 AND doc_id % 10 = 7 OR k = 2 AND path = declared) GROUP BY task_id, declared""",
+    "effective_producers": f"""WITH {TASKS}, r AS (SELECT t, role, path FROM tp UNION ALL SELECT l_orderkey, 'mutating', '/Part/' || l_partkey FROM lineitem WHERE l_orderkey > 0 AND l_linenumber = 3),
+      q AS (SELECT t, role, lower(path) AS path, max((role IN ('input', 'exclusive'))::INT) OVER (PARTITION BY lower(path) ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM r)
+      SELECT path, max(t) AS task_id FROM q WHERE role = 'output' OR role = 'mutating' AND coalesce(used, 0) = 0 GROUP BY path""",
+    "gate_check": """SELECT o_orderkey AS signature, r AS reason, r = 'up to date' AS hit FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'no entry' WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 THEN 'inputs changed'
+      WHEN o_orderkey % 4 > 0 AND o_orderkey % 9 = 0 THEN 'outputs changed' ELSE 'up to date' END AS r FROM orders)""",
+    "task_forecast": f"""WITH RECURSIVE {TASKS}, g AS (SELECT DISTINCT b AS src, t AS dst FROM l WHERE b IN (SELECT o_orderkey FROM orders) AND b <> t), n AS (SELECT DISTINCT t FROM tp WHERE path NOT LIKE '/customer/%'),
+      w(task_id, wave) AS (SELECT t, 0 FROM n WHERE t NOT IN (SELECT dst FROM g) UNION SELECT g.dst, w.wave + 1 FROM w JOIN g ON g.src = w.task_id),
+      b(task_id) AS (SELECT t FROM n WHERE t % 1009 = 7 OR t % 997 = 11 UNION SELECT g.dst FROM b JOIN g ON g.src = b.task_id),
+      j AS (SELECT t AS task_id, CASE WHEN t % 1009 = 7 THEN 'new task' WHEN t % 997 = 11 THEN 'inputs changed' ELSE 'up to date' END AS reason FROM n)
+      SELECT task_id, wave, reason = 'up to date' AS hit, reason, reason = 'up to date' AND task_id IN (SELECT task_id FROM b) AS may_change FROM j JOIN (SELECT task_id, CAST(max(wave) AS INT) AS wave FROM w GROUP BY task_id) USING (task_id)""",
     "file_resources": f"WITH {FILES} SELECT path, name, 'file://' || path AS uri, 'text/plain' AS mime FROM f",
     "dirty_tasks": f"""WITH RECURSIVE {TASKS}, g AS (SELECT DISTINCT b AS src, t AS dst FROM l WHERE b IN (SELECT o_orderkey FROM orders) AND b <> t),
       w(task_id, distance) AS (SELECT t, 0 FROM (SELECT DISTINCT t FROM tp WHERE path NOT LIKE '/customer/%') WHERE t % 1009 = 7 UNION SELECT g.dst, w.distance + 1 FROM w JOIN g ON g.src = w.task_id) SELECT task_id, CAST(min(distance) AS INT) AS distance FROM w GROUP BY task_id""",

@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
+from corpusloom.operators import identity
 from corpusloom.plans import globs as G
 
 MAX_BYTES = 10 * 1024 * 1024
@@ -29,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read back: its lineage is cut, and it is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/corpusloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, roots: list[str], globs: list[str] = (), content: bool = True) -> DataFrame:
     """(path, size, mtime_ns, content) of the files below the roots; each directory that a glob begins with is read once.
 
@@ -58,13 +67,19 @@ def read_content(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     )
 
 
-def path_list(spark: SparkSession, path: str, env: dict[str, str]) -> DataFrame:
+def path_list(spark: SparkSession, path: str | list[str], env: dict[str, str]) -> DataFrame:
     """(path) from a text file: blank lines and those that begin with # don't count, variables are expanded."""
     line = F.trim("value")
     rows = spark.read.text(path).filter((line != "") & ~line.startswith("#"))
     return rows.select(P.expand(line, env, strict=False).alias("path")).filter("path <> ''")
 
 
+def env_text(spark: SparkSession, paths: list[str], env: dict[str, str]) -> DataFrame:
+    """(env_text) of environment lists: their expanded lines, distinct and in order, joined; an ingredient of a fingerprint."""
+    lines = path_list(spark, paths, env).distinct()
+    return lines.agg(F.coalesce(F.expr("listagg(path, '\\n') within group (order by path)"), F.lit("")).alias("env_text"))
+
+
 def write_snapshot(files: DataFrame, path: str, params: dict | None = None) -> None:
     """By the path's ending: .tsv (or none), rows sorted by path under a header; .json, one object a line, with params beside."""
     columns = [F.col(c) if c in files.columns else F.lit(None).cast("long").alias(c) for c in ("path", "hash", "size", "inode", "mtime_ns", "mode")]
@@ -120,3 +135,61 @@ def read_manifest(spark: SparkSession, path: str, version: int, playlist: str, a
     if not newest or tuple(newest[0])[2:] != (version, playlist, algorithm):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/data/{newest[0].generation}")
+
+
+def append_memo(records: DataFrame, path: str) -> None:
+    """Appends a run's records (file_key, stat_tag, content_hash, epoch) to a memo's log, without those it already holds.
+
+    A memo is a base of one row a file and a log of runs; one writer at a time.
+    """
+    spark = records.sparkSession
+    new = records.select("file_key", "stat_tag", "content_hash", "epoch").dropDuplicates(["file_key", "stat_tag", "content_hash"])
+    new = new.join(read_memo(spark, path).select("file_key", "stat_tag", "content_hash"), ["file_key", "stat_tag", "content_hash"], "left_anti")
+    generation = _memo_generation(spark, path)
+    new.withColumn("seq", F.lit(time.time_ns())).write.mode("append").parquet(f"{path}/log/{generation}")
+
+
+def read_memo(spark: SparkSession, path: str, idle_runs: int = 32) -> DataFrame:
+    """(file_key, stat_tag, content_hash, epoch): the latest record of each file, the log before the base. No rows without a memo."""
+    return identity.latest_records(_memo_records(spark, path, _memo_generation(spark, path)), idle_runs)
+
+
+def compact_memo(spark: SparkSession, path: str, share: float = 0.25) -> bool:
+    """Rewrites base and log as a new base if the log holds more than share of the base's rows. The new generation counts from
+    when its line is published, so a run that is lost half-way leaves the old one in force."""
+    old = _memo_generation(spark, path)
+    records = _memo_records(spark, path, old)
+    sizes = {r.tier: r.n for r in records.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    if sizes.get(1, 0) <= share * sizes.get(0, 0):
+        return False
+    generation = uuid.uuid4().hex
+    identity.latest_records(records).withColumn("seq", F.lit(0).cast("long")).write.parquet(f"{path}/base/{generation}")
+    spark.createDataFrame([(generation, time.time_ns())], "generation string, at long").coalesce(1).write.mode("append").json(f"{path}/published")
+    return True
+
+
+MEMO = "file_key long, stat_tag long, content_hash string, epoch long, seq long"
+
+
+def _memo_generation(spark: SparkSession, path: str) -> str:
+    newest = _if_there(lambda: spark.read.schema("generation string, at long").json(f"{path}/published").orderBy(F.desc("at")).limit(1).collect())
+    return newest[0].generation if newest else "first"
+
+
+def _memo_records(spark: SparkSession, path: str, generation: str) -> DataFrame:
+    out = spark.createDataFrame([], MEMO + ", tier int")
+    for tier, name in enumerate(("base", "log")):
+        part = _if_there(lambda: spark.read.schema(MEMO).parquet(f"{path}/{name}/{generation}"))
+        if part is not None:
+            out = out.unionByName(part.withColumn("tier", F.lit(tier)))
+    return out
+
+
+def _if_there(read: Callable):
+    """What read gives, or None if its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

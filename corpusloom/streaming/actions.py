@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.operators import identity
+
 LINE = r"^[\x00-\x20]*\[([^\]]*)\](.)(.*)$"
 ACTIONS = ("clone", "copy", "move", "hardlink", "symlink", "create", "delete", "edit", "read", "list", "tree", "info", "glob", "execute", "echo", "start", "wait")
 
@@ -26,6 +28,31 @@ def parse(lines: DataFrame, known: tuple[str, ...] = ACTIONS) -> DataFrame:
     return lines.withColumns({"action": F.when(ok, name), "options": F.when(ok, options), "fields": F.when(ok, F.split(rest, quoted)), "error": error})
 
 
+def sink(parsed: DataFrame, good: str, bad: str, checkpoint: str, strict: bool = False):
+    """Writes a parsed stream: rows without error to good, the others to bad with their error. Strict: a micro-batch that holds
+    a malformed line fails the query before anything of it is written."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch.persist()
+        try:
+            wrong = rows.filter("error is not null")
+            if strict and not wrong.isEmpty():
+                raise ValueError(f"batch {n}: {wrong.first()['error']}")
+            rows.filter("error is null").drop("error").write.mode("append").json(good)
+            wrong.select("value", "error").write.mode("append").json(bad)
+        finally:
+            rows.unpersist()
+
+    return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arriving(spark: SparkSession, directory: str, algorithm: str = "sha256") -> DataFrame:
+    """(path, size, mtime_ns, hash) of files as they appear below a directory: a stream without state."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(directory)
+    path = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
+    return files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), identity.content_hash(F.col("content"), algorithm).alias("hash"))
+
+
 def typed_option(options, key: str, kind: str):
     """An option as boolean, bigint or string; null if absent or of another kind."""
     v = F.try_element_at(options, F.lit(key))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
-from corpusloom.operators import identity, incremental, lineage, search, select
+from corpusloom.operators import access, identity, incremental, lineage, search, select
 from corpusloom.sources import corpus
 from corpusloom.streaming import actions
 
@@ -186,3 +186,86 @@ def test_preview_resources_and_logs(spark):
     assert rows(incremental.required_access(tp)) == [("/r/s", False), ("/w", True)]
     e = spark.createDataFrame([(0, 1), (1, 2), (3, 2), (2, 0)], "src long, dst long")
     assert rows(lineage.dirty(e, spark.createDataFrame([(1,)], "task_id long"))) == [(0, 2), (1, 0), (2, 1)]
+
+
+def _table(spark, schema, *data):
+    return spark.createDataFrame(list(data), schema)
+
+
+def test_access(spark):
+    asked = _table(spark, "path string, need_writable boolean", ("/a/b/c", True), ("/a/b/c", False), ("/ab", None), ("/w", True), ("/w", True), (None, False))
+    grants = _table(spark, "path string, writable boolean", ("/a", False), ("/a", False), ("/w", True))
+    assert rows(access.allowed(asked, grants)) == [("/a/b/c", False, True), ("/a/b/c", True, False), ("/ab", None, False), ("/w", True, True), ("/w", True, True), (None, False, False)]
+    assert rows(access.allowed(asked, _table(spark, "path string, writable boolean", ("/", True))).filter("not allowed")) == [(None, False, False)]
+    excludes = _table(spark, "pattern string", ("*.o",), ("/a/x/*.o",), ("/ab/*",), ("/q",))
+    assert rows(access.stale_excludes(excludes, _table(spark, "path string", ("/a/**/*.c",), ("/q",)))) == [("/ab/*",)]
+    links = _table(spark, "target string, state string", ("/r/in", "resolved"), ("/out/x", "resolved"), ("/out", "resolved"), ("/no", "broken"))
+    assert rows(access.outside_targets(links, _table(spark, "path string", ("/r",)))) == [("/out",)]
+    declared = _table(spark, "task_id int, path string", (1, "/s/a.c"), (2, "/s"), (2, "/s"), (3, "/s/**/*.C"), (3, "*.h"), (4, "/none"), (5, "/s/a"))
+    files = _table(spark, "path string, hash string", ("/s/a.c", "1"), ("/s/d/b.c", "2"), ("/x.h", "3"), ("/sx", None))
+    want = [(1, "/s/a.c", "/s/a.c"), (2, "/s", "/s/a.c"), (2, "/s", "/s/d/b.c"), (3, "*.h", "/x.h"), (3, "/s/**/*.C", "/s/a.c"), (3, "/s/**/*.C", "/s/d/b.c"), (4, "/none", None), (5, "/s/a", None)]
+    assert rows(access.declared_files(declared, files).select("task_id", "declared", "path")) == want
+
+
+def test_gates_and_forecasts(spark):
+    tasks = _table(spark, "signature int, inputs int, outputs int, n_outputs int", (1, 1, 1, 1), (2, 2, 2, 1), (3, 3, 9, 1), (4, 4, None, 0), (5, 5, 5, 1), (6, None, 6, 1), (7, 7, None, 1))
+    stored = _table(spark, "signature int, inputs int, outputs int", (1, 1, 1), (2, 0, 2), (3, 3, 3), (4, 4, None), (6, None, 6), (7, 7, None))
+    assert {r.signature: r.reason for r in incremental.gate(tasks, stored).collect()} == {1: "up to date", 2: "inputs changed", 3: "outputs changed", 4: "up to date", 5: "no entry", 6: "inputs changed", 7: "outputs changed"}
+    manifest = _table(spark, "key string, signature string, world_in string", ("k", "a", "1"), ("k", "b", "2"), ("other", "b", "3"), ("k", "b", "4"))
+    assert rows(incremental.prune(manifest, _table(spark, "signature string", ("a",)), "k")) == [("k", "a", "1"), ("other", "b", "3")]
+    assert incremental.prune(manifest, _table(spark, "signature string"), "k", partial=True).count() == 4
+    now = _table(spark, "task_id int, signature string, world_in string, world_out string, missing_output boolean", *((i, f"s{i}", "i", "o", False) for i in range(5)))
+    known = _table(spark, "signature string, world_in string, world_out string", *((f"s{i}", "x" if i == 1 else "i", "o") for i in range(5)))
+    edge = _table(spark, "src int, dst int", (0, 1), (1, 2), (2, 3))
+    up = "up to date"
+    assert rows(incremental.forecast(now, known, edge)) == [(0, 0, True, up, False), (1, 1, False, "inputs changed", False), (2, 2, True, up, True), (3, 3, True, up, True), (4, 0, True, up, False)]
+    assert incremental.forecast(now.filter("false"), known, edge.filter("false")).count() == 0
+    counts = incremental.outcome_counts(_table(spark, "outcome string", ("hit",), ("ok",), ("ok",), ("failed",), (None,)))
+    assert rows(counts) == [(5, 1, 2, 1)]
+    kinds = _table(spark, "path string, kind string", ("/a", "file"))
+    one = lambda p: incremental.existence(_table(spark, "task_id int, path string", (1, p)), kinds).first()["world"]
+    assert one("/a") != one("/b") and one("/a") == one("/a")
+    kept, cacheable = incremental.expand_declared(_table(spark, "task_id int, path string", (1, "${X}/a"), (1, "${Y}/b"), (2, "c")), {"X": "/x"})
+    assert rows(kept) == [(1, "/x/a"), (2, "c")] and rows(cacheable) == [(1, False), (2, True)]
+
+
+def test_effective_producers_and_bases(spark):
+    tp = _paths(spark, (1, "output", "/A"), (2, "mutating", "/a"), (3, "input", "/a"), (4, "mutating", "/a"), (5, "output", "/b"), (6, "exclusive", "/b"), (7, "mutating", "/b"), (8, "mutating", "/c"), (9, "mutating", "/d/*"))
+    assert rows(lineage.effective_producers(tp)) == [("/a", 2), ("/b", 5), ("/c", 8)]
+    files = _table(spark, "path string", ("/r/s/a",), ("/r/b",), ("/rx/c",))
+    assert rows(identity.relative_to(files, _table(spark, "path string", ("/r",), ("/r/s/",)))) == [("/r/b", "b"), ("/r/s/a", "a"), ("/rx/c", "/rx/c")]
+    old, new = (_table(spark, "name string, value string", *p.items()) for p in ({"mode": "content", "hash_algorithm": "sha256", "gone": "1"}, {"mode": "content", "hash_algorithm": "crc32"}))
+    assert rows(identity.diff_params(old, new)) == [("gone", "1", None), ("hash_algorithm", "sha256", "crc32")]
+
+
+def test_memo_and_lists(spark, tmp_path):
+    path = str(tmp_path / "memo")
+    record = "file_key long, stat_tag long, content_hash string, epoch long"
+    assert corpus.read_memo(spark, path).count() == 0
+    corpus.append_memo(_table(spark, record, (1, 1, "a", 1), (2, 1, "b", 1), (2, 1, "b", 1)), path)
+    corpus.append_memo(_table(spark, record, (1, 2, "c", 2), (2, 1, "b", 2)), path)
+    want = [(1, 2, "c", 2), (2, 1, "b", 1)]
+    assert rows(corpus.read_memo(spark, path)) == want and spark.read.parquet(f"{path}/log/first").count() == 3
+    assert corpus.compact_memo(spark, path) and not corpus.compact_memo(spark, path)
+    assert rows(corpus.read_memo(spark, path)) == want
+    corpus.append_memo(_table(spark, record, (1, 3, "d", 40)), path)
+    assert rows(corpus.read_memo(spark, path)) == [(1, 3, "d", 40)]  # the other was not seen in 32 runs
+    (tmp_path / "l1").write_text("B=${X}\n# no\n\nA\n")
+    (tmp_path / "l2").write_text("A\n")
+    assert corpus.env_text(spark, [str(tmp_path / "l1"), str(tmp_path / "l2")], {"X": "1"}).first()[0] == "A\nB=1"
+
+
+def test_sinks_and_arrivals(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.txt").write_text("[create n=1]|f|text\njunk\n")
+    stream = lambda: actions.parse(spark.readStream.text(str(source)))
+    actions.sink(stream(), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "c1")).awaitTermination(60)
+    assert spark.read.json(str(tmp_path / "good")).count() == 1 and rows(spark.read.json(str(tmp_path / "bad")).select("value", "error")) == [("junk", "malformed line")]
+    with pytest.raises(Exception, match="malformed line"):
+        actions.sink(stream(), str(tmp_path / "g2"), str(tmp_path / "b2"), str(tmp_path / "c2"), strict=True).awaitTermination(60)
+    assert not (tmp_path / "g2").exists()
+    q = actions.arriving(spark, str(source)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    want = corpus.scan(spark, [str(source)]).select("path", "size", "mtime_ns", identity.content_hash(F.col("content")).alias("hash"))
+    assert rows(spark.table("arrived")) == rows(want)
