@@ -1,8 +1,8 @@
 """Main text of web pages, with site template removal.
 
 A page is cut into elements by one pass over its tags. The subtrees of block elements are hashed (their source, white space
-folded), counted by host in Spark, and those that recur on many pages of a host are the site's template. They are deleted,
-and so is what never is main text by its element or by a class, id or role that names its purpose. If the page marks its
+folded), counted by host in Spark, and those that recur on many different pages of a host are the site's template; copies of
+one page count once. They are deleted, and so is what never is main text by its element or by a class, id or role that names its purpose. If the page marks its
 article (article, main, role=main), the text is what is left inside; otherwise what is left of the body.
 
 Inside a marked article only containers (div, section, aside, lists, tables) can be template, never its headings and
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, table
 
-#: A subtree is template from so many pages of a host on, if it is on at least this share of the host's pages.
+#: A subtree is template from so many pages of a host on, if it is on at least this share of the host's different pages.
 MIN_PAGES, MIN_SHARE = 5, 0.2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas video audio".split())
@@ -119,48 +120,75 @@ def parse(source: str) -> tuple[list[Node], list[tuple[str, Node]]]:
     return nodes, texts
 
 
-def subtree_hash(source: str, node: Node) -> int:
-    h = xxhash.xxh64_intdigest(" ".join(source[node.start : node.stop].split()).encode("utf-8", "surrogatepass"))
+def _hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
+def subtree_hash(source: str, node: Node) -> int:
+    return _hash(" ".join(source[node.start : node.stop].split()))
+
+
 def can_be_template(node: Node) -> bool:
     if node.inside:
         return node.tag in CONTAINERS and not (node.tag == "div" and 'role="main"' in node.attrs)
     return node.tag in BLOCK and node.tag not in ("html", "body")
 
 
+def blocks(nodes: list[Node], texts: list[tuple[str, Node]]) -> Iterator[tuple[str, Node]]:
+    """The blocks of text that are not gone, entities resolved and white space folded, each with an element it stands in."""
+    marked = any(n.inside and not n.gone for n in nodes)
+    now: list[str] = []
+    inside = nodes[0]
+    for text, node in [*texts, (None, nodes[0])]:
+        if text is not None:
+            if not node.gone and (node.inside or not marked):
+                now.append(text)
+                inside = node
+        elif now:
+            if block := " ".join(html_lib.unescape("".join(now)).split()):
+                yield block, inside
+            now = []
+
+
 def main_text(source: str, template: frozenset[int] | set[int]) -> str:
     nodes, texts = parse(source)
+    articles: Counter[Node] = Counter()  # how many marked articles an element is or holds
+    for node in nodes[1:] if template else ():
+        if node.inside and not node.gone and not node.parent.inside:
+            up = node
+            while up is not None:
+                articles[up] += 1
+                up = up.parent
+    left = articles[nodes[0]]
     for node in nodes[1:]:  # parents come first
         if node.parent.gone:
             node.gone = True
         elif not node.gone and template and can_be_template(node) and subtree_hash(source, node) in template:
+            if 0 < articles[node] == left:
+                continue  # the page's last marked article is never deleted with what is around it
+            left -= articles[node]
             node.gone = True
-    marked = any(n.inside and not n.gone for n in nodes)
-    blocks: list[str] = []
-    now: list[str] = []
-    for text, node in texts:
-        if text is None:
-            if now:
-                blocks.append("".join(now))
-                now = []
-        elif not node.gone and (node.inside or not marked):
-            now.append(text)
-    blocks.append("".join(now))
-    return "\n".join(b for b in (" ".join(html_lib.unescape(b).split()) for b in blocks) if b)
+    return "\n".join(b for b, _ in blocks(nodes, texts))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, html) to a row for each subtree of a page that could be template and isn't deleted anyway, each hash once."""
+    """(k1, k2, html) to each page's subtrees that could be template and aren't deleted anyway, and its blocks of text, each
+    with those subtrees that it stands in."""
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("t", pa.int64()), ("up", pa.list_(pa.int64()))])))
     for batch in batches:
         k1, k2, pages = (c.to_pylist() for c in batch.columns)
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple] = []
         for a, b, source in zip(k1, k2, pages):
-            if source:
-                rows += [(a, b, h) for h in {subtree_hash(source, n) for n in parse(source)[0][1:] if can_be_template(n) and not (n.parent.gone and n.gone)}]
-        cols = list(zip(*rows)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "h"])
+            if not source:
+                continue
+            nodes, texts = parse(source)
+            up: dict[Node | None, list[int]] = {None: []}
+            for n in nodes:  # parents come first
+                up[n] = [*up[n.parent], subtree_hash(source, n)] if n.parent is not None and not n.gone and can_be_template(n) else up[n.parent]
+            rows.append((a, b, list({h for hs in up.values() for h in hs}), [{"t": _hash(t), "up": up[n]} for t, n in blocks(nodes, texts)]))
+        cols = list(zip(*rows)) if rows else [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["k1", "k2", "subtrees", "texts"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,20 +201,36 @@ def host(url) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def often(rows: DataFrame, page: str, min_pages: int, min_share: float) -> DataFrame:
+    """(k1, h): what recurs, from distinct (k1, page, h) of all pages, h null where a page has none."""
+    sites = rows.select("k1", page).distinct().groupBy("k1").agg(F.count(F.lit(1)).alias("pages"))
+    counts = rows.filter("h is not null").groupBy("k1", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    return counts.join(sites, "k1").filter(F.col("n") >= min_share * F.col("pages")).select("k1", "h")
+
+
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(k1, k2, hashes): for each page, named by hashes of host and url and of the html, its subtrees that are the site's template."""
-    rows = materialize(pages.select("k1", "k2", "html").mapInArrow(_subtrees, "k1 long, k2 long, h long"), "subtrees")
-    sites = pages.groupBy("k1").agg(F.count(F.lit(1)).alias("pages"))
-    counts = rows.groupBy("k1", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    often = counts.join(sites, "k1").filter(F.col("n") >= min_share * F.col("pages")).select("k1", "h")
-    return rows.join(often, ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
+    """(k1, k2, hashes): for each page, named by hashes of host and url and of the html, its subtrees that are the site's template.
+
+    Copies of a page count once: what recurs on pages with different html is template only if it also does on pages that
+    differ in what doesn't recur. So an article under several urls, or in print and mobile variants, is no template of its own.
+    """
+    found = pages.select("k1", "k2", "html").mapInArrow(_subtrees, "k1 long, k2 long, subtrees array<long>, texts array<struct<t: long, up: array<long>>>")
+    found = materialize(found.dropDuplicates(["k1", "k2"]), "subtrees")
+    each = found.select("k1", "k2", F.explode_outer("subtrees").alias("h"))
+    recurring = materialize(each.join(often(each, "k2", min_pages, min_share), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes")), "recurring")
+    own = F.filter("texts", lambda x: ~F.exists(x["up"], lambda h: F.array_contains("hashes", h)) | F.col("hashes").isNull())
+    # a page whose marked article has no text is told from others by its html
+    own = F.when(F.size("texts") == 0, F.col("k2")).otherwise(F.xxhash64(F.array_sort(F.array_distinct(F.transform(own, lambda x: x["t"])))))
+    kept = found.join(recurring, ["k1", "k2"], "left").select("k1", own.alias("own"), F.explode_outer("hashes").alias("h")).distinct()
+    return recurring.select("k1", "k2", F.explode("hashes").alias("h")).join(often(materialize(kept, "own"), "own", min_pages, min_share), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html).
 
-    Null and empty html give an empty text; pages without a url share the empty host. Equal pages of a host count once for
-    each copy. Broken markup never fails: what is not closed ends with what contains it. Empty tables give no rows.
+    Null and empty html give an empty text; pages without a url share the empty host. Copies of a page on a host count once,
+    and so do pages that differ only in what recurs. Variants of one page that each have a text of their own (a time of
+    printing, say) count as different pages. Broken markup never fails: what is not closed ends with what contains it. Empty tables give no rows.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     rows = pages.select("page_id", "url", "html").withColumns({"k1": F.xxhash64(host(F.col("url"))), "k2": F.xxhash64("html")})

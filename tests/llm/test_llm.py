@@ -251,6 +251,23 @@ def test_html(spark):
     assert got[12] == "Story 2 begins.\nIt ends © 2."
 
 
+def test_html_copies(spark):
+    nav = "<div><p>menu one</p></div>"
+    plain = f"<body>{nav}<p>Story {{0}} begins.</p><p>It ends {{0}}.</p></body>"
+    wrapped = f"<body>{nav}<div class=x><article><p>Piece {{0}}.</p><ul><li>a list</li></ul><div>a box</div></article></div><p>{{1}}</p></body>"
+    rows = [(f"http://a/{i}", plain.format(0)) for i in range(8)] + [(f"http://a/{i}", plain.format(i)) for i in range(8, 16)]  # copies under several urls
+    rows += [("http://b/1", plain.format(1))] * 9 + [(None, wrapped.format(1, "x"))] * 7  # hosts of copies only
+    rows += [(f"http://c/{i}", wrapped.format(1, f"version {i}")) for i in range(6)] + [(f"http://c/{i}", wrapped.format(i, "x").replace("a list", f"list {i}")) for i in range(6, 12)]  # variants
+    rows += [(f"http://d/{i}", plain.format(i % 7 // 6).replace("<body>", f"<body><!-- {i} -->")) for i in range(14)] + [(f"http://d/{i}", plain.format(i)) for i in range(14, 20)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(table).collect()}
+    piece = lambda i, a="a list": f"Piece {i}.\n{a}\na box"
+    want = [f"Story {i} begins.\nIt ends {i}." for i in [0] * 8 + list(range(8, 16))] + ["menu one\nStory 1 begins.\nIt ends 1."] * 9 + [piece(1)] * 7
+    want += [piece(1)] * 6 + [f"Piece {i}.\nlist {i}" for i in range(6, 12)] + [f"Story {i % 7 // 6} begins.\nIt ends {i % 7 // 6}." for i in range(14)] + [f"Story {i} begins.\nIt ends {i}." for i in range(14, 20)]
+    want[32:38] = ["Piece 1.\na list"] * 6  # the box is on different pages, the list only on variants of one
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
