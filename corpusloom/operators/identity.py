@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpusloom.functions import paths as P
 
 ALGORITHMS = ("sha256", "xxhash64", "crc32")
 #: Files in one chunk of the two-level fingerprint.
 CHUNK = 65_536
+#: Files in one piece of text that the one-level fingerprint takes.
+PIECE = 16
 
 
 def content_hash(content: Column, algorithm: str = "sha256") -> Column:
@@ -28,26 +35,74 @@ def first_of_path(files: DataFrame, order: Column) -> DataFrame:
     return files.withColumn("__n", F.row_number().over(Window.partitionBy("path").orderBy(order))).filter("__n = 1").drop("__n")
 
 
-def tree_fingerprint(files: DataFrame, by: list[str], mode: str = "content") -> DataFrame:
-    """One hash of all files of a group (columns path, rel, hash): in the order of the reversed path, absent files left out."""
+def _items(files: DataFrame, by: list[str], mode: str) -> DataFrame:
+    """(*by, k, item, part, at) of the files that are there, written in the order of by and the reversed path k: a range sort,
+    so that a large group is spread over many partitions. at counts the rows of a partition."""
+    from corpusloom.sources.corpus import written  # it imports this module
+
     item = fingerprint_item(mode, F.col("path"), F.col("rel"), F.col("hash"))
     rows = files.filter(F.col("hash").isNotNull()).dropDuplicates(["path"]).select(*by, F.reverse("path").alias("k"), item.alias("item"))
-    joined = rows.groupBy(*by).agg(F.expr("listagg(item, '') within group (order by k)").alias("all"), F.count(F.lit(1)).alias("n_files"))
-    return joined.select(*by, "n_files", F.sha2("all", 256).alias("fingerprint"))
+    placed = written(rows.orderBy(*by, "k").withColumn("at", F.monotonically_increasing_id()))
+    return placed.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
 
 
-def chunked_fingerprint(files: DataFrame, mode: str = "content", chunk: int = CHUNK) -> DataFrame:
-    """The fingerprint of one very large tree, in two levels: a range sort by reversed path, hashes of chunks of consecutive
-    files, and a hash of those. It differs from the one-level form, so the form belongs to a snapshot's parameters."""
-    item = fingerprint_item(mode, F.col("path"), F.col("rel"), F.col("hash"))
-    rows = files.filter(F.col("hash").isNotNull()).dropDuplicates(["path"]).select(F.reverse("path").alias("k"), item.alias("item"))
-    placed = rows.orderBy("k").withColumn("at", F.monotonically_increasing_id()).checkpoint()
-    per = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = per.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    rank = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = placed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part").select("k", "item", F.floor(rank / chunk).alias("c"))
-    chunks = numbered.groupBy("c").agg(F.sha2(F.expr("listagg(item, '') within group (order by k)"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return chunks.agg(F.sum("n").alias("n_files"), F.sha2(F.expr("listagg(h, '') within group (order by c)"), 256).alias("fingerprint"))
+def tree_fingerprint(files: DataFrame, by: list[str], mode: str = "content") -> DataFrame:
+    """One hash of all files of a group (columns path, rel, hash): in the order of the reversed path, absent files left out.
+
+    Neighbours are joined in parallel to pieces of PIECE files; one task takes a group's pieces in their order and holds the
+    state of the hash and a batch of pieces, so a group of any size is hashed without ever being one string.
+    """
+    piece = F.floor(F.col("at") / PIECE).alias("piece")
+    pieces = _items(files, by, mode).groupBy(*by, "part", piece).agg(F.expr("listagg(item, '') within group (order by k)").alias("text"), F.count(F.lit(1)).alias("n"))
+    kinds = [pieces.schema[c] for c in by]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, state = None, 0, None
+
+        def rows(groups: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+            cols = zip(*groups)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*by, "n_files", "fingerprint"])
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            done: list[tuple] = []
+            types = [*(batch.schema.field(c).type for c in by), pa.int64(), pa.string()]
+            keys = zip(*(batch.column(c).to_pylist() for c in by)) if by else [()] * batch.num_rows
+            for key, text, m in zip(keys, batch.column("text").to_pylist(), batch.column("n").to_pylist()):
+                if key != last:
+                    if last is not None:
+                        done.append((*last, n, state and state.hexdigest()))
+                    last, n, state = key, 0, None
+                n += m
+                if text is not None:
+                    state = state or hashlib.sha256()
+                    state.update(text.encode())
+            if done:
+                yield rows(done, types)
+        if last is not None:
+            yield rows([(*last, n, state and state.hexdigest())], types)
+
+    dealt = pieces.repartition(*by) if by else pieces.coalesce(1)
+    out = dealt.sortWithinPartitions(*by, "part", "piece").mapInArrow(hashed, StructType([*kinds, StructField("n_files", LongType(), False), StructField("fingerprint", StringType())]))
+    return out if by else out.agg(F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"), F.max("fingerprint").alias("fingerprint"))
+
+
+def chunked_fingerprint(files: DataFrame, mode: str = "content", chunk: int = CHUNK, by: list[str] = ()) -> DataFrame:
+    """The fingerprint of very large trees, one for each group, in two levels: a range sort by group and reversed path, hashes of
+    chunks of consecutive files, and a hash of those. No task hashes more than a chunk, or a group's hashes of chunks. It
+    differs from the one-level form, so the form belongs to a snapshot's parameters."""
+    by = list(by)
+    placed = _items(files, by, mode)
+    per = placed.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = per.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    same = F.col("p.part") == F.col("s.part")
+    for c in by:
+        same &= F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
+    rank = F.col("s.start") + F.col("p.at") - F.col("s.first")
+    numbered = placed.alias("p").join(starts.alias("s"), same).select(*(F.col(f"p.{c}") for c in by), "p.k", "p.item", F.floor(rank / chunk).alias("c"))
+    chunks = numbered.groupBy(*by, "c").agg(F.sha2(F.expr("listagg(item, '') within group (order by k)"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    return chunks.groupBy(*by).agg(F.sum("n").alias("n_files"), F.sha2(F.expr("listagg(h, '') within group (order by c)"), 256).alias("fingerprint"))
 
 
 FIELDS = ("hash", "size", "inode", "mtime_ns", "mode")

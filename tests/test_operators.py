@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -88,6 +89,23 @@ def test_binary(spark):
     assert [r[0] for r in rows_.select(search.is_binary(F.col("c"))).collect()] == [False, True, False, False]
 
 
+def test_fingerprints_of_groups(spark):
+    """A group is hashed whole, over many partitions and pieces, and no aggregate holds it."""
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    data = [(f"/r/{i}", str(i), h(str(i)) if i % 50 else None, None if i % 4 == 0 else "big" if i % 10 else "small") for i in range(3000)]
+    files = spark.createDataFrame(data + data[:99], "path string, rel string, hash string, g string").repartition(7)
+    groups = {g: sorted((p[::-1], x) for p, _, x, y in data if x and y == g) for g in (None, "big", "small")}
+    one = identity.tree_fingerprint(files, ["g"])
+    assert {r.g: (r.n_files, r.fingerprint) for r in one.collect()} == {g: (len(v), h("".join(x for _, x in v))) for g, v in groups.items()}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "listagg(item" not in plan or "piece" in plan.split("listagg(item")[0].rpartition("Aggregate")[2]
+    two = {r.g: (r.n_files, r.fingerprint) for r in identity.chunked_fingerprint(files, chunk=100, by=["g"]).collect()}
+    assert two == {g: (len(v), h("".join(h("".join(x for _, x in v[i : i + 100])) for i in range(0, len(v), 100)))) for g, v in groups.items()}
+    whole = sorted((p[::-1], x) for p, _, x, _ in data if x)
+    assert rows(identity.tree_fingerprint(files, [])) == [(len(whole), h("".join(x for _, x in whole)))]
+    assert rows(identity.tree_fingerprint(files.limit(0), [])) == [(0, None)] and rows(identity.tree_fingerprint(files.limit(0), ["g"])) == []
+
+
 def test_nested_tree(spark):
     files = spark.createDataFrame([("/r/b/x.txt",), ("/r/b/c/y",), ("/r/a\"q",)], "path string")
     entries = select.with_directories(files, "/r")
