@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, table
 
-#: A subtree is template from so many pages of a host on, if it is on at least this share of the host's different pages.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template from so many different pages of a host on, if it is on at least this share of them, or on ENOUGH pages.
+MIN_PAGES, MIN_SHARE, ENOUGH = 5, 0.2, 500
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas video audio".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -201,14 +201,14 @@ def host(url) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def often(rows: DataFrame, page: str, min_pages: int, min_share: float) -> DataFrame:
+def often(rows: DataFrame, page: str, min_pages: int, min_share: float, enough: int) -> DataFrame:
     """(k1, h): what recurs, from distinct (k1, page, h) of all pages, h null where a page has none."""
     sites = rows.select("k1", page).distinct().groupBy("k1").agg(F.count(F.lit(1)).alias("pages"))
     counts = rows.filter("h is not null").groupBy("k1", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(sites, "k1").filter(F.col("n") >= min_share * F.col("pages")).select("k1", "h")
+    return counts.join(sites, "k1").filter((F.col("n") >= enough) | (F.col("n") >= min_share * F.col("pages"))).select("k1", "h")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH) -> DataFrame:
     """(k1, k2, hashes): for each page, named by hashes of host and url and of the html, its subtrees that are the site's template.
 
     Copies of a page count once: what recurs on pages with different html is template only if it also does on pages that
@@ -217,12 +217,12 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     found = pages.select("k1", "k2", "html").mapInArrow(_subtrees, "k1 long, k2 long, subtrees array<long>, texts array<struct<t: long, up: array<long>>>")
     found = materialize(found.dropDuplicates(["k1", "k2"]), "subtrees")
     each = found.select("k1", "k2", F.explode_outer("subtrees").alias("h"))
-    recurring = materialize(each.join(often(each, "k2", min_pages, min_share), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes")), "recurring")
+    recurring = materialize(each.join(often(each, "k2", min_pages, min_share, enough), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes")), "recurring")
     own = F.filter("texts", lambda x: ~F.exists(x["up"], lambda h: F.array_contains("hashes", h)) | F.col("hashes").isNull())
     # a page whose marked article has no text is told from others by its html
     own = F.when(F.size("texts") == 0, F.col("k2")).otherwise(F.xxhash64(F.array_sort(F.array_distinct(F.transform(own, lambda x: x["t"])))))
     kept = found.join(recurring, ["k1", "k2"], "left").select("k1", own.alias("own"), F.explode_outer("hashes").alias("h")).distinct()
-    return recurring.select("k1", "k2", F.explode("hashes").alias("h")).join(often(materialize(kept, "own"), "own", min_pages, min_share), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
+    return recurring.select("k1", "k2", F.explode("hashes").alias("h")).join(often(materialize(kept, "own"), "own", min_pages, min_share, enough), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

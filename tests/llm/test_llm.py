@@ -268,6 +268,13 @@ def test_html_copies(spark):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def test_html_hot_host(spark):
+    """What 500 different pages have is template however many pages the host has; what 500 copies have is not."""
+    rows = [(i, f"http://a/{i}", f"<body>{'<div>strike today</div>' if i < 500 else '<div>a quote</div>' if i < 1100 else ''}<p>Story {i if i < 500 or i >= 1100 else 'copied'}.</p></body>") for i in range(3800)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Story 7." and got[3000] == "Story 3000." and got[700] == "a quote\nStory copied."
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
