@@ -23,7 +23,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id."""
+    """One document of each group of near duplicates stays: that with the smallest id.
+
+    What is near is op9's contract (shingles of 3 words, 3 of 64 bits), not a five-word similarity of 0.8: of 1000 planted pairs
+    at that similarity 38 are found.
+    """
     return simhash.dedup(docs)
 
 
