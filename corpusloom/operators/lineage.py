@@ -164,10 +164,24 @@ def degrees(edge: DataFrame) -> DataFrame:
     return ends.groupBy("x.task_id").agg(F.sum("x.i").alias("n_in"), F.sum("x.o").alias("n_out"))
 
 
+def _jumps(table: DataFrame, size: int) -> DataFrame:
+    """(p, t, x, h, done) of links (p, t, x): where h hops lead, and whether that is an end. What isn't done ends in a cycle."""
+    known = table.select(F.col("p").alias("n")).distinct()
+    jump = written(table.join(known, table["t"] == known["n"], "left").select("p", "t", "x", F.lit(1).alias("h"), F.col("n").isNull().alias("done")))
+    reach = 1
+    while reach < size and not jump.filter("not done").isEmpty():
+        on = jump.select(F.col("p").alias("p2"), F.col("t").alias("t2"), F.col("x").alias("x2"), F.col("h").alias("h2"), F.col("done").alias("done2"))
+        moved = jump.filter("not done").join(on, F.col("t") == F.col("p2")).select("p", F.col("t2").alias("t"), F.col("x2").alias("x"), (F.col("h") + F.col("h2")).alias("h"), F.col("done2").alias("done"))
+        jump = written(jump.filter("done").unionByName(moved))
+        reach *= 2
+    return jump
+
+
 def resolve_links(links: DataFrame, most: int = 64) -> DataFrame:
     """(path, target, hops, state) of each link (path, target): resolved, cycle, or broken (a target marked not to exist).
 
-    links: path, target, exists (whether the target is there at all). Each round follows all open chains by one hop.
+    links: path, target, exists (whether the target is there at all). Each round follows all open chains by one hop; chains
+    longer than most hops are then followed by jumps that double each round, so a chain of any length is told from a cycle.
     """
     table = written(links.select(F.col("path").alias("p"), F.col("target").alias("t"), F.col("exists").alias("x")))
     open_ = table.select(F.col("p").alias("path"), F.col("t").alias("target"), F.col("x").alias("exists"), F.lit(1).alias("hops"))
@@ -180,7 +194,12 @@ def resolve_links(links: DataFrame, most: int = 64) -> DataFrame:
         open_ = step.filter("p is not null and t <> path").select("path", F.col("t").alias("target"), F.col("x").alias("exists"), (F.col("hops") + 1).alias("hops"))
         if open_.isEmpty() or k >= size:
             break
-    out = open_.select("path", "target", "hops", F.lit("cycle").alias("state"))  # it leads into a cycle that it isn't on
+    if size > most and not open_.isEmpty():
+        ends = _jumps(table, size).filter("done").select("p", F.col("t").alias("t2"), F.col("x").alias("x2"), "h")
+        open_ = written(open_.join(ends, open_["target"] == ends["p"], "left"))
+        done.append(open_.filter("p is not null").select("path", F.col("t2").alias("target"), (F.col("hops") + F.col("h")).alias("hops"), F.when(F.col("x2"), "resolved").otherwise("broken").alias("state")))
+        open_ = open_.filter("p is null")
+    out = open_.select("path", "target", "hops", F.lit("cycle").alias("state"))  # it leads into a cycle that it isn't on, or is on a long one
     for d in done:
         out = out.unionByName(d)
     return out

@@ -21,7 +21,7 @@ def parse(lines: DataFrame, known: tuple[str, ...] = ACTIONS) -> DataFrame:
     head, separator, rest = (F.regexp_extract("value", LINE, i) for i in (1, 2, 3))
     tokens = F.filter(F.split(F.trim(head), " +"), lambda x: x != "")
     name = F.lower(F.try_element_at(tokens, F.lit(1)))
-    options = F.map_from_entries(F.transform(F.filter(F.slice(tokens, 2, 64), lambda t: t.contains("=")), lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.regexp_replace(t, "^[^=]*=", "").alias("v"))))
+    options = F.map_from_entries(F.transform(F.filter(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(0))), lambda t: t.contains("=")), lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.regexp_replace(t, "^[^=]*=", "").alias("v"))))
     quoted = F.concat(F.lit("\\Q"), separator, F.lit("\\E"))
     ok = F.col("value").rlike(LINE)
     error = F.when(~ok, "malformed line").when(name.isNull(), "no action").when(~name.isin(*known), "unknown action")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.operators import access, identity, incremental, lineage, search, select
+from corpusloom.plans import globs
 from corpusloom.sources import corpus
 from corpusloom.streaming import actions
 
@@ -139,6 +140,17 @@ def test_edges_conflicts_waves(spark):
     assert rows(lineage.mutator_edges(m)) == sorted([(2, 5, "mutators"), (1, 2, "reader"), (2, 3, "reader"), (4, 2, "maker"), (4, 5, "maker"), (1, 5, "reader"), (3, 5, "reader")], key=str)
 
 
+def test_no_caps(spark):
+    """Long chains of links, many options on a line, classes beyond Latin."""
+    links = [(i, i + 1, True) for i in range(100)] + [(200 + i, 201 + i, False) for i in range(70)] + [(300 + i, 300 + (i + 1) % 80, True) for i in range(80)] + [(400, 300, True)]
+    got = {r.path: (r.target, r.hops, r.state) for r in lineage.resolve_links(spark.createDataFrame(links, "path long, target long, exists boolean")).collect()}
+    assert len(got) == len(links) and got[0] == (100, 100, "resolved") and got[40] == (100, 60, "resolved") and got[200] == (270, 70, "broken")
+    assert {got[i][2] for i in (300, 379, 400)} == {"cycle"}
+    line = "[echo " + " ".join(f"k{i}={i}" for i in range(90)) + "]|a"
+    assert len(actions.parse(spark.createDataFrame([(line,), ("[echo]|a",)], "value string")).first()["options"]) == 90
+    assert globs.overlap("[а-я].txt", "б.*") and globs.overlap("[一-龥]*", "[!a]") and globs.overlap("[α-ω]", "[!α-ψ]") and not globs.overlap("[а-я].txt", "α.*")
+
+
 def test_links_cover_status(spark):
     links = spark.createDataFrame([(1, 2, True), (2, 9, True), (3, 4, True), (4, 3, True), (5, 3, True), (6, 8, False)], "path long, target long, exists boolean")
     assert {r.path: (r.target, r.state) if r.state != "cycle" else "cycle" for r in lineage.resolve_links(links).collect()} == {1: (9, "resolved"), 2: (9, "resolved"), 3: "cycle", 4: "cycle", 5: "cycle", 6: (8, "broken")}
