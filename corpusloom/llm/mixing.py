@@ -3,7 +3,7 @@
 Targets are a water filling over sources. Each source has a weight schedule over training time 0..1; its integral is the
 source's cumulative token demand F(t), scaled to reach the target at t = 1. Documents of a source stand in a fixed order (MD5
 of the id); the copy that begins after c words of that source is wanted at the position t with F(t) = c, the inverse of the
-demand. Sorting all copies by position is one range sort.
+demand. Sorting all copies by position is one range sort, which is left to the caller: positions come unsorted, rounded to 6 decimals.
 
 Running totals are taken in two levels: a source is split into hash buckets, the buckets' totals are summed first, and only
 rows of one bucket meet in a task. A source with a third of all rows is therefore spread over all buckets.
