@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run takes a temporary one, and
+    on a cluster, where each executor would write to its own disk, it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,7 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that all its readers are done with."""
-    for file in df.inputFiles()[:1]:
+    for file in df.inputFiles()[:1]:  # all its files lie in one folder
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -57,6 +60,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WS}+"), "")
 
 
+#: A key with this share of all rows is hot, so there are at most so many hot keys; and rows below which none is.
+HOT_SHARE, HOT_LEAST = 10_000, 32
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """rows joined with facts, which has one row for each key; columns on must not be null.
+
+    Keys with a HOT_SHARE-th of all rows are at most HOT_SHARE, so their facts are broadcast and their rows stay where they are;
+    the others are shuffled. A key that holds a third of all rows is therefore no task of its own.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    least = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    hot = F.broadcast(counts.filter(F.col("__n") >= least).select(*on))  # at most HOT_SHARE keys
+    known = F.broadcast(facts.join(hot, on, "left_semi"))
+    near = rows.join(hot, on, "left_semi").join(known, on, how)
+    far = rows.join(hot, on, "left_anti").join(facts, on, how)
+    return near.unionByName(far)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
     """df with, for each name in sums, the total of that column over all rows before this one in the given order.
 
