@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import join_hot, materialize, table
 from corpusloom.llm.components import components
 
 RADIUS = 3
@@ -213,6 +213,19 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
+def classes_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component, component_id) of each different fingerprint of prints (doc_id, fp): component is the least fingerprint
+    that can be reached, component_id the smallest doc_id that has one of them, null if none has an id."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
+    found = components(edges(classes.select("fp"), radius))
+    linked = materialize(classes.join(found, classes["fp"] == found["node"]).select("fp", "component", "least_id"), "linked")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    moved = linked.select("fp", "component").join(least, "component")
+    # only classes that are linked to others need more than their own minimum
+    alone = classes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("least_id").alias("component_id"))
+    return materialize(moved.select("fp", "component", "component_id").unionByName(alone), "components")
+
+
 def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs: component_id is the smallest doc_id whose fingerprint can be reached.
 
@@ -220,21 +233,45 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     of only such rows has a null component_id. Repeated rows stay, with equal results. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    found = components(edges(classes.select("fp"), radius))
-    linked = classes.join(found, classes["fp"] == found["node"])
-    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    moved = linked.join(least, "component").select("fp", "component_id")
-    # only classes that are linked to others need more than their own minimum
-    per_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(per_class, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(prints, classes_of(prints, radius), ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs with r1, r2: hashes of a row's id and text, by which it is told from others."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text")]
+    return docs.withColumns({"__r1": F.xxhash64(*parts), "__r2": F.xxhash64(F.lit("second"), *parts)})
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows without doc_id stay; of repeated rows one stays."""
-    keep = near_components(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """docs with one row of each component: that with the smallest doc_id, rows without one last, ties to the smaller hash of
+    the text. Of rows equal in doc_id and text one stays, the least by a hash of its other columns.
+
+    Rows are told apart by id and text, never by id alone, so texts that share an id are separate documents. Only what must
+    go, or is repeated, is looked up for the rows; clashing column names don't matter. An empty table gives no rows.
+    """
+    keyed = _row_key(docs.select("doc_id", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3)
+            fps = [_signed(fingerprint(texts[i].as_py())) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64())], ["doc_id", "__r1", "__r2", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = materialize(keyed.select("doc_id", "__r1", "__r2", "text").mapInArrow(run, f"doc_id {kind}, __r1 long, __r2 long, fp long"), "fingerprints")
+    found = components(edges(materialize(prints.select("fp").distinct(), "classes"), radius)).select(F.col("node").alias("fp"), "component")
+    # a fingerprint's own best row first, so that a component never gathers more than its different fingerprints
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__r1", "__r2")
+    best = materialize(prints.groupBy("fp").agg(F.min(order).alias("best")).join(found, "fp", "left").select("fp", "best", F.coalesce("component", "fp").alias("component")), "classes")
+    keep = best.groupBy("component").agg(F.min("best").alias("keep")).select("keep.__r1", "keep.__r2", F.lit(True).alias("__keep"))
+    rows = prints.groupBy("__r1", "__r2").agg(F.count(F.lit(1)).alias("n")).join(keep, ["__r1", "__r2"], "left")
+    fate = materialize(rows.filter("__keep is null or n > 1").select("__r1", "__r2", (F.col("__keep").isNotNull()).alias("__one")), "fates")
+    named = _row_key(docs)
+    single = named.join(fate, ["__r1", "__r2"], "left_anti").drop("__r1", "__r2")
+    repeated = named.join(fate.filter("__one"), ["__r1", "__r2"], "left_semi")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = repeated.groupBy("__r1", "__r2").agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("row"))
+    return single.unionByName(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
