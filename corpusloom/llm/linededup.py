@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, materialize, table
+from corpusloom.llm.common import WORD, discard, materialize, table
 
 #: A repeated run counts from so many lines on (a power of two), and a single line from so many words on.
 MIN_LINES, MIN_WORDS = 2, 10
@@ -30,15 +30,19 @@ def _units(text: Column) -> Column:
     return F.split(text, r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])")
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """docs with d, f: the place of a document in corpus order. Rows without id come last; equal rows share a place."""
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "f": F.xxhash64("text")})
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs, written once, with d, f, u: the place of a row in corpus order, which no other row has. Rows without id come last."""
+    taken = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("d", "f", "u") if c in docs.columns})
+    d = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST_ID))
+    return materialize(taken.withColumns({"d": d, "f": F.xxhash64("text"), "u": F.monotonically_increasing_id()}), "line-rows")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(d, f, i, h1, h2, long_line) for each line with a word; h1 and h2 hash the line without white space around it."""
-    out = _named(docs).select("d", "f", F.posexplode(_units(F.col("text"))).alias("i", "unit")).withColumn("line", F.btrim("unit", F.lit(_BLANKS)))
-    return out.filter("line <> ''").select("d", "f", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), (F.regexp_count("line", F.lit(f"{WORD}+")) >= MIN_WORDS).alias("long_line"))
+def lines(placed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, f, u, i, h1, h2, long_line) for each line with a word; h1 and h2 hash the line without white space around it."""
+    out = placed.select("d", "f", "u", F.posexplode(_units(F.col("text"))).alias("i", "unit"))
+    out = out.withColumn("line", F.btrim("unit", F.lit(_BLANKS))).filter("line <> ''")
+    long_line = F.regexp_count("line", F.lit(f"{WORD}+")) >= min_words
+    return out.select("d", "f", "u", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), long_line.alias("long_line"))
 
 
 def _ranked(groups: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -47,62 +51,81 @@ def _ranked(groups: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def later_copies(sequence: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(d, f, i, reach, level): for each repeated line, how many lines from it on are a later copy (0: none), and the last
+    """(u, i, reach, level): for each repeated line, how many lines from it on are a later copy (0: none), and the last
     round in which its suffix had a twin."""
-    place = F.struct("d", "f", "i")
+    place = F.struct("d", "f", "u", "i")
     first = _ranked(sequence.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")), ["h1", "h2"], "line-ranks")
-    reach = F.when(F.col("long_line") & (place != F.col("origin")) if min_lines > 1 else place != F.col("origin"), 1).otherwise(0)
-    active = materialize(sequence.join(first, ["h1", "h2"]).select("d", "f", "i", "rank", reach.alias("reach")), "line-suffixes")
-    settled, level = [], 0
+    later = place != F.col("origin")
+    reach = F.when(F.col("long_line") & later if min_lines > 1 else later, 1).otherwise(0)
+    active = materialize(sequence.join(first, ["h1", "h2"]).select("d", "f", "u", "i", "rank", reach.alias("reach")), "line-suffixes")
+    settled, level, read = [], 0, [first, active]
     while not active.isEmpty():
         step = 1 << level
-        ahead = Window.partitionBy("d", "f").orderBy("i").rangeBetween(step, step)
+        ahead = Window.partitionBy("u").orderBy("i").rangeBetween(step, step)
         pairs = active.withColumn("next", F.first("rank").over(ahead))
         groups = pairs.filter("next is not null").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin"))
         ranks = _ranked(groups.withColumnRenamed("rank", "head"), ["head", "next"], "line-ranks")
         joined = pairs.join(ranks.withColumnRenamed("next", "tail"), (F.col("head") == pairs["rank"]) & (F.col("tail") == F.col("next")), "left")
-        copy = ranks["rank"].isNotNull() & (place != F.col("origin")) & F.lit(2 * step >= min_lines)
-        done = materialize(joined.select("d", "f", "i", ranks["rank"].alias("rank"), F.when(copy, 2 * step).otherwise(F.col("reach")).alias("reach")), "line-suffixes")
-        settled.append(done.filter("rank is null").select("d", "f", "i", "reach", F.lit(level).alias("level")))
-        active, level = done.filter("rank is not null"), level + 1
+        copy = ranks["rank"].isNotNull() & later & F.lit(2 * step >= min_lines)
+        reach = F.when(copy, 2 * step).otherwise(F.col("reach")).alias("reach")
+        done = materialize(joined.select("d", "f", "u", "i", ranks["rank"].alias("rank"), reach), "line-suffixes")
+        settled.append(done.filter("rank is null").select("u", "i", "reach", F.lit(level).alias("level")))
+        for table_ in [*read, ranks]:
+            discard(table_)
+        active, level, read = done.filter("rank is not null"), level + 1, []
     if not settled:
-        return active.select("d", "f", "i", "reach", F.lit(0).alias("level"))
+        return active.select("u", "i", "reach", F.lit(0).alias("level"))
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
     return out
 
 
-def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(d, f, runs): the maximal runs of lines to delete from a document, as structs of the first and last line's number."""
-    marks = later_copies(materialize(lines(docs), "lines"), min_lines)
-    document = Window.partitionBy("d", "f").orderBy("i")
-    covered = marks.withColumn("stop", F.max(F.col("i") + F.col("reach")).over(document)).filter("stop > i").select("d", "f", "i").distinct()
-    islands = covered.withColumn("island", F.col("i") - F.row_number().over(document)).groupBy("d", "f", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    return islands.groupBy("d", "f").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+def removed_runs(placed: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(u, runs): the maximal runs of lines to delete from a row, in order, as structs of the first and last line's number."""
+    marks = later_copies(materialize(lines(placed, min_words), "lines"), min_lines)
+    document = Window.partitionBy("u").orderBy("i")
+    covered = marks.withColumn("stop", F.max(F.col("i") + F.col("reach")).over(document)).filter("stop > i").select("u", "i")
+    islands = covered.withColumn("island", F.col("i") - F.row_number().over(document)).groupBy("u", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    return islands.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, report: bool = False) -> DataFrame:
+def _between(units: Column, runs: Column) -> Column:
+    """The lines that no run holds: the slices between neighbouring runs, so that the work grows with the text alone."""
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get(runs, k - 1)["last"] + 1)
+    stop = lambda k: F.coalesce(F.get(runs, k)["first"], F.size(units))
+    gaps = F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: F.slice(units, start(k) + 1, stop(k) - start(k)))
+    return F.flatten(gaps)
+
+
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, report: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of repeated runs of lines deleted from text.
 
-    A run counts from min_lines lines on, or as a single line of MIN_WORDS words or more. Corpus order is doc_id, then the
-    text's hash, then the line; the first copy stays. Lines are compared without white space around them; lines without a
-    word never count, and go with the line before them. A text that loses all its lines becomes empty; null texts stay
-    null. Rows equal in doc_id and text get the same result. An empty table gives no rows.
+    A run counts from min_lines lines on, or as a single line of min_words words or more (1: every line with a word). Corpus
+    order is doc_id, then the text's hash, then the row, then the line; the first copy stays. Each row is a document of its own,
+    whatever its id, so of rows equal in every column one keeps its text and the others lose what counts as a run. Ids that are
+    null or no number come last. Lines are compared without white space around them; lines without a word never count, and go
+    with the line before them. A text that loses all its lines becomes empty; null texts stay null. An empty table gives no
+    rows; columns d, f and u of docs stay as they are.
 
     report: columns n_lines, n_removed and n_runs are added.
     """
-    runs = removed_runs(docs.select("doc_id", "text"), min_lines).alias("r")
-    named = _named(docs.withColumnRenamed("d", "__own_d").withColumnRenamed("f", "__own_f")).alias("n")
-    rows = named.join(runs, ["d", "f"], "left").withColumn("__units", _units(F.col("text")))
-    kept = F.filter("__units", lambda u, j: ~F.exists("runs", lambda x: (j >= x["first"]) & (j <= x["last"])))
-    rows = rows.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
-    back = [F.col({"d": "__own_d", "f": "__own_f"}.get(c, c)).alias(c) for c in docs.columns]
+    placed = _placed(docs)
+    runs = removed_runs(placed, min_lines, min_words).withColumnRenamed("u", "__u").withColumnRenamed("runs", "__runs")
+    rows = placed.join(runs, F.col("u") == F.col("__u"), "left").withColumn("__units", _units(F.col("text")))
+    kept = F.concat_ws("\n", _between(F.col("__units"), F.col("__runs")))
+    rows = rows.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(kept))
+    back = [F.col(f"__own_{c}" if c in ("d", "f", "u") else f"`{c}`").alias(c) for c in docs.columns]
     if not report:
         return rows.select(*back)
     n = F.size(F.filter("__units", lambda u: u.rlike(WORD)))
-    removed = F.aggregate("runs", F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1)
-    return rows.select(*back, F.when(F.col("__units").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"))
+    removed = F.aggregate("__runs", F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1)
+    return rows.select(
+        *back,
+        F.when(F.col("__units").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__runs"), F.lit(0)).cast("long").alias("n_runs"),
+    )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
