@@ -5,8 +5,10 @@ walks all trees at once with one priority queue, whose order is the smallest mar
 side, until the leaves that it has reached hold enough vectors. Leaves and queries then meet in Spark by leaf; a task ranks a
 leaf's vectors exactly and passes on the nearest few for each query.
 
-Equal vectors are one entry of the index, with the few smallest ids that could ever be among the nearest, so a vector with
-very many copies does not swell a leaf, and nothing is lost. Leaves above a size are split by salt.
+Equal vectors are one entry of the index, named by two hashes of the vector, with the few smallest ids that could ever be among
+the nearest; a vector with very many copies does not swell a leaf, is asked for once, and nothing is lost. Leaves above a size
+are split by salt. The forest deepens with the index up to DEPTH levels, which bounds what is broadcast; beyond that its leaves
+grow with the index.
 """
 
 from __future__ import annotations
@@ -19,20 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import join_hot, materialize, table
 
-#: Nearest to return; trees; vectors that the trees are fitted on, at most about; of these in a leaf; vectors that a query looks
-#: at, about, as a share of the index and at least; rows of a leaf in one task.
-NEAREST, TREES, SAMPLE, LEAF, LOOK_SHARE, LOOK_LEAST, SALT_ROWS = 10, 12, 20_000, 64, 0.8, 6_000, 20_000
+#: Nearest to return; trees; vectors that the trees are fitted on, at most about; of the index in a leaf, and levels of a tree at
+#: most; vectors that a query looks at, about, as a share of the index and at least; rows of a leaf in one task.
+NEAREST, TREES, SAMPLE, LEAF, DEPTH, LOOK_SHARE, LOOK_LEAST, SALT_ROWS = 10, 12, 20_000, 128, 12, 0.8, 6_000, 20_000
 
 
 class Forest:
-    """Complete binary trees over random directions, each split at the sample's median."""
+    """Complete binary trees over random directions, each split at the sample's median; size is that of the index."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
+    def __init__(self, sample: np.ndarray, size: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
         rng = np.random.default_rng(seed)
         n, dim = sample.shape
-        self.depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+        self.depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, size / leaf))))))
         inner = (1 << self.depth) - 1
         self.normals = np.zeros((trees, inner, dim), np.float32)
         self.cuts = np.zeros((trees, inner), np.float32)
@@ -63,8 +65,10 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, q: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until their sizes sum to enough."""
+    def search(self, q: np.ndarray, sizes: np.ndarray, enough: int | None) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue, until their sizes sum to enough; all leaves of one tree if that is None."""
+        if enough is None:
+            return [(0, int(leaf)) for leaf in np.flatnonzero(sizes[0])]
         inner = (1 << self.depth) - 1
         margins = self.normals @ q - self.cuts
         queue = [(0.0, t, 0) for t in range(len(self.normals))]
@@ -83,10 +87,11 @@ class Forest:
         return got
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part: not null, of the commonest length, all finite, not all zero."""
-    v = F.col("embedding")
-    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+def usable(vectors: DataFrame, *keep: Column) -> DataFrame:
+    """(vec_id, v) of the rows that take part: not null, of the commonest length, all finite, not all zero; and columns keep."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), *keep)
+    rows = rows.filter(finite & F.exists("v", lambda x: x != 0))
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
     return rows.filter(F.size("v") == (lengths["n"] if lengths else -1))
 
@@ -95,69 +100,76 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float | None = LOOK_SHARE, least: int = LOOK_LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where queries holds, the k nearest other rows found, by Euclidean distance.
 
-    Rows that usable() leaves out are neither queries nor candidates. Repeated rows are one; of rows that share an id but not
-    the vector, each is a candidate and the nearer one counts. Ties go to the smaller id. A table with a single usable
-    row, or none, gives no rows.
+    look: the share of the index that a query looks at, repeats over trees counted, and at least `least` vectors; None looks at
+    every vector once, which is exact. Rows that usable() leaves out are neither queries nor candidates. Rows equal in id and
+    vector are one. Rows that share an id but not the vector are queries and candidates of their own, so such an id may come
+    twice. Ties go to the smaller id. A table with a single usable row, or none, gives no rows. Columns other than vec_id and
+    embedding are not read but by queries.
     """
-    rows = usable(vectors)
+    rows = usable(vectors, F.coalesce(queries, F.lit(False)).alias("asked"))
     kind = rows.schema["v"].dataType.simpleString()
-    hashed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
+    named = lambda df: df.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
     # the k + 1 smallest ids of a vector; Spark drops later rows before the shuffle
-    few = hashed.distinct().withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    entries = materialize(few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("entry"), F.collect_set("vec_id").alias("ids")).select("entry", "v", "ids"), "ann-entries")
+    few = named(rows.select("vec_id", "v")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    entry = few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.collect_set("vec_id").alias("ids"))
+    entries = materialize(entry, "ann-entries")
     n = entries.count()
-    asked = rows.filter(queries).select("vec_id", "v").distinct()
+    asked = materialize(named(rows.filter("asked")).select("vec_id", "h1", "h2").distinct(), "ann-asked")
     if not n:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     rate = min(1.0, SAMPLE / n)
-    picked = entries.filter(F.pmod(F.xxhash64("entry", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)).select("entry", "v").toPandas().sort_values("entry")  # about SAMPLE rows
-    forest = Forest(np.array(picked["v"].tolist(), np.float32).reshape(len(picked), -1) if len(picked) else np.zeros((1, entries.select(F.size("v")).first()[0]), np.float32))
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)  # bounded by the sample
+    fits = F.pmod(F.xxhash64("h1", "h2", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)
+    picked = entries.filter(fits).select("h1", "v").toPandas().sort_values("h1")  # about SAMPLE rows
+    sample = picked["v"].tolist() or [entries.select("v").first()["v"]]
+    forest = Forest(np.array(sample, np.float32), n)
+    context = vectors.sparkSession.sparkContext
+    shared = context.broadcast(forest)  # bounded by DEPTH
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaves = shared.value.leaves(_matrix(batch.column(1)).astype(np.float32))
-            trees = leaves.shape[1]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), trees))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)), pa.array(leaves.ravel())], ["entry", "tree", "leaf"])
+            leaves = shared.value.leaves(_matrix(batch.column(0)).astype(np.float32))
+            for t in range(leaves.shape[1]):
+                leaf, count = np.unique(leaves[:, t], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf), pa.array(count.astype(np.int64))], ["tree", "leaf", "n"])
 
-    placed = entries.select("entry", "v").mapInArrow(place, "entry long, tree int, leaf int")
     sizes = np.zeros((TREES, 1 << forest.depth), np.int64)
-    for r in placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each leaf: bounded by the sample
+    counted = entries.select("v").mapInArrow(place, "tree int, leaf int, n long")
+    for r in counted.groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():  # a row for each leaf: bounded by DEPTH
         sizes[r["tree"], r["leaf"]] = r["n"]
     salts = -(-sizes // SALT_ROWS)
-    known = vectors.sparkSession.sparkContext.broadcast((sizes, salts))
-    enough = max(LOOK_LEAST, int(LOOK_SHARE * n))
-    names = ["tree", "leaf", "salt", "asked", "id", "v"]
-    schema = f"tree int, leaf int, salt int, asked boolean, id long, v {kind}"
+    known = context.broadcast((sizes, salts))
+    enough = None if look is None else max(least, int(look * n))
+    used = 1 if look is None else TREES
+    names = ["tree", "leaf", "salt", "asked", "h1", "h2", "least", "v"]
+    schema = f"tree int, leaf int, salt int, asked boolean, h1 long, h2 long, least long, v {kind}"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaves = shared.value.leaves(_matrix(batch.column(1)).astype(np.float32))
-            entry = batch.column(0).to_numpy()
-            for t in range(leaves.shape[1]):
-                salt = (entry % np.maximum(1, known.value[1][t, leaves[:, t]])).astype(np.int32)
+            leaves = shared.value.leaves(_matrix(batch.column(3)).astype(np.float32))
+            h1 = batch.column(0).to_numpy()
+            for t in range(used):
+                salt = (h1 % np.maximum(1, known.value[1][t, leaves[:, t]])).astype(np.int32)
                 m = batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, t, np.int32)), pa.array(leaves[:, t]), pa.array(salt), pa.array(np.zeros(m, bool)), batch.column(0), batch.column(1)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, t, np.int32)), pa.array(leaves[:, t]), pa.array(salt), pa.array(np.zeros(m, bool)), *batch.columns], names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, salts = known.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1)).astype(np.float32)
+            x = _matrix(batch.column(3)).astype(np.float32)
             for i in range(batch.num_rows):
                 rows = [(t, leaf, s) for t, leaf in shared.value.search(x[i], sizes, enough) for s in range(int(salts[t, leaf]))]
                 at = pa.array(np.full(len(rows), i))
                 cols = np.array(rows, np.int32).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([*(pa.array(cols[:, c]) for c in range(3)), pa.array(np.ones(len(rows), bool)), batch.column(0).take(at), batch.column(1).take(at)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(cols[:, c]) for c in range(3)), pa.array(np.ones(len(rows), bool)), *(c.take(at) for c in batch.columns)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by leaf, vectors before queries, to the k + 1 nearest entries of the leaf for each query."""
@@ -168,7 +180,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
             asked_ = batch.column(3).to_numpy(zero_copy_only=False)
-            id_, x = batch.column(4).to_numpy(), _matrix(batch.column(5)).astype(np.float64)
+            id_ = np.stack([batch.column(c).to_numpy() for c in (4, 5, 6)], axis=1)
+            x = _matrix(batch.column(7)).astype(np.float64)
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (asked_[1:] != asked_[:-1])) + 1
             for a, b in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(keys)]))):
                 if tuple(keys[a]) != key:
@@ -178,7 +191,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
                     parts.append(x[a:b])
                     continue
                 if have is None:
-                    have = (np.concatenate(ids), np.concatenate(parts)) if ids else (np.zeros(0, np.int64), np.zeros((0, x.shape[1])))
+                    have = (np.concatenate(ids), np.concatenate(parts)) if ids else (np.zeros((0, 3), np.int64), np.zeros((0, x.shape[1])))
                 own, m = have
                 if not len(own):
                     continue
@@ -186,19 +199,27 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
                 for i in range(a, b):
                     d = np.sqrt(((m - x[i]) ** 2).sum(axis=1))
                     best = np.arange(len(d)) if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
-                    best = best[np.lexsort((own[best], d[best]))][: k + 1]
-                    for o, v in zip(out, (np.full(len(best), id_[i]), own[best], d[best])):
+                    best = best[np.lexsort((own[best, 2], d[best]))][: k + 1]
+                    for o, v in zip(out, (np.repeat(id_[i : i + 1, :2], len(best), axis=0), own[best], d[best])):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "entry", "score"])
-
-    both = entries.select("entry", "v").mapInArrow(index, schema).unionByName(asked.mapInArrow(probe, schema))
-    met = both.repartition("tree", "leaf", "salt").sortWithinPartitions("tree", "leaf", "salt", "asked").mapInArrow(meet, "query_id long, entry long, score double")
-    nearest_ = met.groupBy("query_id", "entry").agg(F.min("score").alias("score"))
-    by = Window.partitionBy("query_id").orderBy("score", "entry")
-    nearest_ = nearest_.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).drop("n")
-    each = nearest_.join(entries.select("entry", F.explode("ids").alias("vec_id")), "entry").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                q, e, d = (np.concatenate(o) for o in out)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[:, 0], q[:, 1], e[:, 0], e[:, 1], e[:, 2], d)], ["q1", "q2", "h1", "h2", "least", "score"])
+
+    searched = entries.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    both = entries.select("h1", "h2", "least", "v").mapInArrow(index, schema).unionByName(searched.select("h1", "h2", "least", "v").mapInArrow(probe, schema))
+    dealt = both.repartition("tree", "leaf", "salt").sortWithinPartitions("tree", "leaf", "salt", "asked")
+    met = dealt.mapInArrow(meet, "q1 long, q2 long, h1 long, h2 long, least long, score double")
+    found = met.groupBy("q1", "q2", "h1", "h2").agg(F.min("score").alias("score"), F.min("least").alias("least"))
+    by = Window.partitionBy("q1", "q2").orderBy("score", "least", "h1", "h2")
+    found = found.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1)
+    each = found.join(entries.select("h1", "h2", F.explode("ids").alias("vec_id")), ["h1", "h2"])
+    own = (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2"))
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy("score", "vec_id", "h1", "h2"))).filter(F.col("n") <= k + 1)
+    answers = each.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", own.alias("own")))).alias("near"))
+    answers = materialize(answers.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "near"), "ann-answers")
+    others = F.slice(F.filter("near", lambda x: ~(x["own"] & (x["vec_id"] == F.col("query_id")))), 1, k)
+    out = join_hot(asked.withColumnRenamed("vec_id", "query_id"), answers, ["h1", "h2"], "inner").select("query_id", F.posexplode(others).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
