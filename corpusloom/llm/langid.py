@@ -218,16 +218,21 @@ _COUNT_SCHEMA = "lang string, " + ", ".join(f"{c} long" for c in _COUNT_NAMES[1:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (doc_id, lang, text); rows without lang or text don't count.
 
-    The sample is what a hash of the id selects at the rate sample / rows of the language, so about that many rows for each
-    language; texts are counted whole. Of 8 sampled rows 7 are counted and 1 calibrates the rejection.
+    The sample is what a hash of the row (id, text and place in its partition) selects at the rate sample / rows of the language,
+    so about that many rows for each language, also where ids are null or repeated or rows are copies; texts are counted whole.
+    Of 8 sampled rows 7 are counted and 1 calibrates the rejection. A language whose sample is too small to calibrate is never
+    rejected. No labelled rows give a model without languages, which predicts "und".
     """
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).alias("h"))
+    row = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", row.alias("row"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(1 << 30)))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not sizes:
         return Model([], [], [], np.zeros(0, np.float32))
     rate = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))))
-    chosen = rows.filter(F.col("h") < F.try_element_at(rate, F.col("lang")) * (1 << 30)).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(8)).alias("fold"))
-    chosen = materialize(chosen.repartition(max(1, min(64, int(sum(min(n, sample) for n in sizes.values())) // 200)), F.xxhash64("text")), "langid-sample")
+    chosen = rows.filter(F.col("h") < F.try_element_at(rate, F.col("lang")) * (1 << 30)).select("lang", "text", F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(8)).alias("fold"))
+    # dealt out row by row, so that copies of a text are no task of their own
+    chosen = materialize(chosen.repartition(max(1, min(64, int(sum(min(n, sample) for n in sizes.values())) // 200))), "langid-sample")
     top = chosen.filter(F.col("fold") < COUNTED_OF_8).select("lang", "text").mapInArrow(_count, _COUNT_SCHEMA)
     keys = _COUNT_NAMES[1:-1]
     grams = materialize(top.groupBy("lang", *keys).agg(F.sum("n").alias("n")), "langid-grams")
