@@ -3,10 +3,10 @@
 Targets are a water filling over sources. Each source has a weight schedule over training time 0..1; its integral is the
 source's cumulative token demand F(t), scaled to reach the target at t = 1. Documents of a source stand in a fixed order (MD5
 of the id); the copy that begins after c words of that source is wanted at the position t with F(t) = c, the inverse of the
-demand. Sorting all copies by position is one range sort, which is left to the caller: positions come unsorted, rounded to 6 decimals.
+demand. All copies are range-sorted by position and numbered.
 
-Running totals are taken in two levels: a source is split into hash buckets, the buckets' totals are summed first, and only
-rows of one bucket meet in a task. A source with a third of all rows is therefore spread over all buckets.
+Running totals are taken over range sorts in two levels (`running`): a source with a third of all rows, or a null id that many
+rows share, is spread over many partitions. Texts are read once, for their sizes.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, running, table
+from corpusloom.llm.common import WORD, join_hot, materialize, running, table
 
 #: By the rank of the source: weight, and slope of its schedule (share at the end less share at the start, halved).
 WEIGHTS = (3, 1, 2)
 SLOPES = (-0.5, 0.0, 0.5)
-BUCKET_HEX = 3
 
 
 def n_words(text: Column) -> Column:
@@ -49,26 +48,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tupl
     return ranked.select("source", "source_size", target.alias("target"), "slope")
 
 
-def mix(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and positions (0 to 1, one for each copy begun) of each row of docs.
+def mix(docs: DataFrame, size: Column | None = None, row: str | None = None, **options) -> DataFrame:
+    """key, row, doc_id, size, source_size, target, taken and positions (0 to 1, one for each copy begun) of each row of docs.
 
     Every document of a source is taken whole times (target // source size), and then the first documents in MD5 order once
     more until the target is met; the last of these may be taken in part, so that the taken words are the target, rounded.
-    Null texts have size 0, are never taken and have no position. Repeated rows are documents of their own; ties in id are
-    broken by size. An empty table gives an empty result.
+    Null texts have size 0, are never taken and have no position. Repeated rows are documents of their own (row tells them
+    apart: the column of that name, or a number that it gets); ties in id are broken by size, then by row. An empty table gives
+    an empty result; other columns of docs are not read.
     """
-    rows = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    goal = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), **options)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size").alias("b")
-    g = goal.alias("g")
-    starts = starts.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "bucket", "start", "source_size", "target", "slope").alias("s")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
-    out = rows.join(starts, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
-    begun = F.col("start") + F.col("inside")
+    words = n_words(F.col("text")) if size is None else size
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    named = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), words.alias("size"), key.alias("key"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    rows = materialize(named, "mix-rows")
+    name = F.when(~F.col("no_name"), F.col("name"))
+    goal = targets(rows.groupBy(name.alias("source")).agg(F.sum("size").alias("source_size")), **options)
+    goal = goal.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), "source_size", "target", "slope")
+    order = [F.col(c) for c in ("no_name", "name", "key", "doc_id", "size", "row")]
+    total = materialize(running(rows, order, {"before": F.col("size")}, "mix-order"), "mix-totals")
+    starts = total.groupBy("name", "no_name").agg(F.min("before").alias("start"))
+    out = join_hot(total, goal.join(starts, ["name", "no_name"]), ["name", "no_name"], "inner")
+    begun = F.col("before") - F.col("start")
     goal_words = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), goal_words - whole * F.col("source_size") - begun))
@@ -77,12 +77,26 @@ def mix(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
     a, u = F.col("slope"), lambda c: c / F.col("target")
     position = lambda c: F.when(a == 0, u(c)).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * u(c)) - (1 - a)) / (2 * a))
     copies = F.when(F.col("size") > 0, F.ceil(taken / F.col("size"))).otherwise(0).cast("int")
-    at = lambda k: F.when(copies > k, F.round(position(begun + F.lit(k) * F.col("source_size")), 6))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), at(0).alias("first_position"), at(1).alias("second_position"))
+    at = lambda k: F.when(copies > k, F.lit(0.0) + position(begun + F.lit(k) * F.col("source_size")))
+    return out.select("row", "doc_id", "size", "source_size", "target", taken.alias("taken"), at(0).alias("first_position"), at(1).alias("second_position"), "key")
+
+
+def schedule(plan: DataFrame) -> DataFrame:
+    """row, copy (0, 1), position and place of every copy that mix() begins: places number all copies from 0 in the order of
+    position, MD5 of the id, size and row, which is also how the result is range-partitioned."""
+    points = F.array(F.struct(F.lit(0).alias("copy"), F.col("first_position").alias("position")), F.struct(F.lit(1).alias("copy"), F.col("second_position").alias("position")))
+    each = plan.select("row", "key", "size", F.explode(points).alias("c")).select("row", "key", "size", "c.*").filter("position is not null")
+    order = [F.col(c) for c in ("position", "key", "size", "row")]
+    return running(each, order, {"place": F.lit(1)}, "mix-places").select("row", "copy", "position", F.col("place").cast("long").alias("place"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    plan = materialize(mix(table(spark, sf_dir, "documents")), "mix-plan")
+    place = lambda k: F.max(F.when(F.col("copy") == k, F.col("place")))
+    places = schedule(plan).groupBy("row").agg(place(0).alias("first_place"), place(1).alias("second_place"))
+    out = plan.join(places, "row", "left")
+    at = lambda c: F.round(c, 6).alias(c)
+    return out.select("doc_id", "size", "source_size", "target", "taken", at("first_position"), at("second_position"), "first_place", "second_place")
 
 
 ORACLE = {
@@ -98,14 +112,16 @@ o AS (
   FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, slope, least(cap, weight * (SELECT level FROM o WHERE level * weight <= cap ORDER BY cap / weight, source NULLS LAST LIMIT 1)) AS target FROM o),
 c AS (
-  SELECT doc_id, size, source_size, target, slope, CAST(round(target) AS BIGINT) AS goal,
+  SELECT doc_id, key, size, source_size, target, slope, CAST(round(target) AS BIGINT) AS goal,
          CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begun
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, (goal // source_size) * size + greatest(0, least(size, goal - (goal // source_size) * source_size - begun)) AS taken FROM c),
-p AS (SELECT *, CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END AS copies, begun / target AS u, (begun + source_size) / target AS v FROM k)
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-       CASE WHEN copies > 0 THEN 0.0::DOUBLE + round(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END, 6) END AS first_position,
-       CASE WHEN copies > 1 THEN 0.0::DOUBLE + round(CASE WHEN slope = 0 THEN v ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * v) - (1 - slope)) / (2 * slope) END, 6) END AS second_position
-FROM p"""
+p AS (SELECT *, CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END AS copies, begun / target AS u, (begun + source_size) / target AS v FROM k),
+x AS (SELECT *, CASE WHEN copies > 0 THEN 0.0::DOUBLE + CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END END AS p1,
+             CASE WHEN copies > 1 THEN 0.0::DOUBLE + CASE WHEN slope = 0 THEN v ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * v) - (1 - slope)) / (2 * slope) END END AS p2 FROM p),
+n AS (SELECT doc_id, k, row_number() OVER (ORDER BY pos, key, size) - 1 AS place FROM (SELECT doc_id, key, size, 1 AS k, p1 AS pos FROM x UNION ALL SELECT doc_id, key, size, 2, p2 FROM x) WHERE pos IS NOT NULL),
+m AS (SELECT doc_id, max(place) FILTER (k = 1) AS first_place, max(place) FILTER (k = 2) AS second_place FROM n GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, round(p1, 6) AS first_position, round(p2, 6) AS second_position, CAST(first_place AS BIGINT) AS first_place, CAST(second_place AS BIGINT) AS second_place
+FROM x LEFT JOIN m USING (doc_id)"""
 }
 QUERIES = {"op6_mixing": op6_mixing}
