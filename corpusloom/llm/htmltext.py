@@ -1,9 +1,13 @@
 """Main text of web pages, with site template removal.
 
-A page is cut into elements by one pass over its tags. The subtrees of block elements are hashed (their source, white space
-folded), counted by host in Spark, and those that recur on many different pages of a host are the site's template; copies of
-one page count once. They are deleted, and so is what never is main text by its element or by a class, id or role that names its purpose. If the page marks its
-article (article, main, role=main), the text is what is left inside; otherwise what is left of the body.
+A page is parsed once, by one pass over its tags, into blocks of text and the subtrees of block elements, each with a hash built
+from its children's and the range of blocks that it holds. Subtrees are counted by host in Spark, and those that recur on many
+different pages of a host are the site's template; copies of one page count once. Their blocks are deleted. What never is main
+text by its element, or by a class, id or role that names its purpose, is left out from the start. If the page marks its article
+(article, main, role=main), the text is what is left inside; otherwise what is left of the body.
+
+A name counts as a purpose only as a whole (`sidebar`, `ad-slot`, but not `no-sidebar` or `share-price`), never on a paragraph
+or heading, never on what holds the marked article, and, but for comments, never on what holds most of the page's text.
 
 Inside a marked article only containers (div, section, aside, lists, tables) can be template, never its headings and
 paragraphs, so a sentence that many pages quote stays.
@@ -15,13 +19,14 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import join_hot, materialize, table
 
 #: A subtree is template from so many different pages of a host on, if it is on at least this share of them, or on ENOUGH pages.
 MIN_PAGES, MIN_SHARE, ENOUGH = 5, 0.2, 500
@@ -33,100 +38,183 @@ NEVER = frozenset("head nav header footer aside form button select dialog menu l
 #: What closes an open paragraph, and which open elements an element of the same family closes.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Words in a class, id or role that name something other than the main text.
-PURPOSE = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|comments?|disqus|replies|respond|share|sharing|social|related|recommended|widget|footer|header|masthead|copyright|complementary|contentinfo|search)(?![a-z])")
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Words that, as a whole class, id or role, name something other than the main text.
+PURPOSE = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup comment comments disqus replies respond share sharing "
+    "social related recommended recommendations widget widgets footer header masthead copyright complementary contentinfo search toolbar".split()
+)
+#: Words that may stand beside those in a name; and beside comments, links to other texts and adverts alone.
+BESIDE = frozenset(
+    "site page top bottom left right list box block area container wrapper wrap inner outer section bar link links item items slot primary secondary global main "
+    "form panel group row col column holder module region unit zone label button buttons icon icons".split()
+)
+BESIDE_SOFT = frozenset("post posts article articles entry story stories content user reader reader's".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+SOFT = COMMENTS | frozenset("ad ads advert adverts sponsored related recommended share sharing social newsletter".split())
+NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+PLAIN = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 
 
+def purpose(tag: str, attrs: str) -> str | None:
+    """'comments', 'other', or None: what the names of an element say that it is."""
+    if not attrs or tag in PLAIN:
+        return None
+    found = None
+    for kind, value in NAMES.findall(attrs):
+        for token in value.strip("\"'").split():
+            words = {w.lower() for w in WORDS.findall(token)}
+            named = words & PURPOSE
+            rest = {w for w in words - PURPOSE if not w.isdigit()}
+            if named and rest <= (BESIDE | BESIDE_SOFT if named & SOFT else BESIDE):
+                if named & COMMENTS:
+                    return "comments"
+                found = "other"
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "start", "stop", "inside", "gone")
+    """An element: parts are its texts and children's hashes in order, size the characters of text that it holds."""
+
+    __slots__ = ("tag", "attrs", "parent", "parts", "size", "mains", "hash", "inside", "gone", "first", "stop", "articles")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None, start: int):
-        self.tag, self.attrs, self.parent, self.start, self.stop = tag, attrs, parent, start, -1
+    def __init__(self, tag: str, attrs: str, parent: Node | None):
+        self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.parts: list[str] = []
+        self.size, self.hash, self.articles = 0, 0, 0
         main = tag in ("article", "main") or 'role="main"' in attrs.lower()
+        self.mains = int(main)
         self.inside = main or (parent is not None and parent.inside)
-        named = attrs and tag not in ("html", "body", "article", "main") and any(PURPOSE.search(m.lower()) for m in NAMES.findall(attrs))
-        self.gone = tag in NEVER or bool(named) or (parent is not None and parent.gone)
-        if tag == "header" and parent is not None and parent.inside and not parent.gone and not named:
-            self.gone = False  # an article's own heading
+        self.gone = False
+        self.first = self.stop = -1
+
+    def end(self) -> None:
+        self.hash = _hash("\x02".join((self.tag, " ".join(self.attrs.split()), *self.parts)))
+        self.parts = []
+        if self.parent is not None:
+            self.parent.parts.append(f"\x03{self.hash:x}")
+            self.parent.mains += self.mains
+            if self.tag not in NEVER or self.tag in ("form", "header"):
+                self.parent.size += self.size
+
+
+OPEN, CLOSE, BREAK = "open", "close", "break"
 
 
-def parse(source: str) -> tuple[list[Node], list[tuple[str, Node]]]:
-    """Elements in page order, and (text, element) in page order; a line break or the edge of a block is the text None."""
-    root = Node("#root", "", None, 0)
-    nodes, texts, stack = [root], [], [root]
+def parse(source: str) -> tuple[list[Node], list[tuple[str, Node, str | None]]]:
+    """Elements in page order, and what happens in page order: (text, element, None), or ("", element, OPEN, CLOSE or BREAK)."""
+    root = Node("#root", "", None)
+    nodes, events, stack = [root], [], [root]
+    open_tags: Counter[str] = Counter()
     at, n = 0, len(source)
 
-    def close(k: int, where: int) -> None:
-        for node in stack[k:]:
-            node.stop = where
+    def say(text: str) -> None:
+        events.append((text, stack[-1], None))
+        if folded := " ".join(text.split()):
+            stack[-1].parts.append(folded)
+            stack[-1].size += len(folded)
+
+    def close(k: int) -> None:
+        for node in reversed(stack[k:]):
+            node.end()
+            open_tags[node.tag] -= 1
             if node.tag in BLOCK:
-                texts.append((None, node))
+                events.append(("", node, CLOSE))
         del stack[k:]
 
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
-            texts.append((source[at:], stack[-1]))
+            say(source[at:])
             break
         if m.start() > at:
-            texts.append((source[at : m.start()], stack[-1]))
+            say(source[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                texts.append((m[0][9:].removesuffix("]]>"), stack[-1]))
+                say(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k, at)
-                    break
-            else:
-                if tag == "p":
-                    texts.append((None, stack[-1]))
+            if open_tags[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+            elif tag == "p":
+                events.append(("", stack[-1], BREAK))
             continue
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in LIMITS[tag]:
-                    break
-                if stack[k].tag in SIBLINGS[tag]:
-                    close(k, m.start())
-                    break
-        elif tag in BLOCK:
+            if any(open_tags[t] for t in SIBLINGS[tag]):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in LIMITS[tag]:
+                        break
+                    if stack[k].tag in SIBLINGS[tag]:
+                        close(k)
+                        break
+        elif tag in BLOCK and open_tags["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    close(k, m.start())
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        node = Node(tag, m[3], stack[-1], m.start())
+        node = Node(tag, m[3], stack[-1])
         nodes.append(node)
         if tag in BLOCK:
-            texts.append((None, node))
+            events.append(("", node, OPEN))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            node.stop = at
+            node.end()
+            if tag in BLOCK:
+                events.append(("", node, CLOSE))
             if tag == "br":
-                texts.append((" ", stack[-1]))
+                events.append((" ", stack[-1], None))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            node.stop = at = end.end() if end else n
+            end = _raw_end(tag).search(source, at)
+            node.parts.append(" ".join(source[at : end.start() if end else n].split()))
+            node.end()
+            at = end.end() if end else n
             continue
         stack.append(node)
-    close(0, n)
-    return nodes, texts
+        open_tags[tag] += 1
+    close(1)
+    root.end()
+    return nodes, events
+
+
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
 def _hash(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtree_hash(source: str, node: Node) -> int:
-    return _hash(" ".join(source[node.start : node.stop].split()))
+def leave_out(nodes: list[Node]) -> None:
+    """Marks what is never main text; parents come first."""
+    half = nodes[0].size / 2
+    for node in nodes[1:]:
+        up = node.parent
+        named = purpose(node.tag, node.attrs)
+        if named and (node.mains or named != "comments" and node.size > half):
+            named = None
+        if named and up.inside and not up.gone and re.search(r"""["'\s=]header["'\s>]?""", node.attrs) and named != "comments":
+            named = None  # an article's own heading
+        never = node.tag in NEVER
+        if node.tag == "form" and (node.mains or node.size > half):
+            never = False  # the page's wrapper
+        if node.tag == "header" and up.inside and not named:
+            never = False  # an article's own heading
+        node.gone = up.gone or never or named is not None
 
 
 def can_be_template(node: Node) -> bool:
@@ -135,65 +223,80 @@ def can_be_template(node: Node) -> bool:
     return node.tag in BLOCK and node.tag not in ("html", "body")
 
 
-def blocks(nodes: list[Node], texts: list[tuple[str, Node]]) -> Iterator[tuple[str, Node]]:
-    """The blocks of text that are not gone, entities resolved and white space folded, each with an element it stands in."""
+def page(source: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """The blocks of text of a page that could be main text, character references resolved and white space folded; and (hash,
+    first block, block after the last, marked articles) of each subtree that could be template, parents first."""
+    nodes, events = parse(source)
+    leave_out(nodes)
     marked = any(n.inside and not n.gone for n in nodes)
+    blocks: list[str] = []
     now: list[str] = []
-    inside = nodes[0]
-    for text, node in [*texts, (None, nodes[0])]:
-        if text is not None:
+    for text, node, what in [*events, ("", nodes[0], BREAK)]:
+        if what is None:
             if not node.gone and (node.inside or not marked):
                 now.append(text)
-                inside = node
-        elif now:
+            continue
+        if now:
             if block := " ".join(html_lib.unescape("".join(now)).split()):
-                yield block, inside
+                blocks.append(block)
             now = []
-
-
-def main_text(source: str, template: frozenset[int] | set[int]) -> str:
-    nodes, texts = parse(source)
-    articles: Counter[Node] = Counter()  # how many marked articles an element is or holds
-    for node in nodes[1:] if template else ():
-        if node.inside and not node.gone and not node.parent.inside:
-            up = node
+        if what == OPEN:
+            node.first = len(blocks)
+        elif what == CLOSE:
+            node.stop = len(blocks)
+    for node in nodes[1:]:
+        if node.inside and not node.parent.inside and not node.gone and node.first < node.stop:
+            up: Node | None = node
             while up is not None:
-                articles[up] += 1
+                up.articles += 1
                 up = up.parent
-    left = articles[nodes[0]]
-    for node in nodes[1:]:  # parents come first
-        if node.parent.gone:
-            node.gone = True
-        elif not node.gone and template and can_be_template(node) and subtree_hash(source, node) in template:
-            if 0 < articles[node] == left:
-                continue  # the page's last marked article is never deleted with what is around it
-            left -= articles[node]
-            node.gone = True
-    return "\n".join(b for b, _ in blocks(nodes, texts))
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, html) to each page's subtrees that could be template and aren't deleted anyway, and its blocks of text, each
-    with those subtrees that it stands in."""
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("t", pa.int64()), ("up", pa.list_(pa.int64()))])))
+    subtrees = [(_signed(n.hash), n.first, n.stop, n.articles) for n in nodes[1:] if not n.gone and 0 <= n.first < n.stop and can_be_template(n)]
+    return blocks, subtrees
+
+
+def strip(blocks: list[str], subtrees: list[tuple[int, int, int, int]], template: set[int] | frozenset[int]) -> str:
+    """The text without the blocks of subtrees that are template; the page's last marked article never goes with what is around
+    it or is it."""
+    if not template:
+        return "\n".join(blocks)
+    left = 0
+    until = 0
+    for _, first, stop, articles in subtrees:  # outermost ones
+        if first >= until:
+            left, until = left + articles, stop
+    out, at, until = [], 0, 0
+    for h, first, stop, articles in subtrees:
+        if first < until or h not in template:
+            continue
+        if 0 < articles == left:
+            continue
+        left -= articles
+        out += blocks[at:first]
+        at = until = stop
+    return "\n".join(out + blocks[at:])
+
+
+_SUBTREE = pa.struct([("h", pa.int64()), ("first", pa.int32()), ("stop", pa.int32()), ("articles", pa.int32())])
+_PARSED = "blocks array<string>, texts array<long>, subtrees array<struct<h: long, first: int, stop: int, articles: int>>"
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, k1, k2, html) to what page() finds, with the blocks' hashes."""
     for batch in batches:
-        k1, k2, pages = (c.to_pylist() for c in batch.columns)
-        rows: list[tuple] = []
-        for a, b, source in zip(k1, k2, pages):
-            if not source:
-                continue
-            nodes, texts = parse(source)
-            up: dict[Node | None, list[int]] = {None: []}
-            for n in nodes:  # parents come first
-                up[n] = [*up[n.parent], subtree_hash(source, n)] if n.parent is not None and not n.gone and can_be_template(n) else up[n.parent]
-            rows.append((a, b, list({h for hs in up.values() for h in hs}), [{"t": _hash(t), "up": up[n]} for t, n in blocks(nodes, texts)]))
-        cols = list(zip(*rows)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["k1", "k2", "subtrees", "texts"])
+        blocks, texts, subtrees = [], [], []
+        for source in batch.column(4):
+            b, trees = page(source.as_py() or "")
+            blocks.append(b)
+            texts.append([_signed(_hash(t)) for t in b])
+            subtrees.append([dict(zip(("h", "first", "stop", "articles"), t)) for t in trees])
+        cols = [pa.array(blocks, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64())), pa.array(subtrees, pa.list_(_SUBTREE))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["page_id", "url", "k1", "k2", "blocks", "texts", "subtrees"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [main_text(source or "", set(hashes or ())) for source, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        blocks, subtrees, hashes = (batch.column(c).to_pylist() for c in (2, 3, 4))
+        got = [strip(b, [tuple(t.values()) for t in trees] if h else [], set(h or ())) for b, trees, h in zip(blocks, subtrees, hashes)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], ["page_id", "url", "text"])
 
 
@@ -208,33 +311,40 @@ def often(rows: DataFrame, page: str, min_pages: int, min_share: float, enough:
     return counts.join(sites, "k1").filter((F.col("n") >= enough) | (F.col("n") >= min_share * F.col("pages"))).select("k1", "h")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH) -> DataFrame:
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH) -> DataFrame:
     """(k1, k2, hashes): for each page, named by hashes of host and url and of the html, its subtrees that are the site's template.
 
     Copies of a page count once: what recurs on pages with different html is template only if it also does on pages that
     differ in what doesn't recur. So an article under several urls, or in print and mobile variants, is no template of its own.
     """
-    found = pages.select("k1", "k2", "html").mapInArrow(_subtrees, "k1 long, k2 long, subtrees array<long>, texts array<struct<t: long, up: array<long>>>")
-    found = materialize(found.dropDuplicates(["k1", "k2"]), "subtrees")
-    each = found.select("k1", "k2", F.explode_outer("subtrees").alias("h"))
+    found = materialize(parsed.select("k1", "k2", "texts", "subtrees").dropDuplicates(["k1", "k2"]), "subtrees")
+    each = found.select("k1", "k2", F.explode_outer(F.array_distinct("subtrees.h")).alias("h"))
     recurring = materialize(each.join(often(each, "k2", min_pages, min_share, enough), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes")), "recurring")
-    own = F.filter("texts", lambda x: ~F.exists(x["up"], lambda h: F.array_contains("hashes", h)) | F.col("hashes").isNull())
-    # a page whose marked article has no text is told from others by its html
-    own = F.when(F.size("texts") == 0, F.col("k2")).otherwise(F.xxhash64(F.array_sort(F.array_distinct(F.transform(own, lambda x: x["t"])))))
-    kept = found.join(recurring, ["k1", "k2"], "left").select("k1", own.alias("own"), F.explode_outer("hashes").alias("h")).distinct()
-    return recurring.select("k1", "k2", F.explode("hashes").alias("h")).join(often(materialize(kept, "own"), "own", min_pages, min_share, enough), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
+    kept = found.join(recurring, ["k1", "k2"], "left")
+    shared = F.filter("subtrees", lambda s: F.array_contains("hashes", s["h"]))
+    rest = F.filter("texts", lambda t, i: ~F.exists(shared, lambda s: (i >= s["first"]) & (i < s["stop"])))
+    rest = F.when(F.col("hashes").isNull(), F.col("texts")).otherwise(rest)
+    # a page without text is told from others by its html
+    own = F.when(F.size("texts") == 0, F.col("k2")).otherwise(F.xxhash64(F.array_sort(F.array_distinct(rest))))
+    kept = materialize(kept.select("k1", own.alias("own"), F.explode_outer("hashes").alias("h")).distinct(), "own")
+    return recurring.select("k1", "k2", F.explode("hashes").alias("h")).join(often(kept, "own", min_pages, min_share, enough), ["k1", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html).
 
     Null and empty html give an empty text; pages without a url share the empty host. Copies of a page on a host count once,
     and so do pages that differ only in what recurs. Variants of one page that each have a text of their own (a time of
-    printing, say) count as different pages. Broken markup never fails: what is not closed ends with what contains it. Empty tables give no rows.
+    printing, say) count as different pages. Broken markup never fails: what is not closed ends with what contains it. Repeated
+    rows stay; columns other than the three are not read. Empty tables give no rows.
+
+    min_pages, min_share, enough: see templates(); a min_pages of 2 finds the template of the smallest hosts too.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    rows = pages.select("page_id", "url", "html").withColumns({"k1": F.xxhash64(host(F.col("url"))), "k2": F.xxhash64("html")})
-    out = rows.join(templates(rows), ["k1", "k2"], "left").select("page_id", "url", "html", "hashes")
+    named = pages.select("page_id", "url", F.xxhash64(host(F.col("url"))).alias("k1"), F.xxhash64("html").alias("k2"), "html")
+    parsed = materialize(named.mapInArrow(_pages, f"page_id {kinds['page_id']}, url {kinds['url']}, k1 long, k2 long, {_PARSED}"), "pages")
+    found = materialize(templates(parsed, min_pages, min_share, enough), "templates")
+    out = join_hot(parsed, found, ["k1", "k2"]).select("page_id", "url", "blocks", "subtrees", "hashes")
     return out.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
