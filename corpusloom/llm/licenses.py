@@ -1,21 +1,22 @@
 """License scans by diagonal voting.
 
-All rolling word pairs of all texts are hashed and joined to the positions of the same pairs in the templates. A hit votes for
-its diagonal, the place in the text where the template would begin. Votes are summed by text, template and diagonal,
-neighbouring diagonals are merged (a word put in or left out moves the rest by one), and what has enough votes is verified
-word by word against the text. Pairs of two very common words are no seeds; every template has others.
+All rolling word k-grams of all texts are hashed and joined to the positions of the same k-grams in the templates: runs of WIDE
+words for license texts and notices, pairs for the short phrases of the base. A hit votes for its diagonal, the place in the text
+where the template would begin. Votes are summed by text, template and diagonal, neighbouring diagonals are merged (a word put in
+or left out moves the rest by one), and what has enough votes is verified word by word against the text.
 
-The template table is fixed and small (its size is that of `TEMPLATES`), so it is broadcast.
+The template table is fixed and small (its size is that of `TEMPLATES` and license_texts.txt), so it is broadcast.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keyed, table
+from corpusloom.llm.common import join_hot, keyed, table
 
 #: Phrases with the labels that they give by themselves.
 PHRASES = {
@@ -44,10 +45,11 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
     "public-domain": "this is free and unencumbered software released into the public domain",
 }
-COMMON = frozenset("a and any are as at by for in is it may not of on or the this to under with you".split())
+#: Words of a k-gram, for templates and for phrases of the base.
+WIDE, NARROW = 4, 2
 #: Diagonals that differ by so much at most are merged; share of a template's words that must stand in the text (all of them
-#: in templates below ten words); share of the seeds that must vote before the words are looked at.
-BAND, MATCH, VOTES = 2, 0.9, 0.5
+#: in templates below ten words); share of the k-grams that must vote before the words are looked at (all, if all words must stand).
+BAND, MATCH, VOTES, SHORT = 2, 0.9, 0.3, 10
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -55,8 +57,13 @@ def split_words(text: str) -> list[str]:
     return [w for w in re.split(NO_WORD, text) if w]
 
 
+def license_texts() -> dict[str, str]:
+    parts = re.split(r"(?m)^== (.+)$", Path(__file__).with_name("license_texts.txt").read_text())[1:]
+    return {label: text.lower() for label, text in zip(parts[::2], parts[1::2])}
+
+
 #: (label, words, whether it is a phrase of the base) by template number.
-LIBRARY = [(label, split_words(p), True) for p, label in PHRASES.items()] + [(label, split_words(t), False) for label, t in TEMPLATES.items()]
+LIBRARY = [(label, split_words(p), True) for p, label in PHRASES.items()] + [(label, split_words(t), False) for label, t in (TEMPLATES | license_texts()).items()]
 
 
 def _words():
@@ -64,20 +71,27 @@ def _words():
     return F.array_remove(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), NO_WORD), "")
 
 
+def _run(w, at, k: int):
+    """The hash of the k words from a place on."""
+    return F.xxhash64(F.lit(k), *(F.get(w, at + j) for j in range(k)))
+
+
 def seeds(spark: SparkSession) -> DataFrame:
-    """(h, template, tpos, n_seeds) of the templates' word pairs."""
-    rows = []
-    for t, (_, w, _) in enumerate(LIBRARY):
-        own = [(w[i], w[i + 1], t, i) for i in range(len(w) - 1) if not {w[i], w[i + 1]} <= COMMON]
-        rows += [(*x, len(own)) for x in own]
-    return spark.createDataFrame(rows, "a string, b string, template int, tpos int, n_seeds int").select(F.xxhash64("a", "b").alias("h"), "template", "tpos", "n_seeds")
+    """(h, template, tpos, n_seeds) of the templates' k-grams."""
+    rows = [(t, w, NARROW if base else WIDE) for t, (_, w, base) in enumerate(LIBRARY)]
+    n = F.size("w") - F.col("k") + 1
+    each = spark.createDataFrame(rows, "template int, w array<string>, k int").select("template", "w", "k", n.alias("n_seeds"), F.explode(F.sequence(F.lit(0), n - 1)).alias("tpos"))
+    w, at = F.col("w"), F.col("tpos")
+    return each.select(F.when(F.col("k") == NARROW, _run(w, at, NARROW)).otherwise(_run(w, at, WIDE)).alias("h"), "template", "tpos", "n_seeds")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(k1, k2, template, low, high): texts and bands of diagonals with enough votes."""
-    w = F.col("w")
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
-    grams = keyed(docs).select("k1", "k2", _words().alias("w")).select("k1", "k2", F.posexplode(pairs).alias("pos", "h"))
+    w, at = F.col("w"), F.col("pos")
+    places = F.when(F.size(w) >= NARROW, F.sequence(F.lit(0), F.size(w) - NARROW))
+    # places are exploded, not lists of hashes: what follows up to the join then is compiled into one loop
+    each = keyed(docs).select("k1", "k2", _words().alias("w")).select("k1", "k2", "w", F.explode(places).alias("pos"))
+    grams = each.select("k1", "k2", "pos", F.explode(F.array(_run(w, at, NARROW), _run(w, at, WIDE))).alias("h"))
     hits = grams.join(F.broadcast(seeds(docs.sparkSession)), "h").select("k1", "k2", "template", "n_seeds", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).distinct()  # equal texts vote once
     votes = hits.groupBy("k1", "k2", "template", "n_seeds", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
     base = F.col("template") < len(PHRASES)
@@ -85,20 +99,21 @@ def candidates(docs: DataFrame) -> DataFrame:
     new = F.when(base | (F.col("diagonal") - F.lag("diagonal").over(text) > BAND), 1).otherwise(0)
     bands = votes.withColumn("new", new).withColumn("band", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
     merged = bands.groupBy("k1", "k2", "template", "n_seeds", "band").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    return merged.filter(F.when(base, F.col("votes") == F.col("n_seeds")).otherwise(F.col("votes") >= VOTES * F.col("n_seeds"))).select("k1", "k2", "template", "low", "high")
+    exact = F.col("n_seeds") < SHORT - WIDE + 1
+    return merged.filter(F.when(exact, F.col("votes") >= F.col("n_seeds")).otherwise(F.col("votes") >= VOTES * F.col("n_seeds"))).select("k1", "k2", "template", "low", "high")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with n_words, spans, n_base, first_word, last_word, base_labels, labels, score.
 
     spans: (label, base, low, high, share) of each verified template, low and high being the word numbers between which it
-    begins. score is the best share of a template's words found, 0 without a candidate. Null and empty texts have no words
+    begins. score is the best share of a template's words found, 0 without a candidate. Votes of a text count once for all its copies. Null and empty texts have no words
     and no labels (empty strings); equal texts have equal results; repeated rows stay; an empty table gives no rows.
     """
     docs_ = docs.drop("k1", "k2", "n_words", "spans", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     found = candidates(docs_.select("text")).groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "low", "high")).alias("found"))
-    rows = keyed(docs_).join(found, ["k1", "k2"], "left").withColumn("w", _words())
-    texts = F.array(*(F.array(*map(F.lit, words)) for _, words, _ in LIBRARY))
+    rows = join_hot(keyed(docs_), found, ["k1", "k2"]).withColumn("w", _words())
+    texts = F.array(*(F.split(F.lit(" ".join(words)), " ") for _, words, _ in LIBRARY))
     names = F.array(*(F.lit(label) for label, _, _ in LIBRARY))
 
     def check(c):
@@ -107,12 +122,15 @@ def scan(docs: DataFrame) -> DataFrame:
         places, band = F.sequence(F.lit(0), F.size(t) - 1), F.sequence(c["low"], c["high"])
         one = F.array_max(F.transform(band, lambda d: F.size(F.filter(places, lambda j: at(j, d)))))
         any_ = F.size(F.filter(places, lambda j: F.exists(band, lambda d: at(j, d))))
-        hit = F.when(F.size(t) < 10, one).otherwise(any_)  # short ones stand on one diagonal, or not at all
+        hit = F.when(F.size(t) < SHORT, one).otherwise(any_)  # short ones stand on one diagonal, or not at all
         return F.struct(F.get(names, c["template"]).alias("label"), (c["template"] < len(PHRASES)).alias("base"), c["low"].alias("low"), c["high"].alias("high"), hit.alias("hit"), F.size(t).alias("size"))
 
     rows = rows.withColumn("checked", F.transform("found", check))
     share = lambda s: s["hit"] / s["size"]
-    sure = F.filter("checked", lambda s: F.when(s["base"] | (s["size"] < 10), s["hit"] == s["size"]).otherwise(share(s) >= MATCH))
+    # of templates of nearly one wording at one place (notices of a family of licenses) the best one counts
+    near = lambda s, o: (F.abs(o["low"] - s["low"]) * 4 <= s["size"]) & (F.abs(o["size"] - s["size"]) * 5 <= s["size"]) & (o["size"] >= SHORT)
+    beaten = lambda s: (s["size"] >= SHORT) & F.exists("checked", lambda o: near(s, o) & (share(o) > share(s)))
+    sure = F.filter("checked", lambda s: F.when(s["base"] | (s["size"] < SHORT), s["hit"] == s["size"]).otherwise((share(s) >= MATCH) & ~beaten(s)))
     rows = rows.withColumn("spans", F.coalesce(sure, F.array().cast("array<struct<label:string,base:boolean,low:int,high:int,hit:int,size:int>>")))
     base = F.filter("spans", lambda s: s["base"])
     label = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
