@@ -10,20 +10,28 @@ from corpusloom.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept, with lang as predicted. Training leaves out the held-out quarter of ids."""
+    """Documents whose language the models accept, with lang as predicted. Training leaves out the held-out quarter of ids.
+
+    Null texts and those without a letter have no language and go. Repeated rows are judged alike and stay; null ids, sources
+    and languages don't matter. An empty table, or one without labelled rows, gives no rows.
+    """
     model = langid.train(docs.filter(~langid.held_out("doc_id")).select("doc_id", "lang", "text"))
     out = langid.predict(docs, model, docs.columns).filter("accepted")
     return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; documents stay, with what is left of their text."""
+    """Later copies of repeated runs of lines go; documents stay, with what is left of their text (nothing, for later copies of
+    whole texts; null texts stay null). Each row is a document of its own. An empty table gives no rows."""
     out = linededup.dedup(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id.
+    """One document of each group of near duplicates stays: that with the smallest id, of rows without an id the least by text.
+
+    Null and wordless texts are one group, of which one stays. Texts that share an id are separate documents; of repeated rows
+    one stays. An empty table gives no rows.
 
     What is near is op9's contract (shingles of 3 words, 3 of 64 bits), not a five-word similarity of 0.8: of 1000 planted pairs
     at that similarity 38 are found.
@@ -34,19 +42,21 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix begins to take it, whole, in the order of the curriculum; those not taken go.
 
-    A last copy that the mix takes less than half of is left out, so that no text is cut.
+    A last copy that the mix takes less than half of is left out, so that no text is cut. Texts without a word are never taken.
+    Each row is a document of its own, whatever its id; an empty table gives no rows.
     """
-    plan = mixing.mix(docs)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
+    plan = materialize(mixing.mix(rows, row="__row"), "mix-plan")
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    plan = plan.groupBy("doc_id").agg(F.max(copies).cast("int").alias("__copies"), F.max("first_position").alias("__p1"), F.max("second_position").alias("__p2")).filter("__copies > 0").withColumnRenamed("doc_id", "__id")
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id")))
-    positions = F.filter(F.array("__p1", "__p2"), lambda p: p.isNotNull())
-    each = taken.withColumn("__at", F.explode(F.slice(positions, F.lit(1), F.col("__copies"))))
-    return each.orderBy("__at", "doc_id").select(*docs.columns)
+    wanted = plan.select(F.col("row").alias("__row"), copies.alias("__copies")).filter("__copies > 0")
+    places = mixing.schedule(plan).select(F.col("row").alias("__row"), F.col("copy").alias("__copy"), F.col("place").alias("__place"))
+    taken = places.join(wanted, "__row").filter("__copy < __copies").select("__row", "__place")
+    return rows.join(taken, "__row").orderBy("__place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences."""
+    """Pieces of documents, placed in sequences. A null text is empty: one piece with the end id. Repeated rows are packed like
+    any other; an empty table gives no rows."""
     return packing.pack(docs)
 
 
