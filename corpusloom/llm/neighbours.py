@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import join_hot, materialize, table
 
 #: Nearest to return; trees; vectors that the trees are fitted on, at most about; of the index in a leaf, and levels of a tree at
-#: most; vectors that a query looks at, about, as a share of the index and at least; rows of a leaf in one task.
+#: most; vectors that a query looks at, about, as a share of the index and at least; rows of a leaf in one task. Queries whose
+#: findings a task holds.
+TASK_QUERIES = 50_000
 NEAREST, TREES, SAMPLE, LEAF, DEPTH, LOOK_SHARE, LOOK_LEAST, SALT_ROWS = 10, 12, 20_000, 128, 12, 0.8, 6_000, 20_000
 
 
@@ -172,9 +174,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float |
                 yield pa.RecordBatch.from_arrays([*(pa.array(cols[:, c]) for c in range(3)), pa.array(np.ones(len(rows), bool)), *(c.take(at) for c in batch.columns)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by leaf, vectors before queries, to the k + 1 nearest entries of the leaf for each query."""
+        """Rows sorted by leaf, vectors before queries, to the k + 1 nearest entries that a task's leaves hold for each query.
+
+        What a query has found so far is kept over the leaves of the task, and passed on early when many queries have something.
+        """
         key, ids, parts = None, [], []
         have: tuple[np.ndarray, np.ndarray] | None = None
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> pa.RecordBatch:
+            q = np.repeat(np.array(list(best), np.int64).reshape(-1, 2), [len(d) for d, _ in best.values()], axis=0)
+            d, e = np.concatenate([d for d, _ in best.values()]), np.concatenate([e for _, e in best.values()])
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (q[:, 0], q[:, 1], e[:, 0], e[:, 1], e[:, 2], d)], ["q1", "q2", "h1", "h2", "least", "score"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -195,15 +208,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float |
                 own, m = have
                 if not len(own):
                     continue
-                out: list[list[np.ndarray]] = [[], [], []]
                 for i in range(a, b):
                     d = np.sqrt(((m - x[i]) ** 2).sum(axis=1))
-                    best = np.arange(len(d)) if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
-                    best = best[np.lexsort((own[best, 2], d[best]))][: k + 1]
-                    for o, v in zip(out, (np.repeat(id_[i : i + 1, :2], len(best), axis=0), own[best], d[best])):
-                        o.append(v)
-                q, e, d = (np.concatenate(o) for o in out)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[:, 0], q[:, 1], e[:, 0], e[:, 1], e[:, 2], d)], ["q1", "q2", "h1", "h2", "least", "score"])
+                    q = (int(id_[i, 0]), int(id_[i, 1]))
+                    old = best.get(q)
+                    if len(d) > k + 1:
+                        limit = np.partition(d, k)[k]
+                        if old is not None and len(old[0]) == k + 1:
+                            limit = min(limit, old[0][-1])
+                        near = np.flatnonzero(d <= limit)
+                    else:
+                        near = np.arange(len(d))
+                    if old is None:
+                        d, e = d[near], own[near]
+                    else:
+                        d, e = np.concatenate((old[0], d[near])), np.concatenate((old[1], own[near]))
+                    order = np.lexsort((e[:, 1], e[:, 0], e[:, 2], d))
+                    d, e = d[order], e[order]
+                    new = np.concatenate(([True], (e[1:] != e[:-1]).any(axis=1)))  # an entry that several trees found
+                    best[q] = (d[new][: k + 1], e[new][: k + 1])
+            if len(best) > TASK_QUERIES:
+                yield flush()
+        if best:
+            yield flush()
 
     searched = entries.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     both = entries.select("h1", "h2", "least", "v").mapInArrow(index, schema).unionByName(searched.select("h1", "h2", "least", "v").mapInArrow(probe, schema))
