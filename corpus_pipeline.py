@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, linededup, mixing, packing, simhash
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import discard, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     wanted = plan.select(F.col("row").alias("__row"), copies.alias("__copies")).filter("__copies > 0")
     places = mixing.schedule(plan).select(F.col("row").alias("__row"), F.col("copy").alias("__copy"), F.col("place").alias("__place"))
-    taken = places.join(wanted, "__row").filter("__copy < __copies").select("__row", "__place")
-    return rows.join(taken, "__row").orderBy("__place").select(*docs.columns)
+    taken = places.join(wanted, "__row").filter("__copy < __copies").groupBy("__row").agg(F.collect_list("__place").alias("__places"))  # two at most
+    # written before it is sorted, so that the join's shuffle files and the first copy of the texts can go
+    placed = materialize(rows.join(taken, "__row").drop("__row"), "mix-placed")
+    discard(rows)
+    return placed.withColumn("__place", F.explode("__places")).orderBy("__place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
