@@ -56,10 +56,15 @@ def relative(path: Column, root: Column) -> Column:
     return F.when(path.startswith(F.concat(base, F.lit("/"))), F.substr(path, F.length(base) + 2))
 
 
+def is_glob(path: Column) -> Column:
+    """Has a meta character and is well formed (no class is left open); anything else is a literal path."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\\.", ""), r"\[[!^]?\]?[^\]]*\]", "")
+    return path.rlike(r"[*?\[{]|[@+!]\(") & ~bare.contains("[")
+
+
 def literal_prefix(pattern: Column) -> Column:
     """The directory below which everything lies that a glob can match; the pattern itself if it has no meta character."""
-    meta = pattern.rlike(r"[*?\[{]|[@+!]\(")
-    return F.when(meta, F.regexp_extract(pattern, r"^((?:[^*?\[{@+!]|[@+!](?!\())*)/", 1)).otherwise(pattern)
+    return F.when(is_glob(pattern), F.regexp_extract(pattern, r"^((?:[^*?\[{@+!]|[@+!](?!\())*)/", 1)).otherwise(pattern)
 
 
 def hex64(x: Column) -> Column:
@@ -112,3 +117,20 @@ def expand(text: Column, env: dict[str, str], strict: bool = True) -> Column:
         return out
     unclosed = F.regexp_replace(text, r"\$\{[^}]*\}", "").contains("${")
     return F.when(F.exists(values, lambda v: v.isNull()) | unclosed, F.lit(None).cast("string")).otherwise(out)
+
+
+def local_ns(ns: Column) -> Column:
+    """Nanoseconds since 1970 as local time with nine digits of a second, in the session's time zone."""
+    second = F.floor(ns / F.lit(1_000_000_000)).cast("long")
+    digits = F.lpad((ns - second * 1_000_000_000).cast("string"), 9, "0")
+    return F.concat(F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd HH:mm:ss."), digits)
+
+
+def run_stamp(at: Column) -> Column:
+    """A timestamp as the name of a run, to the microsecond."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def command(arguments: Column) -> Column:
+    """The text of a command from its arguments."""
+    return F.array_join(arguments, " ")
