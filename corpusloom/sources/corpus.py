@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import time
 import uuid
@@ -15,15 +16,20 @@ from corpusloom.functions import paths as P
 from corpusloom.operators import identity
 from corpusloom.plans import globs as G
 
+#: A string, which stays as it is, or a comma before a closing bracket.
+COMMA = r'("(?:[^"\\]|\\.)*")|,(\s*[\]}])'
 MAX_BYTES = 10 * 1024 * 1024
 #: One line for each published generation of a manifest.
 PUBLISHED = "generation string, at long, version int, playlist string, algorithm string"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run takes a temporary one, and
+    on a cluster, where each executor would write to its own disk, it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
@@ -62,11 +68,17 @@ def read_content(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     return files.select(
         "path",
         F.when(~fits, None).when(text, "text").otherwise("base64").alias("kind"),
-        F.when(~fits, None).when(text, F.col("content").cast("string")).otherwise(F.base64("content")).alias("text"),
+        F.when(~fits, None).when(text, F.col("content").cast("string")).otherwise(F.regexp_replace(F.base64("content"), r"\s", "")).alias("text"),  # base64() breaks lines
         F.when(~fits, F.concat(F.lit("larger than "), F.lit(most), F.lit(" bytes"))).alias("error"),
     )
 
 
+def request(paths: DataFrame, most: int = 50) -> DataFrame:
+    """paths (path, pos) of one request: the first `most` by pos; more are refused, with an error instead of a path."""
+    late = F.col("pos") >= most
+    return paths.select("pos", F.when(~late, F.col("path")).alias("path"), F.when(late, F.lit(f"more than {most} paths")).alias("error"))
+
+
 def path_list(spark: SparkSession, path: str | list[str], env: dict[str, str]) -> DataFrame:
     """(path) from a text file: blank lines and those that begin with # don't count, variables are expanded."""
     line = F.trim("value")
@@ -80,31 +92,55 @@ def env_text(spark: SparkSession, paths: list[str], env: dict[str, str]) -> Data
     return lines.agg(F.coalesce(F.expr("listagg(path, '\\n') within group (order by path)"), F.lit("")).alias("env_text"))
 
 
+FILES = "path string, hash string, size long, inode long, mtime_ns long, mode int"
+
+
+def snapshot_format(path: str) -> str:
+    """By the path's ending: tsv (also without one) or json."""
+    name = path.rpartition("/")[2]
+    kind = name.rpartition(".")[2] if "." in name else "tsv"
+    if kind not in ("tsv", "json"):
+        raise ValueError(f"no snapshot format {kind!r}")
+    return kind
+
+
 def write_snapshot(files: DataFrame, path: str, params: dict | None = None) -> None:
-    """By the path's ending: .tsv (or none), rows sorted by path under a header; .json, one object a line, with params beside."""
+    """.tsv (or no ending): rows sorted by path under a header. .json: lines of one object with fingerprint_params, and of one
+    object for each part of the files, sorted by path, so that no task writes them all."""
     columns = [F.col(c) if c in files.columns else F.lit(None).cast("long").alias(c) for c in ("path", "hash", "size", "inode", "mtime_ns", "mode")]
-    kind = path.rpartition("/")[2].rpartition(".")[2] if "." in path.rpartition("/")[2] else "tsv"
     rows = files.select(*columns).orderBy("path")
-    if kind == "tsv":
+    if snapshot_format(path) == "tsv":
         rows.write.csv(path, sep="\t", header=True)
-    elif kind == "json":
-        rows.write.json(path)
-        spark = files.sparkSession
-        spark.createDataFrame([(str(k), str(v)) for k, v in (params or {}).items()], "name string, value string").coalesce(1).write.json(path + ".params")
-    else:
-        raise ValueError(f"no snapshot format {kind!r}")
+        return
+    rows.select(F.array(F.struct("*")).alias("files")).write.json(path)
+    text = lambda v: v if isinstance(v, str) else json.dumps(v)
+    values = {str(k): text(v) for k, v in (params or {}).items()}
+    one = files.sparkSession.createDataFrame([(values,)], "fingerprint_params map<string, string>")
+    one.coalesce(1).write.mode("append").json(path)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    schema = "path string, hash string, size long, inode long, mtime_ns long, mode int"
-    if path.endswith(".json"):
-        return spark.read.schema(schema).json(path)
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, mode="DROPMALFORMED").filter("path is not null")
+def read_snapshot(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+    """(path, hash, size, inode, mtime_ns, mode). single: a .json file that is one object over many lines."""
+    if snapshot_format(path) == "json":
+        rows = spark.read.schema(f"files array<struct<{_typed(FILES)}>>").option("multiLine", single).json(path)
+        return rows.select(F.explode("files").alias("f")).select("f.*")
+    return spark.read.csv(path, sep="\t", header=True, schema=FILES, mode="DROPMALFORMED").filter("path is not null")
+
+
+def read_snapshot_params(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+    """(name, value) of a .json snapshot's parameters; lists and numbers as JSON. diff_params() takes two of them."""
+    rows = spark.read.schema("fingerprint_params map<string, string>").option("multiLine", single).json(path)
+    each = rows.filter("fingerprint_params is not null").select(F.explode("fingerprint_params").alias("name", "value"))
+    return each.withColumn("value", F.when(F.col("value").startswith("["), F.to_json(F.from_json("value", "array<string>"))).otherwise(F.col("value")))
+
+
+def _typed(fields: str) -> str:
+    return ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
 
 
 def playlist(spark: SparkSession, path: str, step: str, key: str | None = None) -> DataFrame:
     """(key, seq, step) of a JSON playlist: an array of steps, or an object of them by key. Trailing commas are accepted."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r",(\s*[\]}])", "$1").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", COMMA, "$1$2").alias("value"))
     array = F.from_json("value", f"array<{step}>", {"allowComments": "true"})
     keyed = F.from_json("value", f"map<string, array<{step}>>", {"allowComments": "true"})
     is_array = F.ltrim("value").startswith("[")
@@ -114,10 +150,20 @@ def playlist(spark: SparkSession, path: str, step: str, key: str | None = None)
     return rows if key is None else rows.filter(F.col("key") == key)
 
 
+def environment(steps: DataFrame, env: dict[str, str]) -> DataFrame:
+    """(env_text) of all variables that steps (step with env ARRAY<STRING>) name: sorted distinct `NAME=value` lines. A name that is
+    not set raises."""
+    names = steps.select(F.explode("step.env").alias("name")).distinct()
+    known = steps.sparkSession.createDataFrame(sorted(env.items()), "name string, value string")
+    rows = names.join(known, "name", "left").withColumn("line", F.concat("name", F.lit("="), F.col("value"), F.lit("\n")))
+    checked = F.when(F.col("line").isNull(), F.raise_error(F.concat(F.lit("not set: "), "name"))).otherwise(F.col("line"))
+    return rows.select(checked.alias("line")).agg(F.coalesce(F.expr("listagg(line, '') within group (order by line)"), F.lit("")).alias("env_text"))
+
+
 def write_manifest(manifest: DataFrame, path: str, version: int, playlist: str, algorithm: str) -> None:
-    """A new generation of a manifest. It counts from when its line is among the published ones; until then readers see the last."""
+    """A new generation of a manifest, in the order of its signatures. It counts from when its line is among the published ones; until then readers see the last."""
     generation = uuid.uuid4().hex
-    manifest.select("signature", "world_in", "world_out").write.parquet(f"{path}/data/{generation}")
+    manifest.select("signature", "world_in", "world_out").orderBy("signature").write.parquet(f"{path}/data/{generation}")
     line = manifest.sparkSession.createDataFrame([(generation, time.time_ns(), version, playlist, algorithm)], PUBLISHED)
     line.coalesce(1).write.mode("append").json(f"{path}/published")
 
@@ -137,14 +183,22 @@ def read_manifest(spark: SparkSession, path: str, version: int, playlist: str, a
     return spark.read.schema(schema).parquet(f"{path}/data/{newest[0].generation}")
 
 
+#: Runs after which the epoch of a record that is seen again is renewed; below the runs after which it would be evicted.
+RENEW = 16
+
+
 def append_memo(records: DataFrame, path: str) -> None:
     """Appends a run's records (file_key, stat_tag, content_hash, epoch) to a memo's log, without those it already holds.
 
-    A memo is a base of one row a file and a log of runs; one writer at a time.
+    A record that is held, but was last written more than RENEW runs ago, is written again with its new epoch, so that a file
+    that every run sees is never evicted, and a run without changes writes little or nothing. A memo is a base of one row a
+    file and a log of runs; one writer at a time.
     """
     spark = records.sparkSession
-    new = records.select("file_key", "stat_tag", "content_hash", "epoch").dropDuplicates(["file_key", "stat_tag", "content_hash"])
-    new = new.join(read_memo(spark, path).select("file_key", "stat_tag", "content_hash"), ["file_key", "stat_tag", "content_hash"], "left_anti")
+    key = ["file_key", "stat_tag", "content_hash"]
+    new = records.groupBy(*key).agg(F.max("epoch").alias("epoch"))
+    known = read_memo(spark, path).select(*key, F.col("epoch").alias("__known"))
+    new = new.join(known, key, "left").filter(F.col("__known").isNull() | (F.col("epoch") > F.col("__known") + RENEW)).drop("__known")
     generation = _memo_generation(spark, path)
     new.withColumn("seq", F.lit(time.time_ns())).write.mode("append").parquet(f"{path}/log/{generation}")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import identity
+from corpusloom.sources import corpus
 
 LINE = r"^[\x00-\x20]*\[([^\]]*)\](.)(.*)$"
 ACTIONS = ("clone", "copy", "move", "hardlink", "symlink", "create", "delete", "edit", "read", "list", "tree", "info", "glob", "execute", "echo", "start", "wait")
@@ -21,7 +22,11 @@ def parse(lines: DataFrame, known: tuple[str, ...] = ACTIONS) -> DataFrame:
     head, separator, rest = (F.regexp_extract("value", LINE, i) for i in (1, 2, 3))
     tokens = F.filter(F.split(F.trim(head), " +"), lambda x: x != "")
     name = F.lower(F.try_element_at(tokens, F.lit(1)))
-    options = F.map_from_entries(F.transform(F.filter(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(0))), lambda t: t.contains("=")), lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.regexp_replace(t, "^[^=]*=", "").alias("v"))))
+    given = F.filter(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(0))), lambda t: t.contains("="))
+    pairs = F.transform(given, lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.regexp_replace(t, "^[^=]*=", "").alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    last = lambda k: F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"]
+    options = F.map_from_arrays(keys, F.transform(keys, last))  # of an option that is given twice the last one counts
     quoted = F.concat(F.lit("\\Q"), separator, F.lit("\\E"))
     ok = F.col("value").rlike(LINE)
     error = F.when(~ok, "malformed line").when(name.isNull(), "no action").when(~name.isin(*known), "unknown action")
@@ -107,18 +112,20 @@ def in_order(rows: DataFrame, timeout: str = "10 minutes") -> DataFrame:
     return rows.groupBy("batch").applyInPandasWithState(step, "batch string, action_index long, text string, late boolean", "expected long, indexes array<long>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def append_memo(stream: DataFrame, path: str, checkpoint: str):
-    """Appends records (file_key, stat_tag, content_hash, epoch) that the memo does not hold yet."""
+def emitted(rows: DataFrame) -> DataFrame:
+    """The batch form of in_order(): the texts of rows (batch, action_index, text, kind) in the order of batch and index."""
+    return rows.filter("kind = 'item'").select("batch", "action_index", "text").orderBy("batch", "action_index")
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["file_key", "stat_tag", "content_hash"])
-        try:
-            have = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = None
-        (new if have is None else new.join(have, ["file_key", "stat_tag", "content_hash"], "left_anti")).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def changes(arrivals: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """arrivals (path, hash, ...) of a stream with change against a snapshot (path, hash): added, modified or same. A stream-static
+    join: the snapshot is read anew for each micro-batch."""
+    old = snapshot.select("path", F.col("hash").alias("__old"), F.lit(True).alias("__there"))
+    same = F.coalesce(F.col("hash") == F.col("__old"), F.lit(False))
+    change = F.when(F.col("__there").isNull(), "added").when(same, "same").otherwise("modified")
+    return arrivals.join(old, "path", "left").withColumn("change", change).drop("__old", "__there")
+
+
+def append_memo(stream: DataFrame, path: str, checkpoint: str):
+    """Appends the records (file_key, stat_tag, content_hash, epoch) of each micro-batch to a memo, as sources.append_memo() does."""
+    return stream.writeStream.foreachBatch(lambda batch, _: corpus.append_memo(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
