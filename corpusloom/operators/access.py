@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
-from corpusloom.operators import incremental
-from corpusloom.plans import globs as G
+from corpusloom.operators import incremental, lineage
 
 
 def upwards(path: Column) -> Column:
@@ -46,22 +42,33 @@ def outside_targets(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 def declared_files(declared: DataFrame, inventory: DataFrame) -> DataFrame:
     """(task_id, declared, path, hash) of the inventory's files that a task's declared paths stand for: the file itself, all
-    files below a directory, or the files that a glob matches (by name alone if it holds no slash). A declaration that finds nothing gives one row with a null path.
+    files below a directory, or the files that a glob matches (by name alone if it holds no slash). A path that looks like a
+    glob but is there as it is stands for itself. A declaration that finds nothing gives one row with a null path.
 
     Files are matched with distinct declarations; tasks are joined last, so a header that every task names is matched once.
-    Globs become regular expressions once for each distinct glob, and meet the files below their literal prefix only.
     """
-
-    def compile_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(regex=[G.to_regex(p) for p in pdf["declared"]])
-
     wanted = declared.select(F.col("path").alias("declared")).filter("declared is not null").distinct()
-    is_glob = F.col("declared").rlike(r"[*?\[{]|[@+!]\(")
-    globs = wanted.filter(is_glob).mapInPandas(compile_, "declared string, regex string")
-    globs = globs.withColumn("up", F.coalesce(F.nullif(P.literal_prefix(F.col("declared")), F.lit("")), F.lit("/")))
-    up = inventory.select("path", "hash", F.explode(upwards(F.col("path"))).alias("up"))
-    plain = up.join(wanted.filter(~is_glob).select(F.col("declared").alias("up")), "up").select(F.col("up").alias("declared"), "path", "hash")
-    matched = up.join(globs, "up").filter(F.expr("lower(if(contains(declared, '/'), path, substring_index(path, '/', -1))) rlike regex")).select("declared", "path", "hash")
-    found = plain.unionByName(matched).distinct()
+    files = inventory.select("path", "hash", F.lower("path").alias("low"), F.lower(P.basename(F.col("path"))).alias("name"))
+    glob = P.is_glob(F.col("declared"))
+    literal = wanted.filter(glob).join(files.select(F.col("path").alias("declared")), "declared", "left_semi")
+    globs = wanted.filter(glob).join(literal, "declared", "left_anti")
+    plain = lineage.at_or_below(files.select("path", "hash"), wanted.filter(~glob).unionByName(literal), "path", "declared")
+    slash = F.col("declared").contains("/")
+    by_path = lineage.path_matches(files, globs.filter(slash), "low", "declared")
+    by_name = lineage.path_matches(files, globs.filter(~slash), "name", "declared")
+    found = plain.unionByName(files.join(by_path, "low").select("path", "declared")).unionByName(files.join(by_name, "name").select("path", "declared")).distinct()
+    found = found.join(inventory.select("path", "hash"), "path")
     return declared.select("task_id", F.col("path").alias("declared")).distinct().join(found, "declared", "left").select("task_id", "declared", "path", "hash")
+
+
+def unmatched(found: DataFrame) -> DataFrame:
+    """(task_id, declared, error) of the declarations of declared_files() that found nothing."""
+    error = F.when(P.is_glob(F.col("declared")), "matches nothing").otherwise("not found")
+    return found.filter("path is null").select("task_id", "declared", error.alias("error"))
+
+
+def edit_targets(targets: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (path, ...) that targets (path) name or match, each once; and (declared, error) of the targets that find nothing,
+    for which the whole request is to be refused."""
+    found = declared_files(targets.select(F.lit(0).alias("task_id"), "path"), files.select("path", F.lit("").alias("hash")))
+    return files.join(found.select("path").distinct(), "path", "left_semi"), unmatched(found).select("declared", "error")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.operators import lineage
+from corpusloom.sources.corpus import written
 
 
 def framed(*fields: Column) -> Column:
@@ -93,6 +94,13 @@ def forecast(tasks: DataFrame, manifest: DataFrame, edge: DataFrame, refresh: bo
     return judged.join(wave, "task_id").join(reach, "task_id", "left").select("task_id", "wave", "hit", "reason", (F.col("hit") & F.coalesce("__behind", F.lit(False))).alias("may_change"))
 
 
+def unchanged_outputs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(task_id) of the tasks whose hashes of outputs (task_id, world) are known and equal in two states: re-runs of these don't
+    make what waits for them run (lineage.dirty(same=...))."""
+    a, b = before.select("task_id", F.col("world").alias("old")), after.select("task_id", F.col("world").alias("new"))
+    return a.join(b, "task_id").filter("old = new").select("task_id")
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """(n, hits, executed, failed) of a run: executed are those that ran well."""
     n = lambda o: F.count_if(F.col("outcome") == o)
@@ -117,26 +125,28 @@ def expand_declared(declared: DataFrame, env: dict[str, str]) -> tuple[DataFrame
 def minimal_cover(directories: DataFrame) -> DataFrame:
     """(path): the directories without those that lie below another; the root itself is refused."""
     d = directories.select("path").filter("path <> '/'").distinct()
-    below = d.select("path", F.explode(P.ancestors(F.col("path"))).alias("up")).join(d.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
-    return d.join(below, "path", "left_anti")
+    return d.join(lineage._below(d, d), "path", "left_anti")
 
 
 def covered(rows: DataFrame, directories: DataFrame, anti: bool = False) -> DataFrame:
-    """Rows (path, ...) that are one of the directories or lie below one; or those that don't."""
-    up = rows.select("path").distinct().select("path", F.explode(P.ancestors(F.col("path"), proper=False)).alias("up"))
-    inside = up.join(directories.select(F.col("path").alias("up")).distinct(), "up", "left_semi").select("path").distinct()
+    """Rows (path, ...) that are one of the directories or lie below one; or those that don't. What is exploded are the distinct
+    directories that the rows lie in."""
+    tops = directories.select("path").distinct()
+    inside = tops.unionByName(lineage._below(rows.select("path").distinct(), tops))
     return rows.join(inside, "path", "left_anti" if anti else "left_semi")
 
 
 def access_policy(log: DataFrame) -> DataFrame:
     """(path, writable): the smallest set of directories that a log (path, operation) touched, reads inside writes left out."""
     files = log.filter("operation like 'file-%'").select(P.dirname(F.col("path")).alias("path"), F.col("operation").rlike("^file-(write|unlink|rename|create)").alias("writes"))
+    files = written(files.distinct())
     write = minimal_cover(files.filter("writes"))
     read = covered(minimal_cover(files.filter("not writes")), write, anti=True)
     return write.withColumn("writable", F.lit(True)).unionByName(read.withColumn("writable", F.lit(False)))
 
 
 def merge_grants(grants: DataFrame) -> DataFrame:
+    """(path, writable, pos) of grants of which several may name a path: one that may write wins, and the first place counts."""
     return grants.groupBy("path").agg(F.bool_or("writable").alias("writable"), F.min("pos").alias("pos"))
 
 
@@ -147,13 +157,25 @@ def required_access(task_paths: DataFrame) -> DataFrame:
     whole = base == F.col("path")
     writes = F.col("role") != "input"
     rows = task_paths.select(F.when(writes & whole, P.dirname(F.col("path"))).otherwise(base).alias("path"), writes.alias("writable")).filter("path <> ''").distinct()
+    rows = written(rows)  # few, and the expressions that they come from would be repeated in every branch below
     write = minimal_cover(rows.filter("writable"))
-    read = covered(minimal_cover(rows.filter("not writable")), write, anti=True)
+    read = minimal_cover(covered(rows.filter("not writable"), write, anti=True))  # what is written decides first: it is little
     return write.withColumn("writable", F.lit(True)).unionByName(read.withColumn("writable", F.lit(False)))
 
 
+def denied(lines: DataFrame) -> DataFrame:
+    """(path) of the lines (value) of a program's errors that end with a path and `Permission denied` or `Operation not permitted`."""
+    path = F.regexp_extract("value", r"(/[^:'\"]*)['\"]?: (?:Permission denied|Operation not permitted)$", 1)
+    return lines.select(path.alias("path")).filter("path <> ''").distinct()
+
+
+def of_processes(log: DataFrame, pids: DataFrame) -> DataFrame:
+    """The rows of a log (pid, ...) that one of the processes (pid) wrote."""
+    return log.join(pids.select("pid").distinct(), "pid", "left_semi")
+
+
 def violations(lines: DataFrame) -> DataFrame:
     """(pid, operation, path) of the log lines (value) that deny a file operation: `... (pid) deny(n) operation /path`."""
     pattern = r"\((\d+)\) deny\(\d+\) ([a-z*-]+) (/.*)$"
     part = lambda i: F.regexp_extract("value", pattern, i)
-    return lines.filter(F.col("value").rlike(pattern)).select(part(1).cast("long").alias("pid"), part(2).alias("operation"), part(3).alias("path")).filter("operation like 'file-%'")
+    return lines.filter(F.col("value").rlike(pattern)).select(part(1).try_cast("long").alias("pid"), part(2).alias("operation"), part(3).alias("path")).filter("operation like 'file-%'")

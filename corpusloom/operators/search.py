@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
+from corpusloom.operators import access, select
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -28,9 +29,20 @@ def is_binary(content: Column) -> Column:
     return F.decode(F.substring(content, 1, 4096), "ISO-8859-1").contains("\x00")
 
 
-def grep(files: DataFrame, pattern: str, regex: bool = True, ignore_case: bool = False, context: int = 0) -> DataFrame:
-    """(path, line, text, is_match, separator): matching lines, those within context of one, and whether a gap comes before."""
-    rows = lines(files.filter(matcher(F.col("text"), pattern if not regex else "(?m)" + pattern, regex, ignore_case))).withColumn("is_match", matcher(F.col("text"), pattern, regex, ignore_case))
+#: Patterns for which a line that matches need not make its text match: ends of the input, and what looks around.
+LINE_ONLY = re.compile(r"\\[AzZG]|\(\?")
+
+
+def grep(files: DataFrame, pattern: str, regex: bool = True, ignore_case: bool = False, context: int = 0, binary: bool = False) -> DataFrame:
+    """(path, line, text, is_match, separator): matching lines, those within context of one, and whether a gap comes before.
+
+    Files with a NUL among their first 4096 characters are skipped, unless binary.
+    """
+    if not binary:
+        files = files.filter(~F.substring("text", 1, 4096).contains("\x00"))
+    if not regex or not LINE_ONLY.search(pattern):  # texts without a match are left out before they are cut into lines
+        files = files.filter(matcher(F.col("text"), "(?m)" + pattern if regex else pattern, regex, ignore_case))
+    rows = lines(files).withColumn("is_match", matcher(F.col("text"), pattern, regex, ignore_case))
     by_line = Window.partitionBy("path").orderBy("line")
     if context:
         rows = rows.withColumn("near", F.max("is_match").over(by_line.rowsBetween(-context, context))).filter("near").drop("near")
@@ -39,6 +51,50 @@ def grep(files: DataFrame, pattern: str, regex: bool = True, ignore_case: bool =
     return rows.withColumn("separator", F.coalesce(F.col("line") - F.lag("line").over(by_line) > 1, F.lit(False)))
 
 
+def selections(directory: str | None, globs: list[str], excludes: list[str] = ()) -> list[dict]:
+    """The selections of a search in a directory: its relative globs (none at all: everything below it), and absolute globs as they
+    are, wherever the directory is."""
+    relative, absolute = [g for g in globs if not g.startswith("/")], [g[1:] for g in globs if g.startswith("/")]
+    if relative and directory is None:
+        raise ValueError("relative globs need a directory")
+    out = []
+    if directory is not None and (relative or not globs):
+        out.append({"root": directory, "globs": relative or ["**/*"], "excludes": list(excludes)})
+    if absolute:
+        out.append({"root": "/", "globs": absolute, "excludes": list(excludes)})
+    return out
+
+
+def search_files(files: DataFrame, selections: list[dict], pattern: str, most: int, grants: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Matches of a pattern in the files (path, text) that any selection takes, and one row (files, matches, skipped, truncated).
+
+    A selection: root and, optionally, globs (relative to the root; none takes everything below), regexes and excludes. A file that
+    several take counts once. Files outside the grants (path, writable) are skipped and counted. The first `most` matches in the
+    order of path and line are returned, with the lines around them.
+    """
+    chosen = None
+    for s in selections:
+        part = select.select_files(files, s["root"], s.get("globs", ()), s.get("regexes", ()), s.get("excludes", ())).select("path")
+        chosen = part if chosen is None else chosen.union(part)
+    chosen = chosen.distinct()
+    skipped = F.lit(0).cast("long")
+    if grants is not None:
+        judged = access.allowed(chosen.withColumn("need_writable", F.lit(False)), grants)
+        chosen = judged.filter("allowed").select("path")
+        skipped = judged.agg(F.count_if(~F.col("allowed")).alias("skipped"))
+    hits = grep(files.join(chosen, "path", "left_semi"), pattern, **options)
+    top = hits.filter("is_match").select("path", "line").orderBy("path", "line").limit(most)
+    context = options.get("context", 0)
+    near = top.select("path", F.explode(F.sequence(F.col("line") - context, F.col("line") + context)).alias("line")).distinct()
+    own = top.withColumn("__own", F.lit(True))
+    kept = hits.join(near, ["path", "line"], "left_semi").join(own, ["path", "line"], "left")
+    kept = kept.withColumn("is_match", F.coalesce("__own", F.lit(False))).drop("__own")
+    summary = summarize(kept, most)
+    if grants is not None:
+        summary = summary.drop("skipped").crossJoin(skipped)  # one row each
+    return kept, summary
+
+
 def template_parts(new: str, groups: int) -> list[str | int]:
     r"""A replacement with \1, $1, $&, $$, \n, \t, \r, \\ as texts and group numbers; a group that the pattern lacks raises."""
     out, i = [], 0
@@ -66,13 +122,20 @@ def template(new: str, groups: int) -> str:
     return "".join(f"${x}" if isinstance(x, int) else re.sub(r"([\\$])", r"\\\1", x) for x in template_parts(new, groups))
 
 
+#: What can make a match depend on text behind it.
+LOOKS_ON = re.compile(r"\(\?[=!<]|\\[bBzZAG]|[$^]")
+
+
 def replace_first(text: Column, pattern: str, parts: list[str | int], limit: int) -> tuple[Column, Column]:
     """text with the first matches replaced, and whether a match is empty (which this form can't place).
 
-    Groups are read from the whole text, so that what stands around a match counts as it does in the search.
+    split() stops after the last match that counts; groups are read from the text up to there, or from the whole text if the
+    pattern looks beyond a match.
     """
     pieces = F.split(text, pattern, limit + 1)
-    found = {g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in {0, *(x for x in parts if isinstance(x, int))}}
+    body = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    head = text if LOOKS_ON.search(body) else F.when(F.size(pieces) > 1, F.left(text, F.length(text) - F.length(F.element_at(pieces, -1)))).otherwise(F.lit(""))
+    found = {g: F.regexp_extract_all(head, F.lit(pattern), F.lit(g)) for g in {0, *(x for x in parts if isinstance(x, int))}}
     put = lambda i: [F.get(found[x], i) if isinstance(x, int) else F.lit(x) for x in parts]
     each = F.transform(pieces, lambda p, i: F.when(i < F.size(pieces) - 1, F.concat(p, *put(i))).otherwise(p))
     return F.array_join(each, ""), F.exists(found[0], lambda x: x == "")
@@ -125,7 +188,8 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
         pattern = (f"(?{flags})" if flags else "") + body
         groups = re.compile(body).groups if e.get("regex") else 0
         text = F.col("text")
-        n = F.regexp_count(text, F.lit(pattern))
+        # only the uniqueness guard has to count; otherwise the first match settles it
+        n = F.regexp_count(text, F.lit(pattern)) if limit == 1 else text.rlike(pattern).cast("int")
         java_new = template(new, groups) if e.get("regex") else re.sub(r"([\\$])", r"\\\1", new)
         if limit in (0, 1):
             done = F.regexp_replace(text, pattern, java_new) if e.get("regex") or e.get("ignore_case") else F.replace(text, F.lit(old), F.lit(new))
@@ -148,22 +212,26 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
 
 #: Media types by file name extension.
 MEDIA_TYPES = {
-    "c": "text/x-c", "cpp": "text/x-c++", "css": "text/css", "csv": "text/csv", "gif": "image/gif", "h": "text/x-c", "html": "text/html", "jpg": "image/jpeg",
-    "js": "text/javascript", "json": "application/json", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png", "py": "text/x-python", "sh": "application/x-sh",
-    "svg": "image/svg+xml", "txt": "text/plain", "xml": "application/xml", "yaml": "application/yaml", "zip": "application/zip",
+    "txt": "text/plain", "text": "text/plain", "md": "text/markdown", "markdown": "text/markdown", "json": "application/json", "xml": "application/xml",
+    "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "mjs": "text/javascript", "py": "text/x-python", "swift": "text/x-swift",
+    "c": "text/x-c", "h": "text/x-c", "cpp": "text/x-c++", "cc": "text/x-c++", "cxx": "text/x-c++", "hpp": "text/x-c++", "hh": "text/x-c++", "mm": "text/x-c++",
+    "m": "text/x-objcsrc", "rs": "text/x-rust", "go": "text/x-go", "sh": "application/x-sh", "bash": "application/x-sh", "zsh": "application/x-sh",
+    "yml": "application/yaml", "yaml": "application/yaml", "toml": "application/toml", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg",
+    "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml",
 }
 
 
 def resources(files: DataFrame) -> DataFrame:
-    """(path, name, uri, mime) of each file; what no extension names is application/octet-stream."""
-    kinds = files.sparkSession.createDataFrame(list(MEDIA_TYPES.items()), "ext string, known string")
+    """(path, name, uri, mime) of each file; what no extension names has no mime."""
+    kinds = files.sparkSession.createDataFrame(list(MEDIA_TYPES.items()), "ext string, mime string")
     rows = files.select("path", P.basename(F.col("path")).alias("name"), P.file_uri(F.col("path")).alias("uri"), P.extension(F.col("path")).alias("ext"))
-    return rows.join(F.broadcast(kinds), "ext", "left").select("path", "name", "uri", F.coalesce("known", F.lit("application/octet-stream")).alias("mime"))
+    return rows.join(F.broadcast(kinds), "ext", "left").select("path", "name", "uri", "mime")
 
 
 def summarize(matches: DataFrame, most: int, skipped: int = 0) -> DataFrame:
     """One row: files and lines that matched, those skipped, and whether the cap was reached."""
-    return matches.agg(F.count_distinct("path").alias("files"), F.count_if("is_match").alias("matches")).withColumns({"skipped": F.lit(skipped), "truncated": F.col("matches") >= most})
+    found = matches.agg(F.count_distinct(F.when(F.col("is_match"), F.col("path"))).alias("files"), F.count_if("is_match").alias("matches"))
+    return found.withColumns({"skipped": F.lit(skipped).cast("long"), "truncated": F.col("matches") >= most})
 
 
 def unified_diff(before: DataFrame, after: DataFrame, context: int = 3) -> DataFrame:

@@ -68,6 +68,12 @@ def tree(entries: DataFrame, depth: int = 5) -> DataFrame:
     return (entries if depth < 0 else entries.filter(F.col("depth") <= depth)).orderBy("path")
 
 
+def info(entries: DataFrame) -> DataFrame:
+    """(path, type, size, modified, mode, permissions) of entries (path, kind, size, mtime_ns, mode); times in UTC, mode in octal."""
+    mode = F.col("mode").cast("int")
+    return entries.select("path", F.col("kind").alias("type"), "size", P.iso_utc(F.col("mtime_ns")).alias("modified"), P.octal_mode(mode).alias("mode"), P.permissions(F.col("kind"), mode).alias("permissions"))
+
+
 def nested_tree(entries: DataFrame, depth: int = 5) -> DataFrame:
     """(path, json) of each entry of depth 1: name, kind and, for directories above the given depth, children in the order of
     their names. Levels are joined from the deepest up, so a task holds no more than the subtree it writes."""
@@ -97,9 +103,9 @@ def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
 
 def pattern_matches(files: DataFrame, patterns: list[str]) -> DataFrame:
     """(path, pattern) for many globs on relative paths: an equi-join of each path's ancestors with the globs' literal prefixes
-    leaves few candidates for the regular expression. The pattern table is what the caller passed, so it is broadcast."""
+    leaves few candidates for the regular expression. Spark chooses how the pattern table is joined, by its size."""
     spark = files.sparkSession
     rows = [(p, "/" + G.literal_prefix(p).strip("/"), G.to_regex(p)) for p in patterns]
     table = spark.createDataFrame(rows, "pattern string, prefix string, regex string")
     up = files.select("path", "rel", F.explode(F.concat(F.array(F.lit("/")), P.ancestors(F.concat(F.lit("/"), F.col("rel")), proper=False))).alias("prefix"))
-    return up.join(F.broadcast(table), "prefix").filter(F.expr("lower(rel) rlike regex")).select("path", "pattern")
+    return up.join(table, "prefix").filter(F.expr("lower(rel) rlike regex")).select("path", "pattern")
