@@ -286,6 +286,15 @@ ORACLE = {
       w(task_id, wave) AS (SELECT t, 0 FROM (SELECT DISTINCT t FROM tp WHERE path NOT LIKE '/customer/%') WHERE t NOT IN (SELECT dst FROM g) UNION SELECT g.dst, w.wave + 1 FROM w JOIN g ON g.src = w.task_id) SELECT task_id, CAST(max(wave) AS INT) AS wave FROM w GROUP BY task_id""",
     "task_status": f"""WITH {TASKS}, i AS (SELECT DISTINCT t, p FROM l), j AS (SELECT t, bool_or(p_partkey IS NULL) AS bad FROM i LEFT JOIN (SELECT * FROM part WHERE p_partkey % 97 <> 5) ON p = p_partkey GROUP BY t),
       r AS (SELECT t AS task_id, CASE WHEN bad THEN 'missing input' WHEN t % 5 = 0 THEN 'new task' WHEN t % 7 = 0 THEN 'inputs changed' WHEN t % 18 = 0 THEN 'output missing' WHEN t % 9 = 0 THEN 'products changed' ELSE 'up to date' END AS reason FROM j) SELECT task_id, reason, reason = 'up to date' AS hit FROM r""",
+    "resolve_links": """WITH RECURSIVE l AS (SELECT page_id AS path, CASE WHEN page_id % 40 = 7 THEN -1 WHEN page_id = 3 THEN 1 ELSE page_id // 2 END AS target, page_id % 40 <> 7 AS there FROM pages WHERE page_id > 0),
+      w(path, target, hops, there) AS (SELECT path, target, 1, there FROM l UNION ALL SELECT w.path, l.target, hops + 1, l.there FROM w JOIN l ON w.target = l.path)
+      SELECT path, target, CAST(hops AS INT) AS hops, CASE WHEN there THEN 'resolved' ELSE 'broken' END AS state FROM w WHERE target NOT IN (SELECT path FROM l)""",
+    "edit_files": rf"""WITH {FILES}, a AS (SELECT path, text, string_split(text, 'the ') AS s FROM f), b AS (SELECT path, text, len(s) - 1 AS n, CASE WHEN len(s) <= 3 THEN array_to_string(s, 'THE ') ELSE s[1] || 'THE ' || s[2] || 'THE ' || array_to_string(s[3:], 'the ') END AS one FROM a)
+      SELECT path, sha256(CASE WHEN n = 0 THEN text WHEN NOT regexp_matches(one, '(\w+), (\w+)') THEN one ELSE regexp_replace(one, '(\w+), (\w+)', '\2; \1', 'g') END) AS text_hash,
+      CASE WHEN n = 0 THEN 'edit 0: no match' WHEN NOT regexp_matches(one, '(\w+), (\w+)') THEN 'edit 1: no match' END AS error FROM b""".replace("\\\\", "\\"),
+    "edit_preview": f"""WITH {FILES}, l AS (SELECT path, string_split(text, chr(10)) AS s FROM f WHERE len(string_split(text, 'License')) = 2), p AS (SELECT path, s, list_position(list_transform(s, lambda x: contains(x, 'License')), true) AS i, len(s) AS n FROM l)
+      SELECT path, CAST(greatest(i - 3, 1) AS INT) AS start, CAST(least(n, i + 3) - greatest(i - 3, 1) + 1 AS INT) AS old_lines, CAST(least(n, i + 3) - greatest(i - 3, 1) + 1 AS INT) AS new_lines,
+      array_to_string(list_concat(list_transform(s[greatest(i - 3, 1):i - 1], lambda x: ' ' || x), ['-' || s[i], '+' || replace(s[i], 'License', 'Licence')], list_transform(s[i + 1:least(n, i + 3)], lambda x: ' ' || x)), chr(10)) AS hunk FROM p""",
     "minimal_cover": f"WITH {_PAGE}, d AS (SELECT DISTINCT path FROM p WHERE length(path) > 1) SELECT path FROM d WHERE NOT EXISTS (SELECT 1 FROM d u WHERE starts_with(d.path, u.path || '/'))",
     "action_stream": "SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN 'echo' END AS action, CASE WHEN event_id % 97 <> 0 THEN event_id ELSE -1 END AS n, event_id % 97 <> 0 AS raw, CASE WHEN event_id % 97 <> 0 THEN user_id || ',' || event_type END AS fields, CASE WHEN event_id % 97 = 0 THEN 'malformed line' END AS error FROM events",
 }
