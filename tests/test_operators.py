@@ -209,7 +209,7 @@ def test_preview_resources_and_logs(spark):
     c = spark.createDataFrame([("f", "\n".join("abcdeefghij"))], "path string, text string")
     assert rows(search.unified_diff(a, c)) == [("f", 3, 6, 7, " c\n d\n e\n+e\n f\n g\n h")]
     got = search.resources(spark.createDataFrame([("/a b/x.PNG",), ("/n*o",)], "path string"))
-    assert rows(got) == [("/a b/x.PNG", "x.PNG", "file:///a%20b/x.PNG", "image/png"), ("/n*o", "n*o", "file:///n%2Ao", "application/octet-stream")]
+    assert rows(got) == [("/a b/x.PNG", "x.PNG", "file:///a%20b/x.PNG", "image/png"), ("/n*o", "n*o", "file:///n%2Ao", None)]
     log = spark.createDataFrame([("kernel: sh(12) deny(1) file-read-data /a/b",), ("x(3) deny(1) mach-lookup /q",), ("noise",)], "value string")
     assert rows(incremental.violations(log)) == [(12, "file-read-data", "/a/b")]
     tp = _paths(spark, (1, "input", "/r/s/*.c"), (1, "output", "/w/o/x"), (2, "mutating", "/w/**"), (3, "input", "/w/q"))
@@ -299,3 +299,130 @@ def test_sinks_and_arrivals(spark, tmp_path):
     q.awaitTermination(60)
     want = corpus.scan(spark, [str(source)]).select("path", "size", "mtime_ns", identity.content_hash(F.col("content")).alias("hash"))
     assert rows(spark.table("arrived")) == rows(want)
+
+
+STEP = "struct<action: string, `from`: string, `to`: string, items: array<string>, `destination directory`: string, inputs: array<string>, outputs: array<string>, tool: string, directory: string, file: string, cache: boolean>"
+
+
+def test_steps(spark, tmp_path):
+    steps = [
+        {"action": "clone", "from": "${H}/a", "to": "/b"}, {"action": "move", "items": ["/x/1", "/x/*.o", "${NO}/y"], "destination directory": "/d"}, {"action": "symlink", "from": "/x/*", "to": "/d"},
+        {"action": "create", "directory": "/n"}, {"action": "delete", "items": ["/b"]}, {"action": "copy", "from": "${NO}", "to": "/c"}, {"action": "start"},
+        {"action": "execute", "tool": "/t", "inputs": ["/i", "${NO}"], "outputs": ["/o"]}, {"action": "Execute", "tool": "/t", "outputs": ["/o2"], "cache": False}, {"action": "list", "directory": "/n"},
+    ]
+    (tmp_path / "p.json").write_text(json.dumps({"main": steps, "other": [{"action": "read", "items": ["/r"]}]}))
+    tasks = lineage.expand_steps(corpus.playlist(spark, str(tmp_path / "p.json"), STEP, "main"), {"H": "/home"})
+    got = {(r.seq.seq, r.item): (r.action, r.cacheable, r.existence_only, [tuple(p) for p in r.paths]) for r in tasks.collect()}
+    assert got == {
+        (0, 0): ("clone", True, False, [("input", "/home/a"), ("output", "/b")]), (1, 0): ("move", True, False, [("exclusive", "/x/1"), ("output", "/d/1")]),
+        (1, 1): ("move", True, False, [("exclusive", "/x/*.o"), ("output", "/d")]), (2, 0): ("symlink", False, False, [("input", "/x/*"), ("output", "/d")]),
+        (3, 0): ("create", True, True, [("output", "/n")]), (4, 0): ("delete", True, False, [("exclusive", "/b")]), (5, 0): ("copy", False, False, []),
+        (7, 0): ("execute", False, False, [("input", "/i"), ("output", "/o")]), (8, 0): ("execute", False, False, [("output", "/o2")]), (9, 0): ("list", False, False, [("input", "/n")]),
+    }
+    assert rows(lineage.edges(lineage.paths_of(tasks))) == [
+        ("main/0/0", "main/4/0", "explicit"), ("main/1/1", "main/1/0", "implicit"), ("main/2/0", "main/1/0", "implicit"), ("main/3/0", "main/9/0", "explicit"),
+    ]
+
+
+def test_playlist_strings_stay(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[{"text": "a, ] b,}", "x": [1, 2,],}, ]')
+    assert corpus.playlist(spark, str(tmp_path / "p.json"), "struct<text: string, x: array<int>>").first().step.asDict() == {"text": "a, ] b,}", "x": [1, 2]}
+
+
+def test_repeated_options(spark):
+    out = actions.parse(_table(spark, "value string", ("[echo a=1 b=2 a=3]|x",), ("[echo]|y",))).collect()
+    assert out[0].options == {"a": "3", "b": "2"} and out[1].options == {} and not out[0].error
+
+
+def test_memo_renews_epochs(spark, tmp_path):
+    path, record = str(tmp_path / "memo"), "file_key long, stat_tag long, content_hash string, epoch long"
+    for epoch in (1, 20, 40):
+        corpus.append_memo(_table(spark, record, (1, 1, "a", epoch)), path)
+    assert rows(corpus.read_memo(spark, path)) == [(1, 1, "a", 40)]
+    corpus.append_memo(_table(spark, record, (1, 1, "a", 41)), path)
+    assert spark.read.parquet(f"{path}/log/first").count() == 3  # a run soon after writes nothing
+    q = actions.append_memo(spark.readStream.schema(record).json(str(_json(tmp_path, {"file_key": 2, "stat_tag": 1, "content_hash": "b", "epoch": 41}))), path, str(tmp_path / "c"))
+    q.awaitTermination(60)
+    assert rows(corpus.read_memo(spark, path)) == [(1, 1, "a", 40), (2, 1, "b", 41)]
+
+
+def _json(tmp_path, row):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps(row))
+    return tmp_path / "in"
+
+
+def test_search_at_the_ends_of_texts(spark):
+    files = _table(spark, "path string, text string", ("f", "one\ntwo here\n"), ("g", "a\x00two"))
+    hit = lambda p, **k: [(r.path, r.line) for r in search.grep(files, p, **k).collect()]
+    assert hit(r"\Atwo") == [("f", 2)] == hit("^two") and hit(r"one\z") == [("f", 1)] and hit(r"(?<!x)two") == [("f", 2)]
+    assert sorted(hit("two", binary=True)) == [("f", 2), ("g", 1)]
+
+
+def test_conflicts_with_own_declarations(spark):
+    tp = _paths(spark, (1, "exclusive", "/d"), (1, "input", "/d/e"), (1, "output", "/d/f"), (2, "output", "/p"), (3, "exclusive", "/p"), (2, "output", "/p/q"), (4, "output", "/p/r"))
+    assert rows(lineage.conflicts(tp)) == sorted([("consumer under exclusive", "/d/e", 1), ("producer under exclusive", "/d/f", 1), ("producer under exclusive", "/p/r", 1)], key=str)
+
+
+def _brute_waves(n, edges):
+    before = {i: {a for a, b in edges if b == i and a != i} for i in range(n)}
+    wave, k = {}, 0
+    while ready := [i for i in before if i not in wave and all(a in wave for a in before[i])]:
+        wave |= dict.fromkeys(ready, k)
+        k += 1
+    return wave, {i: sum(a not in wave for a in before[i]) for i in before if i not in wave}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_waves_and_dirtiness_of_random_graphs(spark, seed):
+    """Chains, diamonds, cycles and what hangs on them, against the definition."""
+    import random
+
+    r = random.Random(seed)
+    n = 70
+    e = [(i, i + 1) for i in range(20)] + [(r.randrange(n), r.randrange(n)) for _ in range(25)] + [(30, 31), (30, 32), (31, 33), (32, 33), (33, 34), (40, 41), (41, 40), (41, 42), (42, 43)]
+    tasks, edge = _table(spark, "task_id long", *((i,) for i in range(n))), _table(spark, "src long, dst long", *e)
+    wave, stuck = _brute_waves(n, e)
+    got = lineage.waves(tasks, edge)
+    assert {x.task_id: x.wave for x in got.collect()} == {i: wave.get(i) for i in range(n)} and got.count() == n
+    assert {x.task_id: x.waiting for x in lineage.cycle_report(edge, got).collect()} == stuck
+    changed, same = [3, 30, 40], {5, 31}
+    for cut in (set(), same):
+        want, front = dict.fromkeys(changed, 0), changed
+        while front:
+            front = [b for a, b in e if a in front and a not in cut and a != b and b not in want and not want.update({b: want[a] + 1})]
+        out = lineage.dirty(edge, _table(spark, "task_id long", *((i,) for i in changed)), _table(spark, "task_id long", *((i,) for i in cut or {n})))
+        assert {x.task_id: x.distance for x in out.collect()} == want
+
+
+def test_path_matches(spark):
+    paths, globs_ = ["/a/b/c.txt", "/a/x.c", "/b/y.c", "/b/c/d.h", "/a/b/c/e"], ["/a/**", "/a/*/c.txt", "**/*.c", "/b/*.c", "*/*/*", "/**/[cd].*", "/a/b/c.txt/*"]
+    got = lineage.path_matches(_table(spark, "path string", *((p,) for p in paths)), _table(spark, "glob string", *((g,) for g in globs_)))
+    import re
+
+    assert set(rows(got)) == {(p, g) for p in paths for g in globs_ if re.fullmatch(globs.to_regex(g), p)}
+
+
+def test_snapshot_of_one_object(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"fingerprint_params": {"hash_algorithm": "crc32c", "glob_patterns": ["*.c"]}, "files": [{"path": "a", "hash": "1", "size": 2}, {"path": "b", "hash": "2", "size": 3}]}, indent=1))
+    assert [(r.path, r.size) for r in corpus.read_snapshot(spark, str(tmp_path / "s.json"), single=True).collect()] == [("a", 2), ("b", 3)]
+    assert rows(corpus.read_snapshot_params(spark, str(tmp_path / "s.json"), single=True)) == [("glob_patterns", '["*.c"]'), ("hash_algorithm", "crc32c")]
+
+
+def test_selections(spark):
+    assert search.selections("/r", []) == [{"root": "/r", "globs": ["**/*"], "excludes": []}]
+    with pytest.raises(ValueError):
+        search.selections(None, ["*.c"])
+    files = _table(spark, "path string, text string", ("/r/a.c", "hit\nhit"), ("/r/b.h", "hit"), ("/s/c.c", "hit"))
+    hits, summary = search.search_files(files, search.selections("/r", ["*.c", "/s/*"]), "hit", 2)
+    assert [(r.path, r.line) for r in hits.orderBy("path", "line").collect()] == [("/r/a.c", 1), ("/r/a.c", 2)] and tuple(summary.first()) == (1, 2, 0, True)
+
+
+def test_changes_of_arrivals(spark):
+    arrived, old = _table(spark, "path string, hash string", ("a", "1"), ("b", "2"), ("c", "3"), ("d", None)), _table(spark, "path string, hash string", ("a", "1"), ("b", "x"), ("d", None))
+    assert rows(actions.changes(arrived, old).select("path", "change")) == [("a", "same"), ("b", "modified"), ("c", "added"), ("d", "modified")]
+
+
+def test_times_and_commands(spark):
+    df = _table(spark, "ns long, args array<string>", (1_700_000_000_123_456_789, ["a", "-b"]))
+    assert tuple(df.select(P.local_ns(F.col("ns")), P.command(F.col("args")), P.run_stamp(F.timestamp_micros(F.lit(1_700_000_000_123_456)))).first()) == ("2023-11-14 22:13:20.123456789", "a -b", "2023-11-14T22:13:20.123456")
