@@ -83,7 +83,9 @@ def later_copies(sequence: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def removed_runs(placed: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(u, runs): the maximal runs of lines to delete from a row, in order, as structs of the first and last line's number."""
-    marks = later_copies(materialize(lines(placed, min_words), "lines"), min_lines)
+    sequence = materialize(lines(placed, min_words), "lines")
+    marks = later_copies(sequence, min_lines)
+    discard(sequence)  # its readers are written
     document = Window.partitionBy("u").orderBy("i")
     covered = marks.withColumn("stop", F.max(F.col("i") + F.col("reach")).over(document)).filter("stop > i").select("u", "i")
     islands = covered.withColumn("island", F.col("i") - F.row_number().over(document)).groupBy("u", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"))

@@ -48,18 +48,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tupl
     return ranked.select("source", "source_size", target.alias("target"), "slope")
 
 
-def mix(docs: DataFrame, size: Column | None = None, row: str | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, keep: list[str] = (), **options) -> DataFrame:
     """key, row, doc_id, size, source_size, target, taken and positions (0 to 1, one for each copy begun) of each row of docs.
 
     Every document of a source is taken whole times (target // source size), and then the first documents in MD5 order once
     more until the target is met; the last of these may be taken in part, so that the taken words are the target, rounded.
     Null texts have size 0, are never taken and have no position. Repeated rows are documents of their own (row tells them
-    apart: the column of that name, or a number that it gets); ties in id are broken by size, then by row. An empty table gives
-    an empty result; other columns of docs are not read.
+    apart); ties in id are broken by size, then by row. An empty table gives an empty result; of other columns of docs only those
+    of keep are read, and returned too.
     """
     words = n_words(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    named = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), words.alias("size"), key.alias("key"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    named = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), words.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *keep)
     rows = materialize(named, "mix-rows")
     name = F.when(~F.col("no_name"), F.col("name"))
     goal = targets(rows.groupBy(name.alias("source")).agg(F.sum("size").alias("source_size")), **options)
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, size: Column | None = None, row: str | None = None, **o
     position = lambda c: F.when(a == 0, u(c)).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * u(c)) - (1 - a)) / (2 * a))
     copies = F.when(F.col("size") > 0, F.ceil(taken / F.col("size"))).otherwise(0).cast("int")
     at = lambda k: F.when(copies > k, F.lit(0.0) + position(begun + F.lit(k) * F.col("source_size")))
-    return out.select("row", "doc_id", "size", "source_size", "target", taken.alias("taken"), at(0).alias("first_position"), at(1).alias("second_position"), "key")
+    return out.select("row", "doc_id", "size", "source_size", "target", taken.alias("taken"), at(0).alias("first_position"), at(1).alias("second_position"), "key", *keep)
 
 
 def schedule(plan: DataFrame) -> DataFrame:
