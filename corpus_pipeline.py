@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, linededup, mixing, packing, simhash
-from corpusloom.llm.common import discard, materialize, table
+from corpusloom.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +45,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A last copy that the mix takes less than half of is left out, so that no text is cut. Texts without a word are never taken.
     Each row is a document of its own, whatever its id; an empty table gives no rows.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    plan = materialize(mixing.mix(rows, row="__row"), "mix-plan")
+    key = ["__r1", "__r2"]  # hashes of all columns: rows that share them are the same in every way, and one stands for all
+    every = [F.struct(*(F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in docs.columns))]
+    named = docs.withColumns({"__r1": F.xxhash64(*every), "__r2": F.xxhash64(F.lit("second"), *every)})
+    plan = materialize(mixing.mix(named, keep=key), "mix-plan")
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    wanted = plan.select(F.col("row").alias("__row"), copies.alias("__copies")).filter("__copies > 0")
-    places = mixing.schedule(plan).select(F.col("row").alias("__row"), F.col("copy").alias("__copy"), F.col("place").alias("__place"))
-    taken = places.join(wanted, "__row").filter("__copy < __copies").groupBy("__row").agg(F.collect_list("__place").alias("__places"))  # two at most
-    # written before it is sorted, so that the join's shuffle files and the first copy of the texts can go
-    placed = materialize(rows.join(taken, "__row").drop("__row"), "mix-placed")
-    discard(rows)
-    return placed.withColumn("__place", F.explode("__places")).orderBy("__place").select(*docs.columns)
+    wanted = plan.select("row", *key, copies.alias("__copies")).filter("__copies > 0")
+    places = mixing.schedule(plan).select("row", "copy", F.col("place").alias("__place"))
+    taken = materialize(places.join(wanted, "row").filter("copy < __copies").select(*key, "__place"), "mix-taken")
+    repeated = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    texts = named.join(repeated, key, "left_anti").unionByName(named.join(repeated, key, "left_semi").dropDuplicates(key))
+    return texts.join(taken, key).orderBy("__place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
