@@ -10,6 +10,7 @@ Tokenizing needs no shuffle; only (id, length) of the pieces below the capacity
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -48,8 +49,9 @@ class Encoder:
     """Texts to ids, packed as little-endian unsigned 32-bit numbers.
 
     The tokenizer's vocabulary is run by tiktoken: ids are the ranks of its merges, and the pre-tokenizer's pattern is the
-    byte-level one, so the ids are the tokenizer's own (tests compare them) in a quarter of the time. Texts that spell an
-    added token go through the tokenizer itself.
+    byte-level one, so the ids are the tokenizer's own (tests compare them) in a quarter of the time. A vocabulary whose merges
+    are not in the order of their ids is refused, since tiktoken would merge it otherwise. Texts that spell an added token go
+    through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -59,7 +61,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        ranks = {bytes(_bytes()[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in json.loads(self.tokenizer.to_str())["model"]["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError(f"{path}: merges are not in the order of their ids")
+        ranks = {bytes(_bytes()[c] for c in t): i for t, i in vocabulary.items() if i not in added}
         self.encode = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.added = [t.content for t in added.values()]
 
@@ -105,7 +111,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             cols = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -166,10 +173,11 @@ def _packer(turn: int, last: bool, capacity: int) -> Callable[[pd.DataFrame], pd
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """pieces() with sequence_id, offset, round and certified.
 
-    certified: the partition that closed this sequence proved that it used as few as possible. Full pieces are sequences of
+    certified: the partition that closed this sequence proved that it used as few as possible; what is open after `rounds` rounds
+    of exchange is closed without that proof. Full pieces are sequences of
     their own. Empty tables give no rows; rows without doc_id and repeated rows are packed like any other.
     """
     all_ = materialize(pieces(docs, path, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
@@ -177,9 +185,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     rest = all_.filter(F.col("length") < capacity).select("uid", "length")
     done = [full]
     n = rest.count()
-    for turn in range(1, ROUNDS + 1):
+    for turn in range(1, rounds + 1):
         parts = max(1, -(-n // (PART_PIECES * 2 ** (turn > 1))))
-        last = turn == ROUNDS or parts == 1
+        last = turn == rounds or parts == 1
 
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
         packed = materialize(dealt.groupBy("part").applyInPandas(_packer(turn, last, capacity), "uid long, length long, sequence_id long, offset long, round int, certified boolean, closed boolean"), "packed")

@@ -55,7 +55,7 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of each row of docs (doc_id, text)."""
+    """(doc_id, fp long) of each row of docs (doc_id, text); ids are of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [_signed(fingerprint(texts[i].as_py())) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _near(planes: np.ndarray, n: int, s: int, same: np.ndarray, radius: int) -> np.ndarray:
