@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
@@ -331,6 +331,13 @@ def _unwound(known: DataFrame, moved: list[DataFrame], column: str) -> DataFrame
 ROUNDS = 8
 
 
+def _counted(left: DataFrame) -> tuple[DataFrame, int]:
+    """left (task_id, n, wave), written, and how many of its tasks wait for nothing, which the write itself counts."""
+    seen = Observation()
+    out = written(left.observe(seen, F.count_if(F.col("n") == 0).alias("ready")))
+    return out, seen.get["ready"]
+
+
 def waves(tasks: DataFrame, edge: DataFrame, most: int = 100_000) -> DataFrame:
     """(task_id, wave): the first wave waits for nothing, each other one only for earlier ones. Tasks on or behind a cycle have
     a null wave (cycle_report() tells what they wait for). Raises if there are more than most rounds.
@@ -344,18 +351,19 @@ def waves(tasks: DataFrame, edge: DataFrame, most: int = 100_000) -> DataFrame:
     for gone in [*moved, *([lost] if lost is not None else [])]:
         every = every.join(gone.select(F.col("p").alias("task_id")), "task_id", "left_anti")
     degree = e.groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("n"))
-    left = written(every.join(degree, "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("wave")))
+    left, ready = _counted(every.join(degree, "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("wave")))
     out: list[DataFrame] = []
     fronts: list[DataFrame] = []
     for k in range(most + 1):
-        front = left.filter("n = 0").select("task_id", "wave")
-        if front.isEmpty():
+        if not ready:
             break
         if k == most:
             raise RuntimeError(f"more than {most} rounds")
+        front = left.filter("n = 0").select("task_id", "wave")
         fronts.append(front)
         free = e.join(front, e["src"] == front["task_id"]).groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("wave") + F.col("w")).alias("after"))
-        left = written(left.filter("n > 0").join(free, "task_id", "left").select("task_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("wave", F.coalesce("after", F.lit(0))).alias("wave")))
+        rest = left.filter("n > 0").join(free, "task_id", "left")
+        left, ready = _counted(rest.select("task_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("wave", F.coalesce("after", F.lit(0))).alias("wave")))
         if len(fronts) == ROUNDS:  # so that the plan doesn't grow with every round
             out, fronts = [*out, written(reduce(DataFrame.unionByName, fronts))], []
     out += fronts

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
-from corpusloom.operators import access, identity, incremental, search, select
+from corpusloom.operators import access, identity, incremental, lineage, search, select
 from corpusloom.plans.queries import FILES, ROOT, _table, files, task_paths
 from corpusloom.sources import corpus
 from corpusloom.streaming import actions
@@ -239,12 +239,45 @@ def request_cap(spark: SparkSession, d: str) -> DataFrame:
     return corpus.request(_table(spark, d, "customer").select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_custkey").alias("pos")), 50)
 
 
+def chunked_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """The two-level fingerprint of each source, in chunks of seven files."""
+    f = files(spark, d).filter("path is not null").withColumn("source", F.element_at(P.parts(F.col("path")), 2))
+    hashed = f.withColumns({"hash": identity.content_hash(F.col("text")), "rel": F.col("path")})
+    return identity.chunked_fingerprint(hashed, chunk=7, by=["source"])
+
+
+def select_all(spark: SparkSession, d: str) -> DataFrame:
+    """Everything below the root (an empty glob) but what an absolute glob, a relative one and a literal leave out."""
+    return select.select_files(files(spark, d), ROOT, [""], excludes=[f"{ROOT}/*/en/doc_*9.txt", "src1/*/doc_?2*", "src2/de", ""]).select("path", "rel")
+
+
+def playlist_json(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a playlist by nation, written as one JSON text with trailing commas, read back and expanded."""
+    s = _table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 4).alias("g"))
+    step = F.concat(F.lit('{"action": "read", "items": ["/s/'), F.col("s_suppkey").cast("string"), F.lit('", "/a, ]/${X}",],},'))
+    keys = s.withColumn("step", step).groupBy("g").agg(F.expr("listagg(step, ' ') within group (order by s_suppkey)").alias("steps"))
+    one = keys.select(F.concat(F.lit('"k'), F.col("g").cast("string"), F.lit('": ['), "steps", F.lit("],")).alias("part"))
+    path = _scratch(spark, "playlist")
+    one.agg(F.concat(F.lit("{"), F.expr("listagg(part, ' ') within group (order by part)"), F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    steps = corpus.playlist(spark, path, "struct<action: string, items: array<string>>")
+    tasks = lineage.expand_steps(steps, {"X": "x"})
+    return lineage.paths_of(tasks).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("first_task"))
+
+
+def outside_links(spark: SparkSession, d: str) -> DataFrame:
+    """Where links of files lead out of the roots, each place once."""
+    s = _table(spark, d, "documents").filter("source is not null").groupBy("source").agg(F.min("doc_id").alias("m"))
+    target = F.concat(F.when(F.col("m") % 3 == 0, F.lit("/ext/")).otherwise(F.lit(ROOT + "/")), "source")
+    links = s.select(F.concat(F.lit("/links/"), "source").alias("path"), F.explode(F.array(target, F.concat(target, F.lit("/deep")))).alias("target"), F.lit("resolved").alias("state"))
+    return access.outside_targets(links, spark.createDataFrame([(ROOT,)], "path string"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         snapshot_json, snapshot_tsv, params_diff, manifest_rounds, run_counts, memo_runs, read_content, file_info, relative_fingerprint, access_log, denied_paths, grants, search_capped,
         search_summary, edit_targets, block_edit, find_by_name, list_directory, environment_text, requested_paths, literal_first, task_signatures, world_outputs, stale_excludes, first_of_path,
-        file_keys, ordered_output, media_types, request_cap,
+        file_keys, ordered_output, media_types, request_cap, chunked_fingerprint, select_all, playlist_json, outside_links,
     )
 }
 
@@ -312,5 +345,11 @@ ORACLE = {
     "ordered_output": "SELECT user_id % 50 AS batch, event_id AS action_index, event_type AS text, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS place FROM events WHERE event_id % 10 <> 0",
     "media_types": """WITH p AS (SELECT page_id AS k, ['html', 'MD', 'mm', 'plist', 'yml', 'm', 'jpeg', 'tar.gz'][page_id % 8 + 1] AS e, ['text/html', 'text/markdown', 'text/x-c++', NULL, 'application/yaml', 'text/x-objcsrc', 'image/jpeg', NULL][page_id % 8 + 1] AS mime,
       ['a b', 'x*y', 't~1', 'é', 'p+q'][page_id % 5 + 1] AS n, ['a%20b', 'x%2Ay', 't~1', '%C3%A9', 'p%2Bq'][page_id % 5 + 1] AS u FROM pages) SELECT '/p/' || k || '/' || n || '.' || e AS path, n || '.' || e AS name, 'file:///p/' || k || '/' || u || '.' || e AS uri, mime FROM p""",
+    "chunked_fingerprint": f"""WITH {FILES}, h AS (SELECT source, path, {_HASH} AS h, (row_number() OVER (PARTITION BY source ORDER BY reverse(path)) - 1) // 7 AS c FROM f WHERE path IS NOT NULL AND text IS NOT NULL),
+      g AS (SELECT source, c, sha256(string_agg(h, '' ORDER BY reverse(path))) AS h, count(*) AS n FROM h GROUP BY source, c) SELECT source, CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(h, '' ORDER BY c)) AS fingerprint FROM g GROUP BY source""",
+    "select_all": f"""WITH {FILES} SELECT path, rel FROM f WHERE path IS NOT NULL AND NOT (lang = 'en' AND doc_id % 10 = 9 OR source = 'src1' AND regexp_matches(name, '^doc_.2') OR source = 'src2' AND lang = 'de')""",
+    "playlist_json": """WITH s AS (SELECT s_suppkey AS k, s_nationkey % 4 AS g, row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey) - 1 AS i FROM supplier)
+      SELECT '/s/' || k AS path, 1::BIGINT AS n, 'k' || g || '/' || i || '/0' AS first_task FROM s UNION ALL SELECT '/a, ]/x', count(*), min('k' || g || '/' || i || '/1') FROM s""",
+    "outside_links": "SELECT '/ext/' || source AS path FROM (SELECT source, min(doc_id) AS m FROM documents WHERE source IS NOT NULL GROUP BY source) WHERE m % 3 = 0",
     "request_cap": "SELECT c_custkey AS pos, CASE WHEN c_custkey < 50 THEN '/c/' || c_custkey END AS path, CASE WHEN c_custkey >= 50 THEN 'more than 50 paths' END AS error FROM customer",
 }
