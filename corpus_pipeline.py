@@ -52,10 +52,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     wanted = plan.select("row", *key, copies.alias("__copies")).filter("__copies > 0")
     places = mixing.schedule(plan).select("row", "copy", F.col("place").alias("__place"))
-    taken = materialize(places.join(wanted, "row").filter("copy < __copies").select(*key, "__place"), "mix-taken")
+    taken = places.join(wanted, "row").filter("copy < __copies").groupBy("row", *key).agg(F.collect_list("__place").alias("__places"))  # two at most
     repeated = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
     texts = named.join(repeated, key, "left_anti").unionByName(named.join(repeated, key, "left_semi").dropDuplicates(key))
-    return texts.join(taken, key).orderBy("__place").select(*docs.columns)
+    # written before the copies are sorted, so that the join's shuffle files can go
+    placed = materialize(texts.join(taken, key).drop("row", *key), "mix-placed")
+    return placed.withColumn("__place", F.explode("__places")).orderBy("__place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
