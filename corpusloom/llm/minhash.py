@@ -31,8 +31,8 @@ COLLECTIONS, WIDTH = 14, 2
 BANDS = [f"b{i}" for i in range(COLLECTIONS)]
 #: Members, and shingles, of a chunk of a group; members of a group of classes that share buckets, beyond which buckets stay apart.
 CHUNK, CHUNK_SHINGLES, TOGETHER = 1024, 1 << 20, 4096
-#: Shingles that one vectorised step of minhashing takes, about.
-STEP = 1 << 19
+#: Shingles that one vectorised step of minhashing takes, about; words of 64 shingles that a block of a chunk's bit rows has, 32 MB.
+STEP, BLOCK_WORDS = 1 << 19, 1 << 22
 
 _r = np.random.default_rng(11)
 _XOR = _r.integers(0, 1 << 64, COLLECTIONS * WIDTH, np.uint64)
@@ -154,7 +154,7 @@ def forest(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, at_l
     number = np.cumsum(count > 1) - 1
     owner, bit = owner[common], number[at[common]]
     words = int((count > 1).sum() + 63) // 64
-    step = max(1, (1 << 22) // max(1, n))  # words of a block, so that a block has 32 MB
+    step = max(1, BLOCK_WORDS // n)  # words of a row's block
     root = {c: c for c in component.tolist()}
 
     def find(c: int) -> int:
