@@ -69,9 +69,12 @@ def tree(entries: DataFrame, depth: int = 5) -> DataFrame:
 
 
 def info(entries: DataFrame) -> DataFrame:
-    """(path, type, size, modified, mode, permissions) of entries (path, kind, size, mtime_ns, mode); times in UTC, mode in octal."""
+    """(path, type, size, modified, mode, permissions) of entries (path, kind, size, mtime_ns, mode); times in UTC, mode in octal. With
+    created, if entries have created_ns."""
     mode = F.col("mode").cast("int")
-    return entries.select("path", F.col("kind").alias("type"), "size", P.iso_utc(F.col("mtime_ns")).alias("modified"), P.octal_mode(mode).alias("mode"), P.permissions(F.col("kind"), mode).alias("permissions"))
+    kind = F.when(F.col("kind") == "link", "symlink").otherwise(F.col("kind"))
+    created = [P.iso_utc(F.col("created_ns")).alias("created")] if "created_ns" in entries.columns else []
+    return entries.select("path", kind.alias("type"), "size", *created, P.iso_utc(F.col("mtime_ns")).alias("modified"), P.octal_mode(mode).alias("mode"), P.permissions(kind, mode).alias("permissions"))
 
 
 def nested_tree(entries: DataFrame, depth: int = 5) -> DataFrame:
