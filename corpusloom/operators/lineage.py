@@ -10,10 +10,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
+from corpusloom.operators import graph
 from corpusloom.plans import globs as G
 from corpusloom.sources.corpus import written
 
@@ -327,51 +328,46 @@ def _unwound(known: DataFrame, moved: list[DataFrame], column: str) -> DataFrame
     return known
 
 
-#: Rounds whose results are written as one table.
-ROUNDS = 8
+#: Edges from which on single predecessors are contracted before nodes are dealt into parts, so that long chains cost few rounds.
+LARGE = 20_000_000
 
 
-def _counted(left: DataFrame) -> tuple[DataFrame, int]:
-    """left (task_id, n, wave), written, and how many of its tasks wait for nothing, which the write itself counts."""
-    seen = Observation()
-    out = written(left.observe(seen, F.count_if(F.col("n") == 0).alias("ready")))
-    return out, seen.get["ready"]
+def _numbered(tasks: DataFrame, edge: DataFrame, best) -> tuple[DataFrame, DataFrame]:
+    """(id, name) of all tasks and ends of edges, and the distinct edges (src, dst, w) between these numbers; best of parallel ones."""
+    names = tasks.select(F.col("task_id").alias("name")).unionByName(edge.select(F.col("src").alias("name"))).unionByName(edge.select(F.col("dst").alias("name")))
+    ids = graph.number(names)
+    w = F.col("w").cast("long") if "w" in edge.columns else F.lit(1).cast("long")
+    rows = edge.select(F.col("src").alias("a"), F.col("dst").alias("b"), w.alias("w")).filter("a <> b").groupBy("a", "b").agg(best("w").alias("w"))
+    end = lambda name, c: ids.select(F.col("name").alias(name), F.col("id").alias(c))
+    return ids, written(rows.join(end("a", "src"), "a").join(end("b", "dst"), "b").select("src", "dst", "w"))
 
 
-def waves(tasks: DataFrame, edge: DataFrame, most: int = 100_000) -> DataFrame:
+def waves(tasks: DataFrame, edge: DataFrame, most: int = 100_000, part: int = graph.PART, large: int = LARGE) -> DataFrame:
     """(task_id, wave): the first wave waits for nothing, each other one only for earlier ones. Tasks on or behind a cycle have
-    a null wave (cycle_report() tells what they wait for). Raises if there are more than most rounds.
+    a null wave (cycle_report() tells what they wait for), and so have those behind a task that is not among tasks. Edges may have a
+    weight w, 1 without: an edge of weight 0 puts its ends in the same wave. Raises if there are more than most rounds.
 
-    Chains are contracted first. Then a round is one join of the free tasks with the edges; only (task, count, wave) of the tasks
-    that still wait is carried.
+    Nodes are dealt into parts of about `part` edges, and tasks work through all levels of a part (graph.peel()). Only graphs of
+    more than `large` edges have their chains contracted first.
     """
-    every = written(tasks.select("task_id").distinct())
-    first = written(edge.select("src", "dst").filter("src <> dst").distinct().withColumn("w", F.lit(1)))
-    e, moved, lost = _contracted(first, None, F.max)
+    ids, e = _numbered(tasks, edge, F.max)
+    known = written(tasks.select(F.col("task_id").alias("name")).distinct().join(ids, "name"))
+    moved, lost = [], None
+    if e.count() > large:
+        e, moved, lost = _contracted(e, None, F.max)
+    place, dealt = graph.dealt(e, part)
+    waiting = dealt.groupBy(F.col("dst").alias("id"), F.col("to").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    ends = dealt.select(F.col("src").alias("id"), "part").unionByName(dealt.select(F.col("dst").alias("id"), F.col("to").alias("part"))).distinct()
+    degree = ends.join(waiting, ["id", "part"], "left").join(known.select("id", F.lit(0).alias("__k")), "id", "left")
+    n = F.coalesce("n", F.lit(0)) + F.when(F.col("__k").isNull(), 1).otherwise(0)  # nobody runs what is no task
+    state = degree.select(F.lit(1).alias("kind"), "part", "id", n.cast("long").alias("n"), F.lit(0).cast("long").alias("value"))
+    done, _ = graph.rounds(state, dealt, graph.peel, most)
+    found = done.select(F.col("id").alias("task_id"), F.col("value").cast("int").alias("wave"))
+    alone = known.select(F.col("id").alias("task_id")).join(ends.select(F.col("id").alias("task_id")), "task_id", "left_anti")
     for gone in [*moved, *([lost] if lost is not None else [])]:
-        every = every.join(gone.select(F.col("p").alias("task_id")), "task_id", "left_anti")
-    degree = e.groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("n"))
-    left, ready = _counted(every.join(degree, "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("wave")))
-    out: list[DataFrame] = []
-    fronts: list[DataFrame] = []
-    for k in range(most + 1):
-        if not ready:
-            break
-        if k == most:
-            raise RuntimeError(f"more than {most} rounds")
-        front = left.filter("n = 0").select("task_id", "wave")
-        fronts.append(front)
-        free = e.join(front, e["src"] == front["task_id"]).groupBy(F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("wave") + F.col("w")).alias("after"))
-        rest = left.filter("n > 0").join(free, "task_id", "left")
-        left, ready = _counted(rest.select("task_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("wave", F.coalesce("after", F.lit(0))).alias("wave")))
-        if len(fronts) == ROUNDS:  # so that the plan doesn't grow with every round
-            out, fronts = [*out, written(reduce(DataFrame.unionByName, fronts))], []
-    out += fronts
-    known = left.select("task_id", F.lit(None).cast("int").alias("wave"))
-    for o in out:
-        known = known.unionByName(o)
-    known = _unwound(known, moved, "wave")
-    return known if lost is None else known.unionByName(lost.select(F.col("p").alias("task_id"), F.lit(None).cast("int").alias("wave")))
+        alone = alone.join(gone.select(F.col("p").alias("task_id")), "task_id", "left_anti")
+    found = _unwound(found.unionByName(alone.withColumn("wave", F.lit(0))), moved, "wave")
+    return known.join(found.select(F.col("task_id").alias("id"), "wave"), "id", "left").select(F.col("name").alias("task_id"), "wave")
 
 
 def cycle_report(edge: DataFrame, wave: DataFrame) -> DataFrame:
@@ -431,29 +427,23 @@ def follow(files: DataFrame, links: DataFrame, root: str) -> DataFrame:
     return files.filter(inside(F.col("path"))).withColumn("via", F.lit(None).cast("string")).unionByName(below).unionByName(linked)
 
 
-def dirty(edge: DataFrame, changed: DataFrame, same: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+def dirty(edge: DataFrame, changed: DataFrame, same: DataFrame | None = None, most: int = 100_000, part: int = graph.PART, large: int = LARGE) -> DataFrame:
     """(task_id, distance): the changed tasks (distance 0) and all that wait for one of them, by the shortest chain.
 
     same (task_id): tasks whose outputs come out the same if they run; they run, but what waits for them alone does not (early
-    cutoff; incremental.unchanged_outputs() finds them from hashes). Chains are contracted first; a round is one join of the tasks
-    whose distance fell with the edges.
+    cutoff; incremental.unchanged_outputs() finds them from hashes). Edges may have a weight w, 1 without. Works as waves() does: parts
+    that no change reaches are not looked at.
     """
-    rows = edge.select("src", "dst").filter("src <> dst").distinct()
-    if same is not None:
-        rows = rows.join(same.select(F.col("task_id").alias("src")).distinct(), "src", "left_anti")
-    start = written(changed.select("task_id").distinct())
-    e, moved, _ = _contracted(written(rows.withColumn("w", F.lit(1))), start, F.min)
-    seen = front = written(start.withColumn("distance", F.lit(0)))
-    for k in range(1, most + 1):
-        reach = e.join(front, e["src"] == front["task_id"]).groupBy(F.col("dst").alias("task_id")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
-        old = seen.groupBy("task_id").agg(F.min("distance").alias("old"))
-        front = written(reach.join(old, "task_id", "left").filter("old is null or distance < old").select("task_id", "distance"))
-        if front.isEmpty():
-            break
-        if k == most:
-            raise RuntimeError(f"more than {most} rounds")
-        seen = seen.unionByName(front)
-        if k % ROUNDS == 0:
-            seen = written(seen.groupBy("task_id").agg(F.min("distance").alias("distance")))
-    known = written(seen.groupBy("task_id").agg(F.min("distance").alias("distance")))
-    return _unwound(known, moved, "distance")
+    rows = edge if same is None else edge.join(same.select(F.col("task_id").alias("src")).distinct(), "src", "left_anti")
+    ids, e = _numbered(changed, rows, F.min)
+    start = written(changed.select(F.col("task_id").alias("name")).distinct().join(ids, "name").select(F.col("id").alias("task_id")))
+    moved: list[DataFrame] = []
+    if e.count() > large:
+        e, moved, _ = _contracted(e, start, F.min)
+    place, dealt = graph.dealt(e, part)
+    at = start.select(F.col("task_id").alias("id"))
+    at = at.withColumn("part", F.lit(0)) if place is None else at.join(place, "id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    state = at.select(F.lit(2).alias("kind"), "part", "id", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("value"))
+    _, reached = graph.rounds(state, dealt, graph.spread, most)
+    known = _unwound(reached.select(F.col("id").alias("task_id"), F.col("value").cast("int").alias("distance")), moved, "distance")
+    return known.join(ids.withColumnRenamed("id", "task_id"), "task_id").select(F.col("name").alias("task_id"), "distance")
