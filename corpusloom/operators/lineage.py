@@ -192,17 +192,24 @@ def glob_pairs(src: DataFrame, dst: DataFrame, src_glob: bool, dst_glob: bool) -
     elif not dst_glob:
         matched = path_matches(d, s, "dst_path", "src_path")
     else:
-        at = lambda c: F.rtrim(P.literal_prefix(F.col(c)), F.lit("/"))
-        up = lambda df, c: df.select(c, F.explode(F.concat(F.array(F.lit("")), P.ancestors(at(c), proper=False))).alias("k"))
-        on = lambda df, c: df.select(c, at(c).alias("k"))
-        pairs = up(s, "src_path").join(on(d, "dst_path"), "k").select("src_path", "dst_path").union(on(s, "src_path").join(up(d, "dst_path"), "k").select("src_path", "dst_path")).distinct()
+        matched = glob_overlaps(s, d, "src_path", "dst_path")
+    return src.join(matched, "src_path").join(dst, "dst_path").select("src_task", "src_seq", "dst_task", "dst_seq")
 
-        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[[G.overlap(a, b) for a, b in zip(pdf["src_path"], pdf["dst_path"])]]
 
-        matched = pairs.mapInPandas(meet, "src_path string, dst_path string")
-    return src.join(matched, "src_path").join(dst, "dst_path").select("src_task", "src_seq", "dst_task", "dst_seq")
+def glob_overlaps(left: DataFrame, right: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(x, y) of the distinct lower-case globs of either side that can match the same path. Only pairs are looked at of which one's
+    literal directory lies at or above the other's."""
+    at = lambda c: F.rtrim(P.literal_prefix(F.col(c)), F.lit("/"))
+    up = lambda df, c: df.select(c, F.explode(F.concat(F.array(F.lit("")), P.ancestors(at(c), proper=False))).alias("k"))
+    on = lambda df, c: df.select(c, at(c).alias("k"))
+    a, b = left.select(x).distinct(), right.select(y).distinct()
+    pairs = up(a, x).join(on(b, y), "k").select(x, y).union(on(a, x).join(up(b, y), "k").select(x, y)).distinct()
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[G.overlap(p, q) for p, q in zip(pdf[x], pdf[y])]]
+
+    return pairs.mapInPandas(meet, f"{x} string, {y} string")
 
 
 def mutator_edges(task_paths: DataFrame, globs: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import incremental, lineage
+from corpusloom.operators import factored, incremental, lineage
 from corpusloom.plans.queries import TASKS, _table, task_paths
 
 #: Variables of the playlist; its steps name another one that is not set.
@@ -59,22 +59,28 @@ def playlist_edges(spark: SparkSession, d: str) -> DataFrame:
     return lineage.edges(lineage.paths_of(_tasks(spark, d)))
 
 
-def _waves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _waves(spark: SparkSession, d: str) -> tuple[factored.Relations, DataFrame]:
     tasks = lineage.written(_tasks(spark, d))
-    edge = lineage.written(lineage.edges(lineage.paths_of(tasks)))
-    return edge, lineage.written(lineage.waves(tasks, edge))
+    rel = factored.relations(lineage.paths_of(tasks))
+    return rel, lineage.written(factored.waves(tasks, rel))
 
 
 def playlist_waves(spark: SparkSession, d: str) -> DataFrame:
     """The wave of each task, or, of those on or behind a cycle, for how many others it still waits."""
-    edge, wave = _waves(spark, d)
-    return wave.join(lineage.cycle_report(edge, wave), "task_id", "left").select("task_id", "wave", "waiting")
+    rel, wave = _waves(spark, d)
+    return wave.join(factored.cycle_report(rel, wave), "task_id", "left").select("task_id", "wave", "waiting")
 
 
 def playlist_widths(spark: SparkSession, d: str) -> DataFrame:
     return lineage.widths(_waves(spark, d)[1])
 
 
+def playlist_reach(spark: SparkSession, d: str) -> DataFrame:
+    """How far the tasks lie behind a change of some, over factored edges."""
+    tasks = lineage.written(_tasks(spark, d))
+    return factored.dirty(factored.relations(lineage.paths_of(tasks)), tasks.filter("seq.seq % 2400 = 1200").select("task_id"))
+
+
 def static_tasks(spark: SparkSession, d: str) -> DataFrame:
     tasks = lineage.written(_tasks(spark, d))
     return lineage.static_tasks(tasks, lineage.edges(lineage.paths_of(tasks)))
@@ -134,7 +140,7 @@ def linked_files(spark: SparkSession, d: str) -> DataFrame:
     return lineage.follow(files, links, "/corpus/src0").groupBy("via").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
 
 
-QUERIES = {f.__name__: f for f in (playlist_tasks, playlist_edges, playlist_waves, playlist_widths, static_tasks, task_degrees, playlist_conflicts, rerun_cutoff, chain_waves, link_cycles, linked_files)}
+QUERIES = {f.__name__: f for f in (playlist_tasks, playlist_edges, playlist_waves, playlist_widths, playlist_reach, static_tasks, task_degrees, playlist_conflicts, rerun_cutoff, chain_waves, link_cycles, linked_files)}
 
 _STEPS = """
 o AS (SELECT o_orderkey AS k, o_orderkey // 600 AS g, o_orderkey % 12 AS m, o_orderkey % 600 AS p, o_custkey AS c FROM orders),
@@ -188,6 +194,8 @@ ORACLE = {
     "playlist_edges": f"WITH {_EDGES} SELECT src, dst, reason FROM e",
     "playlist_waves": f"WITH RECURSIVE {_WAVES} SELECT t AS task_id, wave, CASE WHEN wave IS NULL THEN 1::BIGINT END AS waiting FROM n LEFT JOIN w USING (t)",
     "playlist_widths": f"WITH RECURSIVE {_WAVES} SELECT wave, count(*) AS width, (SELECT max(wave) + 1 FROM w)::BIGINT AS critical FROM w GROUP BY wave",
+    "playlist_reach": f"""WITH RECURSIVE {_EDGES}, w(t, distance) AS (SELECT t, 0 FROM (SELECT DISTINCT t FROM tp WHERE k % 2400 = 1200) UNION SELECT e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.t WHERE w.distance < 8)
+      SELECT t AS task_id, min(distance) AS distance FROM w GROUP BY t""",
     "static_tasks": f"WITH {_EDGES} SELECT DISTINCT t AS task_id FROM tp WHERE t NOT IN (SELECT dst FROM e)",
     "task_degrees": f"WITH {TASKS}, x AS (SELECT dst AS task_id, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) SELECT task_id, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM x GROUP BY task_id",
     "playlist_conflicts": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m, '/e/' || (o_orderkey % 300) AS h FROM orders),

@@ -102,3 +102,64 @@ def test_ladder(spark):
         got = {r.task_id: r.wave for r in lineage.waves(tasks, edge, part=part).collect()}
         assert all(w == t // width for t, w in got.items()) and len(got) == levels * width
         assert time.time() - began < 60
+
+
+def declarations(seed, mixed):
+    """Tasks that make, use and edit paths, directories and globs of a few names, each at its own place."""
+    r = random.Random(seed)
+    names = ["/a", "/a/b", "/a/b/c.x", "/a/b/d.x", "/a/e.y", "/f/g.x", "/F/g.X", "/h", "/h/i/j.y"]
+    globs = ["/a/*.y", "/a/**/*.x", "/*/g.x", "/h/**", "/a/b/[cd].x"]
+    rows = []
+    for t in range(36):
+        editor = r.random() < 0.25
+        for _ in range(r.choice([1, 1, 2, 3])):
+            role = "mutating" if editor and (not mixed or r.random() < 0.6) else r.choice(["output", "input", "input", "exclusive"])
+            rows.append((t, t // 2 * 2 if mixed is None else t, role, r.choice(names if role == "output" and r.random() < 0.8 else names + globs)))
+    return rows
+
+
+@pytest.mark.parametrize("seed, mixed", [(0, False), (1, False), (2, True), (3, None)])
+def test_factored_edges(spark, seed, mixed):
+    from corpusloom.operators import factored
+
+    paths = table(spark, "task_id long, seq long, role string, path string", declarations(seed, mixed))
+    tasks = paths.select("task_id").distinct()
+    plain = {(r.src, r.dst) for r in lineage.edges(paths).collect()}
+    rel = factored.relations(paths)
+    assert {(int(r.src[2:]), int(r.dst[2:])) for r in factored.pairs(rel).collect()} == plain
+    edge = [(r.src, r.dst, r.w) for r in factored.factored(rel).collect()]
+    out = {}
+    for a, b, w in edge:
+        out.setdefault(a, []).append((b, w))
+
+    def reached(start):
+        """Tasks one step of weight 1 away, over any nodes of paths."""
+        todo, seen, found = [start], set(), set()
+        while todo:
+            for b, w in out.get(todo.pop(), []):
+                if w:
+                    found.add(int(b[2:]))
+                elif b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return found
+
+    assert {(t, b) for t in range(36) for b in reached(f"t:{t}")} == plain
+    edges = table(spark, "src long, dst long", sorted(plain))
+    want = {r.task_id: r.wave for r in lineage.waves(tasks, edges).collect()}
+    wave = factored.waves(tasks, rel)
+    assert {r.task_id: r.wave for r in wave.collect()} == want
+    assert {tuple(r) for r in factored.cycle_report(rel, wave).collect()} == {tuple(r) for r in lineage.cycle_report(edges, wave).collect()}
+    some, same = tasks.filter("task_id % 9 = 4"), tasks.filter("task_id % 5 = 1")
+    assert {(int(r.task_id), r.distance) for r in factored.dirty(rel, some, same).collect()} == {tuple(r) for r in lineage.dirty(edges, some, same).collect()}
+
+
+def test_factored_edges_are_linear(spark):
+    from corpusloom.operators import factored
+
+    n = 300
+    rows = [(t, t, "output", f"/o/{t}.bin" if t % 2 else "/o/*.bin") for t in range(n)] + [(n + t, n + t, "input", "/o/*.bin") for t in range(n)]
+    rows += [(2 * n + t, 2 * n + t, "mutating", "/o/*.bin") for t in range(n)]
+    rel = factored.relations(table(spark, "task_id long, seq long, role string, path string", rows))
+    assert factored.factored(rel).count() < 12 * n
+    assert factored.pairs(rel).count() > n * n
