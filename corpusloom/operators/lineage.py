@@ -10,12 +10,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.operators import graph
 from corpusloom.plans import globs as G
+from corpusloom.plans import trie
 from corpusloom.sources.corpus import written
 
 #: What each action reads, consumes, edits and makes, of its own fields.
@@ -138,7 +140,9 @@ def _nearest(wanted: DataFrame, made: DataFrame) -> DataFrame:
     return deepest.join(made, "src_path").select("dst_path", "src_task")
 
 
-#: Salts that a glob without a literal directory or extension is dealt out under, to meet all paths.
+#: Globs, and their bytes, that every task may hold.
+TRIE_GLOBS, TRIE_BYTES = 100_000, 1 << 24
+#: Salts that a glob without a literal directory or extension is dealt out under, to meet all paths, if there are more.
 SALTS = 16
 
 
@@ -163,13 +167,41 @@ def at_or_below(paths: DataFrame, tops: DataFrame, path: str = "path", top: str
     return up.join(tops, top).select(path, top)
 
 
-def path_matches(paths: DataFrame, globs: DataFrame, path: str = "path", glob: str = "glob") -> DataFrame:
+def path_matches(paths: DataFrame, globs: DataFrame, path: str = "path", glob: str = "glob", most: int = TRIE_GLOBS) -> DataFrame:
     """(path, glob) of the distinct lower-case paths and globs that match.
 
+    Up to most globs, and TRIE_BYTES of them, go to all tasks, where each path is walked once through a trie of them; paths are not
+    shuffled to meet globs. Beyond that they are joined. What is found is held against the globs' regular expressions.
+    """
+    paths, table = paths.select(path).distinct(), globs.select(glob).distinct()
+    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(glob)), F.lit(0))).first()
+    if size[0] > most or size[1] > TRIE_BYTES:
+        return _joined_matches(paths, table, path, glob)
+    spark = paths.sparkSession
+    held = sorted(r[0] for r in table.collect() if r[0] is not None)  # at most TRIE_BYTES
+    known = spark.sparkContext.broadcast(tuple(held))
+    regexes = spark.createDataFrame([(i, g, G.to_regex(g)) for i, g in enumerate(held)], f"__g int, {glob} string, __regex string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walked = trie.trie(known.value)
+        for batch in batches:
+            rows, found = [], []
+            for p in batch.column(0).to_pylist():
+                for g in walked.candidates(p) if p is not None else ():
+                    rows.append(p)
+                    found.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(found, pa.int32())], [path, "__g"])
+
+    candidates = paths.mapInArrow(run, f"{path} string, __g int")
+    return candidates.join(F.broadcast(regexes), "__g").filter(F.expr(f"{path} rlike __regex")).select(path, glob)
+
+
+def _joined_matches(paths: DataFrame, globs: DataFrame, path: str, glob: str) -> DataFrame:
+    """path_matches() for more globs than tasks should hold.
+
     A glob with a literal directory meets the paths below it; of the others, one with an extension meets the paths that have it;
     what is left meets all paths, dealt out by salt. Only directory depths at which a glob begins are looked at.
     """
-    paths = paths.select(path).distinct()
     table = compiled(globs, glob).withColumn("at", F.rtrim(P.literal_prefix(F.col(glob)), F.lit("/")))
     placed = table.filter("at <> ''")
     under = at_or_below(paths, placed, path, "at").join(placed, "at")

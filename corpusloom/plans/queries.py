@@ -12,6 +12,7 @@ from corpusloom.streaming import actions
 ROOT = "/corpus"
 GLOBS = ("**/en/*.txt", "src1*/**", "doc_*7.txt", "{src2,src3}/[de][ens]/doc_?[0-4]*.txt")
 EXCLUDES = ("/corpus/src13", "src14/fr", "src15/**/doc_1*", "doc_*[05].txt")
+ANYWHERE = tuple(f"**/doc_*{i:02}.txt" for i in range(100)) + tuple(f"**/{lang}/doc_{i}*" for lang in ("e?", "[df]*") for i in range(10)) + ("**", "*/*/*_1?.txt")
 MANY = tuple(f"src{i}/{lang}/doc_*{i % 10}.txt" for i in range(20) for lang in ("en", "d?"))
 
 
@@ -42,6 +43,14 @@ def directory_tree(spark: SparkSession, d: str) -> DataFrame:
     return select.tree(select.with_directories(files(spark, d), ROOT), 2).select("path", "kind", "parent", "name", "depth")
 
 
+def globs_anywhere(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each of many globs without a directory matches, and the first of them."""
+    rows = files(spark, d).filter("path is not null").select("path", F.lower(F.expr(f"substring(path, {len(ROOT) + 2})")).alias("rel"))
+    globs = spark.createDataFrame([(g,) for g in ANYWHERE], "glob string")
+    found = lineage.path_matches(rows, globs, "rel", "glob")
+    return rows.join(found, "rel").groupBy(F.col("glob").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+
+
 def many_globs(spark: SparkSession, d: str) -> DataFrame:
     rows = files(spark, d).withColumn("rel", P.relative(F.col("path"), F.lit(ROOT)))
     return select.pattern_matches(rows, list(MANY)).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
@@ -229,7 +238,7 @@ def task_forecast(spark: SparkSession, d: str) -> DataFrame:
     return incremental.forecast(now, stored, lineage.edges(paths))
 
 
-QUERIES = {f.__name__: f for f in (access_check, declared_files, effective_producers, gate_check, task_forecast, tree_fingerprint, glob_select, directory_tree, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_first, edit_unique, nested_tree, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
+QUERIES = {f.__name__: f for f in (access_check, declared_files, effective_producers, gate_check, task_forecast, tree_fingerprint, glob_select, directory_tree, globs_anywhere, many_globs, path_functions, snapshot_diff, memo_lookup, grep_context, grep_literal, edit_files, edit_first, edit_unique, nested_tree, task_edges, task_conflicts, task_waves, task_status, minimal_cover, resolve_links, action_stream, file_resources, edit_preview, dirty_tasks, required_access)}
 
 _HASH = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} = '' THEN '0' ELSE sha256({0}) END"
 _PAGE = r"p AS (SELECT page_id, rtrim(regexp_replace('/' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1), '/+', '/', 'g'), '/') AS path FROM pages)"
@@ -259,6 +268,11 @@ ORACLE = {
       OR source IN ('src2', 'src3') AND regexp_matches(lang, '^[de][ens]$') AND regexp_matches(name, '^doc_.[0-4].*\\.txt$') OR regexp_matches(rel, 'doc_\\d*99\\.'))
       AND NOT (source = 'src13' OR source = 'src14' AND lang = 'fr' OR source = 'src15' AND starts_with(name, 'doc_1') OR regexp_matches(name, '^doc_.*[05]\\.txt$'))""",
     "directory_tree": f"WITH {FILES}, a AS (SELECT DISTINCT '/corpus/' || source AS path, '/corpus' AS parent, source AS name, 1 AS depth FROM f UNION SELECT DISTINCT '/corpus/' || source || '/' || lang, '/corpus/' || source, lang, 2 FROM f) SELECT path, 'directory' AS kind, parent, name, CAST(depth AS INT) AS depth FROM a",
+    "globs_anywhere": f"""WITH {FILES}, p AS (SELECT path, lower(rel) AS rel, lower(name) AS name, lower(lang) AS lang FROM f WHERE path IS NOT NULL), i AS (SELECT range AS i FROM range(100)), j AS (SELECT range AS i FROM range(10)),
+      h AS (SELECT '**/doc_*' || lpad(i::VARCHAR, 2, '0') || '.txt' AS pattern, path FROM p JOIN i ON name GLOB 'doc_*' || lpad(i::VARCHAR, 2, '0') || '.txt'
+        UNION ALL SELECT '**/e?/doc_' || i || '*', path FROM p JOIN j ON name GLOB 'doc_' || i || '*' AND lang GLOB 'e?' UNION ALL SELECT '**/[df]*/doc_' || i || '*', path FROM p JOIN j ON name GLOB 'doc_' || i || '*' AND lang GLOB '[df]*'
+        UNION ALL SELECT '**', path FROM p UNION ALL SELECT '*/*/*_1?.txt', path FROM p WHERE name GLOB '*_1?.txt')
+      SELECT pattern, count(*) AS n, min(path) AS first_path FROM h GROUP BY pattern""",
     "many_globs": f"WITH {FILES}, g AS (SELECT i, l, 'src' || i || '/' || l || '/doc_*' || (i % 10) || '.txt' AS pattern FROM range(20) AS r(i), (VALUES ('en'), ('d?')) AS v(l)) SELECT pattern, count(*) AS n, min(path) AS first_path FROM f JOIN g ON source = 'src' || i AND (lang = l OR l = 'd?' AND regexp_matches(lang, '^d.$')) AND name LIKE 'doc%' || (i % 10) || '.txt' GROUP BY pattern",
     "path_functions": f"""WITH {_PAGE}, q AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s, (page_id * 37) % 4096 AS m FROM p)
       SELECT page_id, path, s[-1] AS name, CAST(len(s) AS BIGINT) AS depth, array_to_string(list_transform(range(1, len(s)), lambda i: '/' || array_to_string(s[1:i], '/')), ',') AS up, 'file://' || path AS uri,
