@@ -230,12 +230,15 @@ def glob_pairs(src: DataFrame, dst: DataFrame, src_glob: bool, dst_glob: bool) -
 
 def glob_overlaps(left: DataFrame, right: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(x, y) of the distinct lower-case globs of either side that can match the same path. Only pairs are looked at of which one's
-    literal directory lies at or above the other's."""
+    literal directory lies at or above the other's, and of which not both end in literal names that differ."""
+    name = lambda c: F.substring_index(F.col(c), "/", -1)
+    plain = lambda c: ~name(c).rlike(r"[*?\[\]{}()|\\]") & ~F.col(c).rlike(r"[{(]")
     at = lambda c: F.rtrim(P.literal_prefix(F.col(c)), F.lit("/"))
     up = lambda df, c: df.select(c, F.explode(F.concat(F.array(F.lit("")), P.ancestors(at(c), proper=False))).alias("k"))
     on = lambda df, c: df.select(c, at(c).alias("k"))
     a, b = left.select(x).distinct(), right.select(y).distinct()
     pairs = up(a, x).join(on(b, y), "k").select(x, y).union(on(a, x).join(up(b, y), "k").select(x, y)).distinct()
+    pairs = pairs.filter(~(plain(x) & plain(y) & (name(x) != name(y))))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

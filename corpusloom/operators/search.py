@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.operators import access, select
+from corpusloom.sources.corpus import written
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -29,8 +31,9 @@ def is_binary(content: Column) -> Column:
     return F.decode(F.substring(content, 1, 4096), "ISO-8859-1").contains("\x00")
 
 
-#: Patterns for which a line that matches need not make its text match: ends of the input, and what looks around.
-LINE_ONLY = re.compile(r"\\[AzZG]|\(\?")
+#: Patterns for which a line that matches need not make its text match: ends of the input, what looks around, and repetitions that
+#: give nothing back, so that they may run beyond a line's end.
+LINE_ONLY = re.compile(r"\\[AzZG]|\(\?|[*+?}]\+")
 
 
 def grep(files: DataFrame, pattern: str, regex: bool = True, ignore_case: bool = False, context: int = 0, binary: bool = False) -> DataFrame:
@@ -65,6 +68,38 @@ def selections(directory: str | None, globs: list[str], excludes: list[str] = ()
     return out
 
 
+#: Files that a capped search looks at first; how many times as many each time after; and beyond how many it takes all the rest.
+FIRST_FILES, GROWTH, ALL_FILES = 256, 8, 1 << 18
+
+
+def first_matches(files: DataFrame, chosen: DataFrame, pattern: str, most: int, first: int = FIRST_FILES, **options) -> DataFrame:
+    """(path, line) of the first `most` matches, by path and line, in those of files (path, text) that are chosen (path: distinct).
+
+    Ranges of paths are searched in order, each larger than the last, until there are enough, so that work falls with the cap.
+    """
+    found: list[DataFrame] = []
+    after, size, left = None, first, most
+    while left > 0:
+        beyond = chosen if after is None else chosen.filter(F.col("path") > after)
+        if size < ALL_FILES:
+            last, n = beyond.orderBy("path").limit(size).agg(F.max("path"), F.count(F.lit(1))).first()
+        else:
+            last, n = None, size
+        if not n:
+            break
+        inside = [F.col("path") > after] * (after is not None) + [F.col("path") <= last] * (last is not None)
+        part, names = files, beyond
+        for condition in inside:
+            part, names = part.filter(condition), names.filter(condition)
+        here = grep(part.join(names, "path", "left_semi"), pattern, **options).select("path", "line")
+        found.append(written(here.orderBy("path", "line").limit(left)))
+        left -= found[-1].count()
+        if n < size or last is None:
+            break
+        after, size = last, size * GROWTH
+    return reduce(DataFrame.unionByName, found) if found else chosen.limit(0).withColumn("line", F.lit(0).cast("long"))
+
+
 def search_files(files: DataFrame, selections: list[dict], pattern: str, most: int, grants: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Matches of a pattern in the files (path, text) that any selection takes, and one row (files, matches, skipped, truncated).
 
@@ -82,8 +117,10 @@ def search_files(files: DataFrame, selections: list[dict], pattern: str, most: i
         judged = access.allowed(chosen.withColumn("need_writable", F.lit(False)), grants)
         chosen = judged.filter("allowed").select("path")
         skipped = judged.agg(F.count_if(~F.col("allowed")).alias("skipped"))
-    hits = grep(files.join(chosen, "path", "left_semi"), pattern, **options)
-    top = hits.filter("is_match").select("path", "line").orderBy("path", "line").limit(most)
+    chosen = written(chosen)
+    top = first_matches(files, chosen, pattern, most, **{k: v for k, v in options.items() if k != "context"})
+    # lines around matches come from the files that these are in, which are `most` at most
+    hits = grep(files.join(F.broadcast(top.select("path").distinct()), "path", "left_semi"), pattern, **options)
     context = options.get("context", 0)
     near = top.select("path", F.explode(F.sequence(F.col("line") - context, F.col("line") + context)).alias("line")).distinct()
     own = top.withColumn("__own", F.lit(True))
@@ -153,24 +190,32 @@ def _indent(each: Column) -> Column:
     return F.coalesce(F.array_min(F.transform(F.filter(each, lambda x: x != ""), lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" \t"))))), F.lit(0))
 
 
-def replace_block(text: Column, old: str, new: str) -> tuple[Column, Column]:
-    """Where the lines of old stand in text if the common indentation of either is set aside (line numbers from 0), and text with
-    the first such block replaced by the lines of new, indented as the block was. The block is whole lines: a newline at its
-    end goes with it, and what new ends with stands there instead, with one more newline if it ends with one."""
+def block_places(each: Column, old: str) -> Column:
+    """The line numbers, from 0, where the lines of old stand among a text's lines if the common indentation of either is set aside.
+
+    Only places where the longest line of old stands, white space aside, are looked at, so that a text's lines are gone through once.
+    """
     wanted = _block(old.removesuffix("\n"))
-    each = F.split(text, "\n")
     n = F.size(each) - (F.element_at(each, -1) == "").cast("int")
-    part = lambda i: F.slice(each, i + 1, len(wanted))
+    longest = max(range(len(wanted)), key=lambda k: len(wanted[k].strip(" \t")))
     bare = lambda x: F.transform(x, lambda y: F.substr(y, _indent(x) + 1))
-    longest = max((x.strip(" \t") for x in wanted), key=len)
-    starts = F.when(text.contains(longest) & (n >= len(wanted)), F.sequence(F.lit(0), n - len(wanted))).otherwise(F.array().cast("array<int>"))
-    places = F.filter(starts, lambda i: bare(part(i)) == F.array(*map(F.lit, wanted)))
+    anchors = F.transform(each, lambda x, i: F.when(F.trim(x, F.lit(" \t")) == wanted[longest].strip(" \t"), i - longest))
+    starts = F.filter(anchors, lambda i: i.isNotNull() & (i >= 0) & (i <= n - len(wanted)))
+    return F.filter(starts, lambda i: bare(F.slice(each, i + 1, len(wanted))) == F.array(*map(F.lit, wanted)))
+
+
+def replace_block(each: Column, places: Column, old: str, new: str) -> Column:
+    """The text of lines with the first of the blocks at places (block_places()) replaced by the lines of new, indented as the block
+    was. The block is whole lines: a newline at its end goes with it, and what new ends with stands there instead, with one more
+    newline if it ends with one."""
+    m = len(_block(old.removesuffix("\n")))
     at = F.get(places, F.lit(0))
-    lead = F.coalesce(F.substr(F.get(F.filter(part(at), lambda x: x != ""), F.lit(0)), F.lit(1), _indent(part(at))), F.lit(""))
+    part = F.slice(each, at + 1, m)
+    lead = F.coalesce(F.substr(F.get(F.filter(part, lambda x: x != ""), F.lit(0)), F.lit(1), _indent(part)), F.lit(""))
     fresh = [F.concat(lead, F.lit(x)) if x else F.lit("") for x in _block(new)]
     body = F.concat_ws("\n", *fresh, *([F.lit("")] if new.endswith("\n") else []))
-    before = F.array_join(F.transform(F.slice(each, F.lit(1), at), lambda x: F.concat(x, F.lit("\n"))), "")
-    return places, F.concat(before, body, F.array_join(F.slice(each, at + len(wanted) + 1, F.greatest(F.size(each) - at - len(wanted), F.lit(0))), "\n"))
+    before = F.concat(F.array_join(F.slice(each, F.lit(1), at), "\n"), F.when(at > 0, "\n").otherwise(""))
+    return F.concat(before, body, F.array_join(F.slice(each, at + m + 1, F.greatest(F.size(each) - at - m, F.lit(0))), "\n"))
 
 
 def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
@@ -198,15 +243,17 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
         else:
             done = F.concat_ws(new, F.split(text, pattern, limit + 1))
         if limit == 1 and not flags and re.search(r"\n|^[ \t]", old):
-            places, block = replace_block(text, old, new)
-            done, n = F.when(n == 0, block).otherwise(done), F.when(n == 0, F.size(places)).otherwise(n)
+            # columns of their own, since what stands inside a lambda is evaluated for each element
+            out = out.withColumn("__each", F.when(n == 0, F.split(text, "\n"))).withColumn("__at", block_places(F.col("__each"), old))
+            done = F.when(n == 0, replace_block(F.col("__each"), F.col("__at"), old, new)).otherwise(done)
+            n = F.when(n == 0, F.size("__at")).otherwise(n)
         problem = F.when(n == 0, F.lit(f"edit {k}: no match"))
         if limit > 1 and flags:
             problem = problem.when(empty, F.lit(f"edit {k}: empty match"))
         if limit == 1:
             problem = problem.when(n > 1, F.concat(F.lit(f"edit {k}: "), n.cast("string"), F.lit(" matches")))
         fresh = F.col("error").isNull()
-        out = out.withColumn("__p", F.when(fresh, problem)).withColumn("text", F.when(fresh & F.col("__p").isNull(), done).otherwise(text)).withColumn("error", F.coalesce("error", "__p")).drop("__p")
+        out = out.withColumn("__p", F.when(fresh, problem)).withColumn("text", F.when(fresh & F.col("__p").isNull(), done).otherwise(text)).withColumn("error", F.coalesce("error", "__p")).drop("__p", "__each", "__at")
     return out
 
 

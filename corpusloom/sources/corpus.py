@@ -16,8 +16,8 @@ from corpusloom.functions import paths as P
 from corpusloom.operators import identity
 from corpusloom.plans import globs as G
 
-#: A string, which stays as it is, or a comma before a closing bracket.
-COMMA = r'("(?:[^"\\]|\\.)*")|,(\s*[\]}])'
+#: A string or a comment, which stays as it is, or a comma before a closing bracket, comments between them or not.
+COMMA = r'("(?:[^"\\]++|\\.)*+"|//[^\n]*+|/\*(?s:.*?)\*/)|,((?:\s|//[^\n]*+\n|/\*(?s:.*?)\*/)*+[\]}])'
 MAX_BYTES = 10 * 1024 * 1024
 #: One line for each published generation of a manifest.
 PUBLISHED = "generation string, at long, version int, playlist string, algorithm string"
@@ -95,6 +95,10 @@ def env_text(spark: SparkSession, paths: list[str], env: dict[str, str]) -> Data
 FILES = "path string, hash string, size long, inode long, mtime_ns long, mode int"
 
 
+#: White space belongs to a path; a text of no characters is not null.
+TSV = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def snapshot_format(path: str) -> str:
     """By the path's ending: tsv (also without one) or json."""
     name = path.rpartition("/")[2]
@@ -110,7 +114,9 @@ def write_snapshot(files: DataFrame, path: str, params: dict | None = None) -> N
     columns = [F.col(c) if c in files.columns else F.lit(None).cast("long").alias(c) for c in ("path", "hash", "size", "inode", "mtime_ns", "mode")]
     rows = files.select(*columns).orderBy("path")
     if snapshot_format(path) == "tsv":
-        rows.write.csv(path, sep="\t", header=True)
+        broken = F.col("path").rlike(r"[\r\n]")
+        whole = F.when(broken, F.raise_error(F.concat(F.lit("a line end in a path: "), F.to_json(F.struct("path"))))).otherwise(F.col("path"))
+        rows.withColumn("path", whole).write.csv(path, sep="\t", header=True, **TSV)
         return
     rows.select(F.array(F.struct("*")).alias("files")).write.json(path)
     text = lambda v: v if isinstance(v, str) else json.dumps(v)
@@ -124,7 +130,7 @@ def read_snapshot(spark: SparkSession, path: str, single: bool = False) -> DataF
     if snapshot_format(path) == "json":
         rows = spark.read.schema(f"files array<struct<{_typed(FILES)}>>").option("multiLine", single).json(path)
         return rows.select(F.explode("files").alias("f")).select("f.*")
-    return spark.read.csv(path, sep="\t", header=True, schema=FILES, mode="DROPMALFORMED").filter("path is not null")
+    return spark.read.csv(path, sep="\t", header=True, schema=FILES, mode="DROPMALFORMED", nullValue="\x00", **TSV).filter("path is not null")
 
 
 def read_snapshot_params(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
