@@ -2,7 +2,7 @@
 
 Nodes are dealt into parts of a bounded number of edges. Graphs that fall apart into small components are dealt by component, and
 need no exchange at all. A component that is too large is cut into bands of levels: a node's level is estimated by its distance from
-the start along one edge into each node (jumps that double), and bands are ranges of levels with about as many nodes each; a level
+the start along one edge into each node (jumps that double), raised a few times by the levels of all edges; bands are ranges of levels with about as many nodes each; a level
 with more than that is dealt out by hash. A task works through all levels of its part that it can; only what crosses to another
 part is exchanged, and only parts that something came to are looked at again.
 """
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from corpusloom.sources.corpus import written
 
 #: Edges of a part, about; and edges that one task contracts at once.
-PART, CHUNK = 100_000, 1 << 20
+PART, CHUNK = 1 << 20, 1 << 20
+#: How often an estimated level is raised to one more than the levels before it.
+REFINED = 3
 #: Parts that one level, or one component, is cut into at most.
 MOST_CUTS = 4096
 STATE = "kind int, part int, id long, n long, value long"
@@ -110,7 +112,11 @@ def _levels(edges: DataFrame) -> DataFrame:
         on = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"), F.col("done").alias("ends"))
         moved = now.filter("not done").join(on, "to").select("id", F.col("next").alias("to"), (F.col("level") + F.col("more")).alias("level"), F.col("ends").alias("done"))
         now = written(now.filter("done").unionByName(moved))
-    return now.filter("done").select("id", "level").unionByName(starts.withColumn("level", F.lit(0).cast("long")))
+    level = now.filter("done").select("id", "level").unionByName(starts.withColumn("level", F.lit(0).cast("long")))
+    for _ in range(REFINED):
+        above = edges.join(written(level).select(F.col("id").alias("src"), F.col("level").alias("up")), "src").groupBy(F.col("dst").alias("id")).agg((F.max("up") + 1).alias("next"))
+        level = level.join(above, "id", "left").select("id", F.greatest("level", "next").alias("level"))
+    return level
 
 
 def dealt(edges: DataFrame, part: int = PART) -> tuple[DataFrame | None, DataFrame]:

@@ -173,7 +173,7 @@ def path_matches(paths: DataFrame, globs: DataFrame, path: str = "path", glob: s
     Up to most globs, and TRIE_BYTES of them, go to all tasks, where each path is walked once through a trie of them; paths are not
     shuffled to meet globs. Beyond that they are joined. What is found is held against the globs' regular expressions.
     """
-    paths, table = paths.select(path).distinct(), globs.select(glob).distinct()
+    paths, table = paths.select(path).distinct(), globs.select(glob).filter(F.col(glob).isNotNull()).distinct()
     size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(glob)), F.lit(0))).first()
     if size[0] > most or size[1] > TRIE_BYTES:
         return _joined_matches(paths, table, path, glob)
