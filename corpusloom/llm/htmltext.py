@@ -4,10 +4,15 @@ A page is parsed once, by one pass over its tags, into blocks of text and the su
 from its children's and the range of blocks that it holds. Subtrees are counted by host in Spark, and those that recur on many
 different pages of a host are the site's template; copies of one page count once. Their blocks are deleted. What never is main
 text by its element, or by a class, id or role that names its purpose, is left out from the start. If the page marks its article
-(article, main, role=main), the text is what is left inside; otherwise what is left of the body.
+(article, main, role=main) and the marks hold at least half of the text that is not left out, the text is what is left inside.
+Otherwise marks are ignored until the template is gone; if they hold half of the rest then, the text is what is inside, else all of it.
 
 A name counts as a purpose only as a whole (`sidebar`, `ad-slot`, but not `no-sidebar` or `share-price`), never on a paragraph
-or heading, never on what holds the marked article, and, but for comments, never on what holds most of the page's text.
+or heading, never on what holds the marked article, and, but for comments, never on what holds most of the page's text. An
+article named as a comment is one, and marks nothing. A label stays where it stands in a line of other text.
+
+Quotes in a tag count only after an equals sign, and only if a space, a slash, a quote or the tag's end follows the second one;
+any other quote is a character, so that a tag ends at the first `>` after it.
 
 Inside a marked article only containers (div, section, aside, lists, tables) can be template, never its headings and
 paragraphs, so a sentence that many pages quote stays.
@@ -52,39 +57,49 @@ BESIDE = frozenset(
 BESIDE_SOFT = frozenset("post posts article articles entry story stories content user reader reader's".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 SOFT = COMMENTS | frozenset("ad ads advert adverts sponsored related recommended share sharing social newsletter".split())
-NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=/"'>]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-PLAIN = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+PLAIN = frozenset("html body main p h1 h2 h3 h4 h5 h6".split())
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+"[^"]*"(?=[\s/>"']|\Z)|=\s*+'[^']*'(?=[\s/>"']|\Z)|[^>])*+)(?:>|\Z)""", re.S)
+
 
+def names(attrs: str) -> list[tuple[str, str]]:
+    """(attribute, name) of each name in class, id and role."""
+    return [(kind.lower(), name) for kind, value in ATTRIBUTE.findall(attrs) if kind.lower() in ("class", "id", "role") for name in value.strip("\"'").split()]
 
-def purpose(tag: str, attrs: str) -> str | None:
-    """'comments', 'other', or None: what the names of an element say that it is."""
-    if not attrs or tag in PLAIN:
+
+def purpose(tag: str, given: list[tuple[str, str]]) -> str | None:
+    """'comments', 'other', or None: what the names of an element say that it is. An article can only be comments."""
+    if not given or tag in PLAIN:
         return None
     found = None
-    for kind, value in NAMES.findall(attrs):
-        for token in value.strip("\"'").split():
-            words = {w.lower() for w in WORDS.findall(token)}
-            named = words & PURPOSE
-            rest = {w for w in words - PURPOSE if not w.isdigit()}
-            if named and rest <= (BESIDE | BESIDE_SOFT if named & SOFT else BESIDE):
-                if named & COMMENTS:
-                    return "comments"
-                found = "other"
+    for _, token in given:
+        words = {w.lower() for w in WORDS.findall(token)}
+        named = words & PURPOSE
+        rest = {w for w in words - PURPOSE if not w.isdigit()}
+        if named and rest <= (BESIDE | BESIDE_SOFT if named & SOFT else BESIDE):
+            if named & COMMENTS:
+                return "comments"
+            found = None if tag == "article" else "other"
     return found
 
 
 class Node:
-    """An element: parts are its texts and children's hashes in order, size the characters of text that it holds."""
+    """An element: parts are its texts and children's hashes in order, size the characters of text that it holds, line those that
+    stand in it without a block or label of their own, block the element that counts them."""
 
-    __slots__ = ("tag", "attrs", "parent", "parts", "size", "mains", "hash", "inside", "gone", "first", "stop", "articles")
+    __slots__ = ("tag", "attrs", "parent", "parts", "size", "line", "block", "named", "heading", "role", "mains", "hash", "inside", "gone", "first", "stop", "articles")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list[str] = []
-        self.size, self.hash, self.articles = 0, 0, 0
-        main = tag in ("article", "main") or 'role="main"' in attrs.lower()
+        self.size, self.line, self.hash, self.articles = 0, 0, 0, 0
+        self.block = self if parent is None or tag in BLOCK or tag == "label" else parent.block
+        given = names(attrs) if attrs else []
+        self.named = purpose(tag, given)
+        self.heading = any(name.lower() == "header" for _, name in given)
+        self.role = any(kind == "role" and name.lower() == "main" for kind, name in given)
+        main = (tag in ("article", "main") or self.role) and self.named != "comments"
         self.mains = int(main)
         self.inside = main or (parent is not None and parent.inside)
         self.gone = False
@@ -115,6 +130,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[str, Node, str | None]]]:
         if folded := " ".join(text.split()):
             stack[-1].parts.append(folded)
             stack[-1].size += len(folded)
+            stack[-1].block.line += len(folded)
 
     def close(k: int) -> None:
         for node in reversed(stack[k:]):
@@ -204,61 +220,83 @@ def leave_out(nodes: list[Node]) -> None:
     half = nodes[0].size / 2
     for node in nodes[1:]:
         up = node.parent
-        named = purpose(node.tag, node.attrs)
+        named = node.named
         if named and (node.mains or named != "comments" and node.size > half):
             named = None
-        if named and up.inside and not up.gone and re.search(r"""["'\s=]header["'\s>]?""", node.attrs) and named != "comments":
+        if named and up.inside and not up.gone and node.heading and named != "comments":
             named = None  # an article's own heading
         never = node.tag in NEVER
         if node.tag == "form" and (node.mains or node.size > half):
             never = False  # the page's wrapper
         if node.tag == "header" and up.inside and not named:
             never = False  # an article's own heading
+        if node.tag == "label" and up.block.line:
+            never = False  # a part of a sentence
         node.gone = up.gone or never or named is not None
 
 
-def can_be_template(node: Node) -> bool:
-    if node.inside:
-        return node.tag in CONTAINERS and not (node.tag == "div" and 'role="main"' in node.attrs)
+def can_be_template(node: Node, marked: bool) -> bool:
+    if marked and node.inside:
+        return node.tag in CONTAINERS and not (node.tag == "div" and node.role)
     return node.tag in BLOCK and node.tag not in ("html", "body")
 
 
-def page(source: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
-    """The blocks of text of a page that could be main text, character references resolved and white space folded; and (hash,
-    first block, block after the last, marked articles) of each subtree that could be template, parents first."""
+def most(inside: list[bool], sizes: list[int]) -> bool:
+    """Whether what is inside holds at least half of all."""
+    held = sum(n for i, n in zip(inside, sizes) if i)
+    return held > 0 and 2 * held >= sum(sizes)
+
+
+def page(source: str) -> tuple[list[str], list[tuple[int, int, int, int]], list[bool]]:
+    """The blocks of text of a page that could be main text, character references resolved and white space folded; (hash,
+    first block, block after the last, marked articles) of each subtree that could be template, parents first; and for each block
+    whether it is inside a marked article. If marks hold most of the text, only what is inside is given."""
     nodes, events = parse(source)
     leave_out(nodes)
-    marked = any(n.inside and not n.gone for n in nodes)
+    texts = [(node.inside, len(" ".join(text.split()))) for text, node, what in events if what is None and not node.gone]
+    marked = most([i for i, _ in texts], [n for _, n in texts])
     blocks: list[str] = []
+    inside: list[bool] = []
     now: list[str] = []
+    held = False
     for text, node, what in [*events, ("", nodes[0], BREAK)]:
         if what is None:
             if not node.gone and (node.inside or not marked):
                 now.append(text)
+                held = held or node.inside
             continue
         if now:
             if block := " ".join(html_lib.unescape("".join(now)).split()):
                 blocks.append(block)
-            now = []
+                inside.append(held)
+            now, held = [], False
         if what == OPEN:
             node.first = len(blocks)
         elif what == CLOSE:
             node.stop = len(blocks)
-    for node in nodes[1:]:
+    for node in nodes[1:] if marked else ():
         if node.inside and not node.parent.inside and not node.gone and node.first < node.stop:
             up: Node | None = node
             while up is not None:
                 up.articles += 1
                 up = up.parent
-    subtrees = [(_signed(n.hash), n.first, n.stop, n.articles) for n in nodes[1:] if not n.gone and 0 <= n.first < n.stop and can_be_template(n)]
-    return blocks, subtrees
+    subtrees = [(_signed(n.hash), n.first, n.stop, n.articles) for n in nodes[1:] if not n.gone and 0 <= n.first < n.stop and can_be_template(n, marked)]
+    return blocks, subtrees, inside
 
 
-def strip(blocks: list[str], subtrees: list[tuple[int, int, int, int]], template: set[int] | frozenset[int]) -> str:
+def strip(blocks: list[str], subtrees: list[tuple[int, int, int, int]], inside: list[bool], template: set[int] | frozenset[int]) -> str:
     """The text without the blocks of subtrees that are template; the page's last marked article never goes with what is around
-    it or is it."""
+    it or is it. If marks hold most of what is left, it is what they hold."""
+    left = kept(subtrees, len(blocks), template)
+    if most([inside[k] for k in left], [len(blocks[k]) for k in left]):
+        left = [k for k in left if inside[k]]
+    return "\n".join(blocks[k] for k in left)
+
+
+def kept(subtrees: list[tuple[int, int, int, int]], n: int, template: set[int] | frozenset[int]) -> list[int]:
+    """The numbers of the n blocks that no template holds."""
     if not template:
-        return "\n".join(blocks)
+        return list(range(n))
     left = 0
     until = 0
     for _, first, stop, articles in subtrees:  # outermost ones
@@ -271,32 +309,33 @@ def strip(blocks: list[str], subtrees: list[tuple[int, int, int, int]], template
         if 0 < articles == left:
             continue
         left -= articles
-        out += blocks[at:first]
+        out += range(at, first)
         at = until = stop
-    return "\n".join(out + blocks[at:])
+    return [*out, *range(at, n)]
 
 
 _SUBTREE = pa.struct([("h", pa.int64()), ("first", pa.int32()), ("stop", pa.int32()), ("articles", pa.int32())])
-_PARSED = "blocks array<string>, texts array<long>, subtrees array<struct<h: long, first: int, stop: int, articles: int>>"
+_PARSED = "blocks array<string>, texts array<long>, subtrees array<struct<h: long, first: int, stop: int, articles: int>>, inside array<boolean>"
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, url, k1, k2, html) to what page() finds, with the blocks' hashes."""
     for batch in batches:
-        blocks, texts, subtrees = [], [], []
+        blocks, texts, subtrees, marks = [], [], [], []
         for source in batch.column(4):
-            b, trees = page(source.as_py() or "")
+            b, trees, inside = page(source.as_py() or "")
             blocks.append(b)
+            marks.append(inside)
             texts.append([_signed(_hash(t)) for t in b])
             subtrees.append([dict(zip(("h", "first", "stop", "articles"), t)) for t in trees])
-        cols = [pa.array(blocks, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64())), pa.array(subtrees, pa.list_(_SUBTREE))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["page_id", "url", "k1", "k2", "blocks", "texts", "subtrees"])
+        cols = [pa.array(blocks, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.int64())), pa.array(subtrees, pa.list_(_SUBTREE)), pa.array(marks, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["page_id", "url", "k1", "k2", "blocks", "texts", "subtrees", "inside"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blocks, subtrees, hashes = (batch.column(c).to_pylist() for c in (2, 3, 4))
-        got = [strip(b, [tuple(t.values()) for t in trees] if h else [], set(h or ())) for b, trees, h in zip(blocks, subtrees, hashes)]
+        blocks, subtrees, inside, hashes = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
+        got = [strip(b, [tuple(t.values()) for t in trees] if h else [], i, set(h or ())) for b, trees, i, h in zip(blocks, subtrees, inside, hashes)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], ["page_id", "url", "text"])
 
 
@@ -344,7 +383,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     named = pages.select("page_id", "url", F.xxhash64(host(F.col("url"))).alias("k1"), F.xxhash64("html").alias("k2"), "html")
     parsed = materialize(named.mapInArrow(_pages, f"page_id {kinds['page_id']}, url {kinds['url']}, k1 long, k2 long, {_PARSED}"), "pages")
     found = materialize(templates(parsed, min_pages, min_share, enough), "templates")
-    out = join_hot(parsed, found, ["k1", "k2"]).select("page_id", "url", "blocks", "subtrees", "hashes")
+    out = join_hot(parsed, found, ["k1", "k2"]).select("page_id", "url", "blocks", "subtrees", "inside", "hashes")
     return out.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 

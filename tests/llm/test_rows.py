@@ -303,6 +303,67 @@ def test_names_of_purpose():
     assert parsed('<form id="page"><div class="sidebar"><article><h1>t</h1><p>body</p></article></div><label>x</label></form>') == "t\nbody"
 
 
+def test_marks_that_hold_little():
+    story = "".join(f"<p>Paragraph {i} of the story.</p>" for i in range(20))
+    told = "\n".join(f"Paragraph {i} of the story." for i in range(20))
+    assert parsed(f'<div class="story">{story}</div><article><p>Teaser.</p></article>') == f"{told}\nTeaser."
+    assert parsed(f"<article>{story}<article><p>Nested.</p></article></article><p>Outside.</p>") == f"{told}\nNested."
+    for role in ('role="main"', "role='main'", "role=main", "ROLE = Main"):
+        assert parsed(f"<div {role}>{story}</div><p>Outside.</p>") == told, role
+    assert parsed(f'<article>{story}<article class="comment"><p>Me too.</p></article></article>') == told
+    assert parsed(f'<main>{story}<section id="comments"><article class="comment"><p>Me too.</p></article></section></main>') == told
+    assert parsed(f'<article class="post">{story}</article>') == told and parsed("<article></article><p>All.</p>") == "All."
+
+
+def test_quotes_in_tags():
+    assert parsed("<a title=it's>Hello</a><p>I don't know > that.</p>") == "Hello\nI don't know > that."
+    assert parsed('<p class="a>Lost text</p>') == "Lost text" and parsed('<p>a<img alt="x"" src="y">b</p>') == "ab"
+    assert parsed('<p class="a>Lost</p><p class="b">and "said" found</p>') == 'Lost\nand "said" found'
+    assert parsed("""<p title="a > b" data-x='<i>"</i>'>kept</p>""") == "kept" and parsed("<p title = 'a>b'/>c") == "c"
+    assert parsed('<p title="said class=comments">kept</p><div title="x class=sidebar y">too</div>') == "kept\ntoo"
+    for page in ('<p a="' * 20_000, "<p a=' =" * 20_000, "<p " + "= " * 100_000, "<p " + "a" * 300_000, "<p class" + " " * 300_000 + "x", '="' * 100_000 + "<b " + '="' * 100_000):
+        began = time.time()
+        htmltext.page(page)
+        assert time.time() - began < 3, page[:20]
+
+
+def test_labels():
+    assert parsed("<p>One <label>two</label> three.</p>") == "One two three." and parsed("<div><label>Name</label><input></div><p>text</p>") == "text"
+    assert parsed("<form><p>Your <label>name</label></p></form><p>text</p>") == "text" and parsed("<p><span>One <b><label>two</label></b></span></p>") == "One two"
+
+
+def test_marks_against_whole_trees(spark):
+    """Pages without marks, with teasers, and with articles in articles, each text on one page alone but for a menu on all."""
+    r = random.Random(12)
+    pages, n = [], iter(range(10**6))
+    some = lambda k: "".join(f"<p>{prose(r, r.randint(1, 9))} {next(n)}</p>" for _ in range(k))
+    for _ in range(80):
+        inner = f"<article>{some(r.randint(0, 2))}</article>" if r.random() < 0.4 else ""
+        parts = [f"<div>{some(r.randint(0, 4))}</div>", *(f"<{t}>{some(r.randint(0, 4))}{inner}</{t}>" for t in r.choices(("article", "main", "div"), k=r.randint(0, 3)))]
+        r.shuffle(parts)
+        pages.append(f"<body><div><ul><li>home</li><li>about this site and its many other pages</li></ul></div>{''.join(parts)}</body>")
+
+    def walk(node, inside, held=False):
+        for c in node[1]:
+            if isinstance(c, str):
+                if not c.startswith(("home", "about this")):
+                    held.append((inside, c))
+            else:
+                walk(c, inside or c[0] in ("article", "main"), held)
+        return held
+
+    want = []
+    for html in pages:
+        t = Tree()
+        t.feed(html)
+        texts = walk(t.stack[0], False, [])
+        held = sum(len(c) for inside, c in texts if inside)
+        want.append("\n".join(c for inside, c in texts if inside or not held or 2 * held < sum(len(x) for _, x in texts)))
+    rows = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumns({"inside": F.lit("own"), "texts": F.lit(1), "hashes": F.lit(2)})
+    got = {x.page_id: x.text for x in htmltext.extract(rows).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+
+
 def test_deep_pages_are_quick():
     for page in ("<div>" * 3000 + "x" + "</div>" * 3000, "<div>" * 3000 + "</b>" * 3000 + "<p>x<i>" * 3000, "<span>" * 3000 + "<div>x</div>" * 3000, "<li>x" * 9000):
         began = time.time()
