@@ -143,10 +143,12 @@ def memo_lookup(files: DataFrame, memo: DataFrame) -> DataFrame:
     return files.join(known, "file_key", "left").withColumn("hit", hit).withColumn("hash", F.when(hit, F.col("__hash"))).drop("__tag", "__hash")
 
 
-def latest_records(records: DataFrame, idle_runs: int = 32) -> DataFrame:
-    """Of each file_key the record of the highest (tier, seq), without those not seen in the last idle_runs epochs."""
+def latest_records(records: DataFrame, idle_runs: int = 32, newest: int | None = None) -> DataFrame:
+    """Of each file_key the record of the highest (tier, seq), without those not seen in the last idle_runs epochs before the
+    newest: that of the records, if none is given."""
     last = records.groupBy("file_key").agg(F.max_by(F.struct("stat_tag", "content_hash", "epoch"), F.struct("tier", "seq")).alias("r")).select("file_key", "r.*")
-    newest = records.agg(F.max("epoch")).first()[0]
+    if newest is None:
+        newest = records.agg(F.max("epoch")).first()[0]
     return last.filter(F.col("epoch") + idle_runs >= (newest or 0))
 
 

@@ -72,6 +72,24 @@ def memo_runs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read_memo(spark, path)
 
 
+def memo_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Files recorded by micro-batches of a stream, two of which come again after a compaction; of the files in question only."""
+    path = _scratch(spark, "memo")
+    e = _table(spark, d, "events").select(F.col("event_id").alias("file_key"))
+
+    def batch(n: int, keep: str, tag: int, epoch: int) -> None:
+        records = e.filter(keep).select("file_key", F.lit(tag).cast("long").alias("stat_tag"), F.concat(F.lit(f"h{tag}-"), "file_key").alias("content_hash"), F.lit(epoch).cast("long").alias("epoch"))
+        corpus.append_memo(records, path, ("stream", n))
+
+    batch(0, "true", 1, 1)
+    batch(1, "file_key % 100 = 0", 2, 2)
+    corpus.compact_memo(spark, path)
+    batch(0, "true", 1, 1)
+    batch(1, "file_key % 100 = 0", 2, 2)
+    batch(2, "file_key % 100 in (0, 1) and file_key % 200 <> 0", 3, 3)
+    return corpus.read_memo(spark, path, keys=e.filter("file_key % 50 in (0, 1, 2)"))
+
+
 def read_content(spark: SparkSession, d: str) -> DataFrame:
     """Turns as files, some with bytes that are no text, and some above a size."""
     t = _table(spark, d, "conversations")
@@ -275,7 +293,7 @@ def outside_links(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        snapshot_json, snapshot_tsv, params_diff, manifest_rounds, run_counts, memo_runs, read_content, file_info, relative_fingerprint, access_log, denied_paths, grants, search_capped,
+        snapshot_json, snapshot_tsv, params_diff, manifest_rounds, run_counts, memo_runs, memo_replay, read_content, file_info, relative_fingerprint, access_log, denied_paths, grants, search_capped,
         search_summary, edit_targets, block_edit, find_by_name, list_directory, environment_text, requested_paths, literal_first, task_signatures, world_outputs, stale_excludes, first_of_path,
         file_keys, ordered_output, media_types, request_cap, chunked_fingerprint, select_all, playlist_json, outside_links,
     )
@@ -301,6 +319,8 @@ ORACLE = {
     "run_counts": "SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS hits, count(*) FILTER (o_orderstatus = 'O') AS executed, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS failed FROM orders",
     "memo_runs": """SELECT event_id AS file_key, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS stat_tag, CASE WHEN event_id % 5 = 0 THEN 'h2-' ELSE 'h1-' END || event_id AS content_hash,
       CASE WHEN event_id % 5 = 0 THEN 40 ELSE 20 END::BIGINT AS epoch FROM events WHERE event_id % 5 = 0 OR event_id % 3 = 0""",
+    "memo_replay": """WITH t AS (SELECT event_id AS file_key, CASE WHEN event_id % 100 IN (0, 1) AND event_id % 200 <> 0 THEN 3 WHEN event_id % 100 = 0 THEN 2 ELSE 1 END::BIGINT AS stat_tag FROM events WHERE event_id % 50 IN (0, 1, 2))
+      SELECT file_key, stat_tag, 'h' || stat_tag || '-' || file_key AS content_hash, stat_tag AS epoch FROM t""",
     "read_content": r"""WITH t AS (SELECT '/turns/' || conv_id || '/' || turn AS path, text, turn % 3 AS m, encode(text) || CASE turn % 3 WHEN 1 THEN '\xFF\xFE'::BLOB WHEN 2 THEN '\x00'::BLOB ELSE ''::BLOB END AS content FROM conversations)
       SELECT path, CASE WHEN octet_length(content) <= 600 THEN CASE m WHEN 0 THEN 'text' ELSE 'base64' END END AS kind, CASE WHEN octet_length(content) <= 600 THEN CASE m WHEN 0 THEN text ELSE base64(content) END END AS text,
       CASE WHEN octet_length(content) > 600 THEN 'larger than 600 bytes' END AS error FROM t""",

@@ -6,7 +6,6 @@ import json
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths as P
 from corpusloom.operators import identity
 from corpusloom.plans import globs as G
+from corpusloom.sources.memo import append_memo, compact_memo, read_memo  # noqa: F401
 
 #: A string or a comment, which stays as it is, or a comma before a closing bracket, comments between them or not.
 COMMA = r'("(?:[^"\\]++|\\.)*+"|//[^\n]*+|/\*(?s:.*?)\*/)|,((?:\s|//[^\n]*+\n|/\*(?s:.*?)\*/)*+[\]}])'
@@ -187,69 +187,3 @@ def read_manifest(spark: SparkSession, path: str, version: int, playlist: str, a
     if not newest or tuple(newest[0])[2:] != (version, playlist, algorithm):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/data/{newest[0].generation}")
-
-
-#: Runs after which the epoch of a record that is seen again is renewed; below the runs after which it would be evicted.
-RENEW = 16
-
-
-def append_memo(records: DataFrame, path: str) -> None:
-    """Appends a run's records (file_key, stat_tag, content_hash, epoch) to a memo's log, without those it already holds.
-
-    A record that is held, but was last written more than RENEW runs ago, is written again with its new epoch, so that a file
-    that every run sees is never evicted, and a run without changes writes little or nothing. A memo is a base of one row a
-    file and a log of runs; one writer at a time.
-    """
-    spark = records.sparkSession
-    key = ["file_key", "stat_tag", "content_hash"]
-    new = records.groupBy(*key).agg(F.max("epoch").alias("epoch"))
-    known = read_memo(spark, path).select(*key, F.col("epoch").alias("__known"))
-    new = new.join(known, key, "left").filter(F.col("__known").isNull() | (F.col("epoch") > F.col("__known") + RENEW)).drop("__known")
-    generation = _memo_generation(spark, path)
-    new.withColumn("seq", F.lit(time.time_ns())).write.mode("append").parquet(f"{path}/log/{generation}")
-
-
-def read_memo(spark: SparkSession, path: str, idle_runs: int = 32) -> DataFrame:
-    """(file_key, stat_tag, content_hash, epoch): the latest record of each file, the log before the base. No rows without a memo."""
-    return identity.latest_records(_memo_records(spark, path, _memo_generation(spark, path)), idle_runs)
-
-
-def compact_memo(spark: SparkSession, path: str, share: float = 0.25) -> bool:
-    """Rewrites base and log as a new base if the log holds more than share of the base's rows. The new generation counts from
-    when its line is published, so a run that is lost half-way leaves the old one in force."""
-    old = _memo_generation(spark, path)
-    records = _memo_records(spark, path, old)
-    sizes = {r.tier: r.n for r in records.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
-    if sizes.get(1, 0) <= share * sizes.get(0, 0):
-        return False
-    generation = uuid.uuid4().hex
-    identity.latest_records(records).withColumn("seq", F.lit(0).cast("long")).write.parquet(f"{path}/base/{generation}")
-    spark.createDataFrame([(generation, time.time_ns())], "generation string, at long").coalesce(1).write.mode("append").json(f"{path}/published")
-    return True
-
-
-MEMO = "file_key long, stat_tag long, content_hash string, epoch long, seq long"
-
-
-def _memo_generation(spark: SparkSession, path: str) -> str:
-    newest = _if_there(lambda: spark.read.schema("generation string, at long").json(f"{path}/published").orderBy(F.desc("at")).limit(1).collect())
-    return newest[0].generation if newest else "first"
-
-
-def _memo_records(spark: SparkSession, path: str, generation: str) -> DataFrame:
-    out = spark.createDataFrame([], MEMO + ", tier int")
-    for tier, name in enumerate(("base", "log")):
-        part = _if_there(lambda: spark.read.schema(MEMO).parquet(f"{path}/{name}/{generation}"))
-        if part is not None:
-            out = out.unionByName(part.withColumn("tier", F.lit(tier)))
-    return out
-
-
-def _if_there(read: Callable):
-    """What read gives, or None if its path does not exist."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -127,5 +128,12 @@ def changes(arrivals: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def append_memo(stream: DataFrame, path: str, checkpoint: str):
-    """Appends the records (file_key, stat_tag, content_hash, epoch) of each micro-batch to a memo, as sources.append_memo() does."""
-    return stream.writeStream.foreachBatch(lambda batch, _: corpus.append_memo(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends the records (file_key, stat_tag, content_hash, epoch) of each micro-batch to a memo, as sources.append_memo() does.
+    A micro-batch that is run again changes nothing. A stream is known by the id in its checkpoint, so that another one in the
+    same place is not taken for it."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        stream_id = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        corpus.append_memo(batch, path, (stream_id, n))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -275,7 +275,7 @@ def test_memo_and_lists(spark, tmp_path):
     corpus.append_memo(_table(spark, record, (1, 1, "a", 1), (2, 1, "b", 1), (2, 1, "b", 1)), path)
     corpus.append_memo(_table(spark, record, (1, 2, "c", 2), (2, 1, "b", 2)), path)
     want = [(1, 2, "c", 2), (2, 1, "b", 1)]
-    assert rows(corpus.read_memo(spark, path)) == want and spark.read.parquet(f"{path}/log/first").count() == 3
+    assert rows(corpus.read_memo(spark, path)) == want and spark.read.option("recursiveFileLookup", True).parquet(f"{path}/log").count() == 3
     assert corpus.compact_memo(spark, path) and not corpus.compact_memo(spark, path)
     assert rows(corpus.read_memo(spark, path)) == want
     corpus.append_memo(_table(spark, record, (1, 3, "d", 40)), path)
@@ -340,12 +340,54 @@ def test_memo_renews_epochs(spark, tmp_path):
         corpus.append_memo(_table(spark, record, (1, 1, "a", epoch)), path)
     assert rows(corpus.read_memo(spark, path)) == [(1, 1, "a", 40)]
     corpus.append_memo(_table(spark, record, (1, 1, "a", 41)), path)
-    assert spark.read.parquet(f"{path}/log/first").count() == 3  # a run soon after writes nothing
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{path}/log").count() == 3  # a run soon after writes nothing
     q = actions.append_memo(spark.readStream.schema(record).json(str(_json(tmp_path, {"file_key": 2, "stat_tag": 1, "content_hash": "b", "epoch": 41}))), path, str(tmp_path / "c"))
     q.awaitTermination(60)
     assert rows(corpus.read_memo(spark, path)) == [(1, 1, "a", 40), (2, 1, "b", 41)]
 
 
+def test_memo_buckets_and_batches(spark, tmp_path):
+    path, record = str(tmp_path / "memo"), "file_key long, stat_tag long, content_hash string, epoch long"
+    run = lambda keys, tag, epoch: _table(spark, record, *((k, tag, f"h{k}-{tag}", epoch) for k in keys))
+    corpus.append_memo(run(range(200), 1, 1), path, ("s", 0), buckets=8)
+    corpus.append_memo(run(range(0, 200, 50), 2, 2), path, ("s", 1))
+    want = rows(corpus.read_memo(spark, path))
+    assert {r for r in want if r[1] == 2} == {(k, 2, f"h{k}-2", 2) for k in (0, 50, 100, 150)} and len(want) == 200
+    for n in (0, 1):  # an older batch must not come back over a newer one, whatever it holds
+        corpus.append_memo(run(range(200), 1, 1), path, ("s", n))
+        assert rows(corpus.read_memo(spark, path)) == want
+    assert corpus.compact_memo(spark, path)
+    corpus.append_memo(run(range(200), 1, 1), path, ("s", 0))
+    assert rows(corpus.read_memo(spark, path)) == want and not corpus.compact_memo(spark, path)
+    corpus.append_memo(run([7], 3, 3), path, ("t", 0))  # another stream has numbers of its own
+    one = corpus.read_memo(spark, path, keys=_table(spark, "file_key long", (7,), (7,), (10**9,)))
+    assert rows(one) == [(7, 3, "h7-3", 3)]
+    folders = {f.split("/bucket=")[1].split("/")[0] for f in one.inputFiles()}
+    assert len(folders) <= 2 and len({f.split("/bucket=")[1].split("/")[0] for f in corpus.read_memo(spark, path).inputFiles()}) == 8
+    # a run that was lost before its line, and whatever else no line names, is not read; its batch is written anew
+    half = hashlib.md5(b"1 t").hexdigest()
+    run([9], 9, 9).withColumns({"seq": F.lit(1 << 62), "bucket": F.lit(0)}).write.partitionBy("bucket").parquet(f"{path}/log/{half}")
+    assert (9, 1, "h9-1", 1) in rows(corpus.read_memo(spark, path))
+    corpus.append_memo(run([9], 4, 4), path, ("t", 1))
+    assert (9, 4, "h9-4", 4) in rows(corpus.read_memo(spark, path)) and len(list((tmp_path / "memo/log" / half).glob("bucket=*"))) == 1
+    corpus.append_memo(_table(spark, record), path)
+    corpus.append_memo(_table(spark, record, (None, 1, None, None), (None, 2, "x", 4)), path)
+    assert len(rows(corpus.read_memo(spark, path).filter("file_key is null"))) <= 1 and corpus.read_memo(spark, path).count() >= 200
+
+
+def test_memo_streams_again(spark, tmp_path):
+    path, record = str(tmp_path / "memo"), "file_key long, stat_tag long, content_hash string, epoch long"
+    source = str(_json(tmp_path, {"file_key": 2, "stat_tag": 1, "content_hash": "b", "epoch": 1}))
+    for checkpoint, tag in (("a", 1), ("a", 5), ("b", 1)):
+        q = actions.append_memo(spark.readStream.schema(record).json(source), path, str(tmp_path / checkpoint))
+        q.awaitTermination(60)
+        assert rows(corpus.read_memo(spark, path)) == [(2, max(tag, 1), "b" if tag == 1 else "z", 1)]
+        corpus.append_memo(_table(spark, record, (2, 5, "z", 1)), path)
+        commits = sorted((tmp_path / "a/commits").glob("0*"))
+        for f in [*commits, *(tmp_path / "a/commits").glob(".0*")]:  # as if it had been lost before it was noted
+            f.unlink()
+
+
 def _json(tmp_path, row):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text(json.dumps(row))
