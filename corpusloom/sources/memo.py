@@ -11,9 +11,11 @@ records fall into; a bucket is compacted by itself. A memo has one writer at a t
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -125,8 +127,8 @@ def _write(rows: DataFrame, path: str) -> dict[int, tuple[int, int]]:
 
 
 def _publish(spark: SparkSession, path: str, lines: list[dict]) -> None:
-    names = [f.split()[0] for f in LINE.split(", ")]
-    spark.createDataFrame([tuple(x.get(c) for c in names) for x in lines], LINE).coalesce(1).write.mode("append").json(f"{path}/published")
+    rows = F.from_json(F.lit(json.dumps(lines)), "array<struct<" + LINE.replace(" ", ": ").replace(",: ", ", ") + ">>")
+    spark.range(1).select(F.inline(rows)).coalesce(1).write.mode("append").json(f"{path}/published")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -150,11 +152,8 @@ def _records(spark: SparkSession, path: str, state: _State, buckets: Iterable[in
     buckets = list(buckets)
     base = [f"{path}/base/{state.bases[b][0]}/bucket={b}" for b in buckets if state.bases[b][0]]
     log = [f"{path}/log/{run}/bucket={b}" for b in buckets for run, _ in state.log(b)]
-    out = spark.createDataFrame([], f"{RECORD}, tier int")
-    for tier, paths in enumerate((base, log)):
-        if paths:
-            out = out.unionByName(spark.read.schema(RECORD).parquet(*paths).withColumn("tier", F.lit(tier)))
-    return out
+    parts = [spark.read.schema(RECORD).parquet(*paths).withColumn("tier", F.lit(tier)) for tier, paths in enumerate((base, log)) if paths]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{RECORD}, tier int")
 
 
 def _if_there(read: Callable):
