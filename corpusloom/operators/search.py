@@ -163,19 +163,22 @@ def template(new: str, groups: int) -> str:
 LOOKS_ON = re.compile(r"\(\?[=!<]|\\[bBzZAG]|[$^]")
 
 
-def replace_first(text: Column, pattern: str, parts: list[str | int], limit: int) -> tuple[Column, Column]:
-    """text with the first matches replaced, and whether a match is empty (which this form can't place).
+def replace_first(rows: DataFrame, pattern: str, parts: list[str | int], limit: int) -> tuple[DataFrame, Column, Column]:
+    """rows with columns `__*` of their own, their text with the first matches replaced, and whether a match is empty (which this
+    form can't place).
 
     split() stops after the last match that counts; groups are read from the text up to there, or from the whole text if the
-    pattern looks beyond a match.
+    pattern looks beyond a match. Both are columns, since what stands inside a lambda is evaluated for each element.
     """
-    pieces = F.split(text, pattern, limit + 1)
+    text, pieces, head = F.col("text"), F.col("__pieces"), F.col("__head")
     body = re.sub(r"^\(\?[a-z]+\)", "", pattern)
-    head = text if LOOKS_ON.search(body) else F.when(F.size(pieces) > 1, F.left(text, F.length(text) - F.length(F.element_at(pieces, -1)))).otherwise(F.lit(""))
-    found = {g: F.regexp_extract_all(head, F.lit(pattern), F.lit(g)) for g in {0, *(x for x in parts if isinstance(x, int))}}
-    put = lambda i: [F.get(found[x], i) if isinstance(x, int) else F.lit(x) for x in parts]
+    up_to = text if LOOKS_ON.search(body) else F.when(F.size(pieces) > 1, F.left(text, F.length(text) - F.length(F.element_at(pieces, -1)))).otherwise(F.lit(""))
+    groups = {0, *(x for x in parts if isinstance(x, int))}
+    rows = rows.withColumn("__pieces", F.split(text, pattern, limit + 1)).withColumn("__head", up_to)
+    rows = rows.withColumns({f"__group{g}": F.regexp_extract_all(head, F.lit(pattern), F.lit(g)) for g in groups})
+    put = lambda i: [F.get(f"__group{x}", i) if isinstance(x, int) else F.lit(x) for x in parts]
     each = F.transform(pieces, lambda p, i: F.when(i < F.size(pieces) - 1, F.concat(p, *put(i))).otherwise(p))
-    return F.array_join(each, ""), F.exists(found[0], lambda x: x == "")
+    return rows, F.array_join(each, ""), F.exists("__group0", lambda x: x == "")
 
 
 def _block(text: str) -> list[str]:
@@ -226,6 +229,7 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
     indentation. A regular expression with a limit above 1 that matches an empty text is an error.
     """
     out = files.withColumn("error", F.lit(None).cast("string"))
+    columns = out.columns
     for k, e in enumerate(edits):
         old, new, limit = e["old"], e["new"], e.get("limit", 1)
         flags = ("i" if e.get("ignore_case") else "") + ("m" if e.get("regex") else "")
@@ -239,7 +243,7 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
         if limit in (0, 1):
             done = F.regexp_replace(text, pattern, java_new) if e.get("regex") or e.get("ignore_case") else F.replace(text, F.lit(old), F.lit(new))
         elif e.get("regex") or e.get("ignore_case"):
-            done, empty = replace_first(text, pattern, template_parts(new, groups) if e.get("regex") else [new], limit)
+            out, done, empty = replace_first(out, pattern, template_parts(new, groups) if e.get("regex") else [new], limit)
         else:
             done = F.concat_ws(new, F.split(text, pattern, limit + 1))
         if limit == 1 and not flags and re.search(r"\n|^[ \t]", old):
@@ -253,7 +257,8 @@ def apply_edits(files: DataFrame, edits: list[dict]) -> DataFrame:
         if limit == 1:
             problem = problem.when(n > 1, F.concat(F.lit(f"edit {k}: "), n.cast("string"), F.lit(" matches")))
         fresh = F.col("error").isNull()
-        out = out.withColumn("__p", F.when(fresh, problem)).withColumn("text", F.when(fresh & F.col("__p").isNull(), done).otherwise(text)).withColumn("error", F.coalesce("error", "__p")).drop("__p", "__each", "__at")
+        out = out.withColumn("__p", F.when(fresh, problem)).withColumn("text", F.when(fresh & F.col("__p").isNull(), done).otherwise(text)).withColumn("error", F.coalesce("error", "__p"))
+        out = out.select(*(f"`{c}`" for c in columns))
     return out
 
 
