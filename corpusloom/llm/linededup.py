@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, discard, materialize, table
 
-#: A repeated run counts from so many lines on (a power of two), and a single line from so many words on.
+#: A repeated run counts from so many lines on, and a single line from so many words on.
 MIN_LINES, MIN_WORDS = 2, 10
 _BLANKS = " \t\n\x0b\f\r"
 LAST_ID = (1 << 63) - 1
@@ -52,7 +52,11 @@ def _ranked(groups: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def later_copies(sequence: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(u, i, reach, level): for each repeated line, how many lines from it on are a later copy (0: none), and the last
-    round in which its suffix had a twin."""
+    round in which its suffix had a twin.
+
+    If min_lines is no power of two, the round of the greatest one below it also counts the windows of min_lines lines: the
+    ranks of a window's first and last 2 ** k lines, which overlap, are its key.
+    """
     place = F.struct("d", "f", "u", "i")
     first = _ranked(sequence.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")), ["h1", "h2"], "line-ranks")
     later = place != F.col("origin")
@@ -63,6 +67,15 @@ def later_copies(sequence: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         step = 1 << level
         ahead = Window.partitionBy("u").orderBy("i").rangeBetween(step, step)
         pairs = active.withColumn("next", F.first("rank").over(ahead))
+        least = step < min_lines < 2 * step
+        if least:
+            end = Window.partitionBy("u").orderBy("i").rangeBetween(min_lines - step, min_lines - step)
+            pairs = active.withColumns({"next": F.first("rank").over(ahead), "end": F.first("rank").over(end)})
+            windows = pairs.filter("end is not null").groupBy(F.col("rank").alias("from"), F.col("end").alias("to")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("source"))
+            windows = materialize(windows.filter("n > 1").drop("n"), "line-windows")
+            pairs = pairs.join(windows, (F.col("rank") == F.col("from")) & (F.col("end") == F.col("to")), "left").drop("end", "from", "to")
+            pairs = materialize(pairs.withColumn("reach", F.when(place != F.col("source"), min_lines).otherwise(F.col("reach"))).drop("source"), "line-pairs")
+            read += [windows, pairs]
         groups = pairs.filter("next is not null").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin"))
         ranks = _ranked(groups.withColumnRenamed("rank", "head"), ["head", "next"], "line-ranks")
         joined = pairs.join(ranks.withColumnRenamed("next", "tail"), (F.col("head") == pairs["rank"]) & (F.col("tail") == F.col("next")), "left")
@@ -112,6 +125,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, report: bool = False, min
 
     report: columns n_lines, n_removed and n_runs are added.
     """
+    if min_lines < 1:
+        raise ValueError(f"min_lines must be 1 or more, not {min_lines}")
     placed = _placed(docs)
     runs = removed_runs(placed, min_lines, min_words).withColumnRenamed("u", "__u").withColumnRenamed("runs", "__runs")
     rows = placed.join(runs, F.col("u") == F.col("__u"), "left").withColumn("__units", _units(F.col("text")))

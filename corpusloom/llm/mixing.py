@@ -57,6 +57,8 @@ def mix(docs: DataFrame, size: Column | None = None, keep: list[str] = (), **opt
     apart); ties in id are broken by size, then by row. An empty table gives an empty result; of other columns of docs only those
     of keep are read, and returned too.
     """
+    if options.get("most", 2.0) > 2:
+        raise ValueError("two copies of a document have positions: most must be 2 or less")
     words = n_words(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), words.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *keep)

@@ -118,7 +118,7 @@ def brute_lines(rows, min_lines=2, min_words=10):
     return [None if us is None else "\n".join(u for i, u in enumerate(us) if i not in gone[d]) for d, us in enumerate(units)]
 
 
-@pytest.mark.parametrize("min_lines, min_words", [(2, 10), (4, 3), (1, 1)])
+@pytest.mark.parametrize("min_lines, min_words", [(2, 10), (4, 3), (1, 1), (3, 99), (5, 99), (6, 3), (7, 99)])
 def test_lines_by_row(spark, min_lines, min_words):
     r = random.Random(min_lines)
     pool = [prose(r, r.choice([1, 2, 4, 12])) for _ in range(14)]
@@ -287,6 +287,14 @@ def test_schedule(spark):
     assert all(abs(t - n) <= 1 for t, n in taken.items())
 
 
+def test_more_than_two_copies_are_refused(spark):
+    rows = spark.createDataFrame([(1, "one two", "s")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="most"):
+        mixing.mix(rows, share=3.0, most=3.0)
+    with pytest.raises(ValueError, match="min_lines"):
+        linededup.dedup(rows, 0)
+
+
 # web pages
 
 
