@@ -7,8 +7,11 @@ leaf's vectors exactly and passes on the nearest few for each query.
 
 Equal vectors are one entry of the index, named by two hashes of the vector, with the few smallest ids that could ever be among
 the nearest; a vector with very many copies does not swell a leaf, is asked for once, and nothing is lost. Leaves above a size
-are split by salt. The forest deepens with the index up to DEPTH levels, which bounds what is broadcast; beyond that its leaves
-grow with the index.
+are split by salt. The forest deepens with the index up to DEPTH levels and NORMAL_BYTES, which bound what is broadcast; beyond that
+its leaves grow with the index.
+
+How much of the index a query has to look at is measured: the exact neighbours of some probes are found in one pass, and the queue
+of each probe tells how far it has to go for each of them. Vectors in clusters take little, vectors without structure most of it.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import join_hot, materialize, table
 
 #: Nearest to return; trees; vectors that the trees are fitted on, at most about; of the index in a leaf, and levels of a tree at
-#: most; vectors that a query looks at, about, as a share of the index and at least; rows of a leaf in one task. Queries whose
-#: findings a task holds.
+#: most; vectors that a query looks at, at least; rows of a leaf in one task. Queries whose findings a task holds. Bytes of a forest's
+#: directions. Probes that measure how far to look, and the share of their neighbours that must be found.
 TASK_QUERIES = 50_000
-NEAREST, TREES, SAMPLE, LEAF, DEPTH, LOOK_SHARE, LOOK_LEAST, SALT_ROWS = 10, 12, 20_000, 128, 12, 0.8, 6_000, 20_000
+NEAREST, TREES, SAMPLE, LEAF, DEPTH, LOOK_LEAST, SALT_ROWS = 10, 12, 20_000, 128, 12, 6_000, 20_000
+NORMAL_BYTES = 64 << 20
+PROBES, RECALL = 64, 0.96
 
 
 class Forest:
@@ -36,7 +41,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, size: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
         rng = np.random.default_rng(seed)
         n, dim = sample.shape
-        self.depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, size / leaf))))))
+        self.depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, size / leaf))))), max(0, int(np.log2(max(1, NORMAL_BYTES / (4 * trees * dim))))))
         inner = (1 << self.depth) - 1
         self.normals = np.zeros((trees, inner, dim), np.float32)
         self.cuts = np.zeros((trees, inner), np.float32)
@@ -102,21 +107,51 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float | None = LOOK_SHARE, least: int = LOOK_LEAST) -> DataFrame:
+def measured(entries: DataFrame, probes: np.ndarray, forest: Forest, sizes: np.ndarray, k: int = NEAREST, recall: float = RECALL) -> int:
+    """How many vectors a query has to look at, repeats over trees counted, so that this share of the probes' k nearest is found; the
+    size of the index at most."""
+    shared = entries.sparkSession.sparkContext.broadcast(probes)  # PROBES vectors
+    kind = entries.schema["v"].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column(0)).astype(np.float64)
+            for p, q in enumerate(shared.value):
+                d = np.sqrt(((m - q) ** 2).sum(axis=1))
+                at = np.argsort(d, kind="stable")[: k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(d[at]), batch.column(0).take(pa.array(at))], ["probe", "score", "v"])
+
+    found = entries.select("v").mapInArrow(near, f"probe int, score double, v {kind}")
+    by = Window.partitionBy("probe").orderBy("score")
+    best = found.withColumn("n", F.row_number().over(by)).filter(F.col("n").between(2, k + 1)).select("probe", "v").toPandas()  # PROBES * k; the first is the probe
+    total = int(sizes[0].sum())
+    need = []
+    for p, rows in best.groupby("probe"):
+        order = forest.search(probes[p].astype(np.float32), sizes, total)
+        before = np.concatenate(([0], np.cumsum([sizes[x] for x in order])))
+        place = {x: int(b) for x, b in zip(order, before)}
+        leaves = forest.leaves(np.array(rows["v"].tolist(), np.float32))
+        need += [min((place.get((t, int(leaf)), total) for t, leaf in enumerate(each)), default=total) + 1 for each in leaves]
+    return min(total, int(np.quantile(need, recall, method="higher"))) if need else total
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float | str | None = "measured", least: int = LOOK_LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where queries holds, the k nearest other rows found, by Euclidean distance.
 
-    look: the share of the index that a query looks at, repeats over trees counted, and at least `least` vectors; None looks at
-    every vector once, which is exact. Rows that usable() leaves out are neither queries nor candidates. Rows equal in id and
-    vector are one. Rows that share an id but not the vector are queries and candidates of their own, so such an id may come
-    twice. Ties go to the smaller id. A table with a single usable row, or none, gives no rows. Columns other than vec_id and
+    look: the share of the index that a query looks at, repeats over trees counted, and at least `least` vectors; "measured" lets
+    measured() choose it; None looks at every vector once, which is exact. Rows that usable() leaves out are neither queries nor
+    candidates. Rows equal in id and vector ask once, and each is a candidate of the other. Rows that share an id but not the
+    vector are queries and candidates of their own. So an id may come twice. Ties go to the smaller id. A table with a single usable row, or none, gives no rows. Columns other than vec_id and
     embedding are not read but by queries.
     """
     rows = usable(vectors, F.coalesce(queries, F.lit(False)).alias("asked"))
     kind = rows.schema["v"].dataType.simpleString()
     named = lambda df: df.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
     # the k + 1 smallest ids of a vector; Spark drops later rows before the shuffle
-    few = named(rows.select("vec_id", "v")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    entry = few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.collect_set("vec_id").alias("ids"))
+    few = named(rows.select("vec_id", "v")).withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    entry = few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.collect_list("vec_id").alias("ids"))
     entries = materialize(entry, "ann-entries")
     n = entries.count()
     asked = materialize(named(rows.filter("asked")).select("vec_id", "h1", "h2").distinct(), "ann-asked")
@@ -145,7 +180,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float |
         sizes[r["tree"], r["leaf"]] = r["n"]
     salts = -(-sizes // SALT_ROWS)
     known = context.broadcast((sizes, salts))
-    enough = None if look is None else max(least, int(look * n))
+    if look == "measured":
+        enough = least if n <= least else max(least, measured(entries, np.array(sample[:PROBES], np.float64), forest, sizes, k))
+    else:
+        enough = None if look is None else max(least, int(look * n))
     used = 1 if look is None else TREES
     names = ["tree", "leaf", "salt", "asked", "h1", "h2", "least", "v"]
     schema = f"tree int, leaf int, salt int, asked boolean, h1 long, h2 long, least long, v {kind}"
@@ -244,7 +282,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, look: float |
     each = each.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy("score", "vec_id", "h1", "h2"))).filter(F.col("n") <= k + 1)
     answers = each.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", own.alias("own")))).alias("near"))
     answers = materialize(answers.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "near"), "ann-answers")
-    others = F.slice(F.filter("near", lambda x: ~(x["own"] & (x["vec_id"] == F.col("query_id")))), 1, k)
+    self_ = F.array_position(F.transform("near", lambda x: x["own"] & (x["vec_id"] == F.col("query_id"))), True).cast("int")  # the query's own row; 0: not among them
+    others = F.slice(F.when(self_ > 0, F.concat(F.slice("near", F.lit(1), self_ - 1), F.slice("near", self_ + 1, F.lit(k + 1)))).otherwise(F.col("near")), 1, k)
     out = join_hot(asked.withColumnRenamed("vec_id", "query_id"), answers, ["h1", "h2"], "inner").select("query_id", F.posexplode(others).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 

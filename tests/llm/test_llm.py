@@ -66,11 +66,12 @@ def test_nearest(spark):
     for q in neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(q.query_id, []).append((q.vec_id, q.score))
     assert sorted(got) == list(range(0, 400, 50))
+    y, ids = np.vstack((x, x[100:101])).astype(float), np.array([*range(400), 100])  # of vector 100 there are two rows
     for q, found in got.items():
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
         d[q] = np.inf
-        best = np.lexsort((np.arange(400), d))[:10]
-        assert [f[0] for f in found] == best.tolist() and np.allclose([f[1] for f in found], d[best], rtol=1e-12)
+        best = np.lexsort((ids, d))[:10]
+        assert [f[0] for f in found] == ids[best].tolist() and np.allclose([f[1] for f in found], d[best], rtol=1e-12)
     assert not neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).collect()
 
 
