@@ -95,8 +95,11 @@ def file_uri(path: Column) -> Column:
 
 
 def iso_utc(ns: Column) -> Column:
-    """Nanoseconds since 1970 as ISO 8601 in UTC, to the second; the session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(F.floor(ns / F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Nanoseconds since 1970 (long, or decimal beyond the year 2262) as ISO 8601 in UTC, to the second; the session's time zone must
+    be UTC. Whole numbers all through: a double no longer tells the seconds of late times apart."""
+    second = F.lit(1_000_000_000)
+    whole = F.call_function("div", ns, second)
+    return F.date_format(F.timestamp_seconds(F.when(ns % second < 0, whole - 1).otherwise(whole)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def expand(text: Column, env: dict[str, str], strict: bool = True) -> Column:

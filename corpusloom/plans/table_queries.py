@@ -102,7 +102,7 @@ def file_info(spark: SparkSession, d: str) -> DataFrame:
     """Orders as files with every mode there is."""
     k = F.col("o_orderkey")
     kind = F.when(k % 5 == 0, "directory").when(k % 7 == 0, "symlink").otherwise("file")
-    entries = _table(spark, d, "orders").select(F.concat(F.lit("/o/"), k.cast("string")).alias("path"), kind.alias("kind"), F.round("o_totalprice").cast("long").alias("size"), (k * 1_000_007_000_000).alias("mtime_ns"), ((k * 37) % 4096).alias("mode"))
+    entries = _table(spark, d, "orders").select(F.concat(F.lit("/o/"), k.cast("string")).alias("path"), kind.alias("kind"), F.round("o_totalprice").cast("long").alias("size"), (k.cast("decimal(20,0)") * 1_000_007_000_000).alias("mtime_ns"), ((k * 37) % 4096).alias("mode"))
     return select.info(entries)
 
 
