@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
-from corpusloom.operators import lineage
+from corpusloom.operators import incremental, lineage
+from corpusloom.plans import queries
 
 
 def test_times_far_from_1970_keep_their_seconds(spark):
@@ -85,3 +86,34 @@ def test_many_globs_of_a_directory_meet_few_paths(spark, monkeypatch):
     compiled = lineage.compiled
     monkeypatch.setattr(lineage, "compiled", lambda g, c: compiled(g, c).withColumn("regex", F.lit("(?s).*")))
     assert lineage.path_matches(table(paths, "path"), table(globs[:n], "glob"), most=0).count() == n
+
+
+def test_forecast_numbers_and_trims_its_edges_once(spark, monkeypatch):
+    tasks = spark.createDataFrame([(i, f"s{i}", "in", "out", False) for i in range(9)], "task_id long, signature string, world_in string, world_out string, missing_output boolean")
+    edge, made, numbered = spark.createDataFrame([(i, i + 1) for i in range(7)], "src long, dst long"), [], lineage._numbered
+    monkeypatch.setattr(lineage, "_numbered", lambda *a: made.append(1) or numbered(*a))
+    got = {r.task_id: (r.wave, r.hit, r.may_change) for r in incremental.forecast(tasks, tasks.filter("task_id <> 4").select("signature", "world_in", "world_out"), edge).collect()}
+    assert len(made) == 1 and got == {i: (i if i < 8 else 0, i != 4, 4 < i < 8) for i in range(9)}
+
+
+def test_edges_are_put_together_without_sorting_reasons(spark):
+    rows = [(1, 1, "output", "/A"), (2, 2, "input", "/a"), (3, 3, "input", "/a/b"), (4, 4, "output", "/a/c"), (5, 5, "input", "/?"), (6, 6, "mutating", "/a")]
+    found = lineage.edges(spark.createDataFrame(rows, "task_id long, seq long, role string, path string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "explicit"), (1, 3, "ancestor"), (1, 4, "implicit"), (1, 5, "glob"), (1, 6, "maker"), (2, 6, "reader"), (5, 6, "reader")]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_a_glob(spark):
+    names = ["/a", "/a*", "/?", "/[ab]", "/[ab", "/\\[a", "/x{1,2}", "/@(a)", "/+(a", "/a@b", "/a!(b)", "/[!]]", "/[]", "/*[", "", "/(a)", None]
+    bare = F.regexp_replace(F.regexp_replace("n", r"\\.", ""), r"\[[!^]?\]?[^\]]*\]", "")
+    whole = F.col("n").rlike(r"[*?\[{]|[@+!]\(") & ~bare.contains("[")
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    got = table.select(P.is_glob(F.col("n")).alias("g"), whole.alias("whole")).collect()
+    assert [r.g for r in got] == [r.whole for r in got] and {r.g for r in got} == {True, False, None}
+    assert "RLIKE" not in table.select(P.is_glob(F.col("n")))._jdf.queryExecution().toString().upper()
+
+
+def test_tasks_without_customers_are_those_of_the_filter(spark):
+    d = "/root/testdata/sf0.001"
+    want = queries.task_paths(spark, d).filter("path not like '/customer/%'")
+    assert sorted(map(tuple, queries.task_paths(spark, d, customers=False).collect())) == sorted(map(tuple, want.collect()))
