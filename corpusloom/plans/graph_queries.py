@@ -82,8 +82,10 @@ def playlist_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def static_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks that wait for nothing: nothing leads to them in the factored edges either, and these grow with the declarations, not as pairs do."""
     tasks = lineage.written(_tasks(spark, d))
-    return lineage.static_tasks(tasks, lineage.edges(lineage.paths_of(tasks)))
+    edge = factored.factored(factored.relations(lineage.paths_of(tasks)))
+    return factored.static_tasks(tasks, edge)
 
 
 def task_degrees(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
-from corpusloom.operators import incremental, lineage
-from corpusloom.plans import queries
+from corpusloom.operators import factored, incremental, lineage
+from corpusloom.plans import graph_queries, queries
 
 
 def test_times_far_from_1970_keep_their_seconds(spark):
@@ -117,3 +117,15 @@ def test_tasks_without_customers_are_those_of_the_filter(spark):
     d = "/root/testdata/sf0.001"
     want = queries.task_paths(spark, d).filter("path not like '/customer/%'")
     assert sorted(map(tuple, queries.task_paths(spark, d, customers=False).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_static_tasks_need_no_pairs(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    tasks = graph_queries._tasks(spark, d)
+    want = {r.task_id for r in lineage.static_tasks(tasks, lineage.edges(lineage.paths_of(tasks))).collect()}
+    rows = [(1, 1, "output", "/a"), (1, 1, "input", "/a"), (2, 2, "output", "/a"), (2, 2, "input", "/b"), (3, 3, "output", "/*"), (3, 3, "input", "/c"), (4, 4, "mutating", "/d"), (4, 4, "output", "/e"), (5, 5, "input", "/d"), (6, 6, "mutating", "/z")]
+    odd = spark.createDataFrame(rows, "task_id long, seq long, role string, path string")
+    plain = {r.task_id for r in lineage.static_tasks(odd, lineage.edges(odd)).collect()}
+    assert {r.task_id for r in factored.static_tasks(odd, factored.factored(factored.relations(odd))).collect()} == plain
+    monkeypatch.setattr(lineage, "edges", None)
+    assert {r.task_id for r in graph_queries.static_tasks(spark, d).collect()} == want
