@@ -65,6 +65,19 @@ def typed_option(options, key: str, kind: str):
     return F.lower(v).try_cast("boolean") if kind == "boolean" else v.try_cast(kind)
 
 
+def _drained(waiting: dict[int, str | None], expected: int, over_gaps: bool) -> tuple[int, list[tuple[int, str]]]:
+    """What can be emitted of waiting, which is taken out of it, and the index that is expected then. Over gaps, the indexes are sorted
+    once: to look for the least of those left, again and again, costs the square of a batch."""
+    out, order = [], iter(sorted(waiting) if over_gaps else ())
+    while waiting and (over_gaps or expected in waiting):
+        i = next(order) if over_gaps else expected
+        text = waiting.pop(i)
+        expected = i + 1
+        if text is not None:
+            out.append((i, text))
+    return expected, out
+
+
 def in_order(rows: DataFrame, timeout: str = "10 minutes") -> DataFrame:
     """rows (batch, action_index, text, kind) to (batch, action_index, text, late), each batch in the order of its index.
 
@@ -83,15 +96,6 @@ def in_order(rows: DataFrame, timeout: str = "10 minutes") -> DataFrame:
             waiting = dict(zip(indexes, texts))
         closed = state.hasTimedOut
 
-        def drain(over_gaps: bool) -> None:
-            nonlocal expected
-            while waiting and (over_gaps or expected in waiting):
-                i = min(waiting) if over_gaps else expected
-                text = waiting.pop(i)
-                expected = i + 1
-                if text is not None:
-                    out.append((key[0], i, text, False))
-
         if not closed:
             for pdf in batches:
                 for i, text, kind in zip(pdf["action_index"], pdf["text"], pdf["kind"]):
@@ -101,7 +105,8 @@ def in_order(rows: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                         out.append((key[0], int(i), text, True))
                     else:
                         waiting[int(i)] = None if kind == "none" else text
-        drain(closed)
+        expected, ready = _drained(waiting, expected, closed)
+        out.extend((key[0], i, text, False) for i, text in ready)
         if closed:
             if state.exists:
                 state.remove()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths as P
 from corpusloom.operators import factored, incremental, lineage
 from corpusloom.plans import graph_queries, queries
+from corpusloom.streaming import actions
 
 
 def test_times_far_from_1970_keep_their_seconds(spark):
@@ -129,3 +130,17 @@ def test_static_tasks_need_no_pairs(spark, monkeypatch):
     assert {r.task_id for r in factored.static_tasks(odd, factored.factored(factored.relations(odd))).collect()} == plain
     monkeypatch.setattr(lineage, "edges", None)
     assert {r.task_id for r in graph_queries.static_tasks(spark, d).collect()} == want
+
+
+def test_closing_a_batch_is_no_square():
+    class Counted(dict):
+        looks = 0
+
+        def __iter__(self):
+            self.looks += 1
+            return super().__iter__()
+
+    waiting = Counted((i, None if i % 3 else f"t{i}") for i in range(2000, 0, -2))
+    assert actions._drained(waiting, 0, True) == (2001, [(i, f"t{i}") for i in range(2, 2001, 2) if i % 3 == 0]) and waiting.looks == 1 and not waiting
+    waiting = {0: "a", 1: None, 3: "b"}
+    assert actions._drained(waiting, 0, False) == (2, [(0, "a")]) and waiting == {3: "b"}
