@@ -67,8 +67,7 @@ def stream_arrivals(spark: SparkSession, d: str) -> DataFrame:
     out = _scratch(spark, "arrived")
     found = actions.changes(actions.arriving(spark, root), old)
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", _scratch(spark, "arrivals-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{root}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tree.remove_tree(spark, root)
     rows = spark.read.schema(found.schema).parquet(out)
     return rows.select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), "size", "hash", "change")
 

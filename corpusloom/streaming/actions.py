@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import identity
-from corpusloom.sources import corpus
+from corpusloom.sources import arrivals, corpus
 
 LINE = r"^[\x00-\x20]*\[([^\]]*)\](.)(.*)$"
 ACTIONS = ("clone", "copy", "move", "hardlink", "symlink", "create", "delete", "edit", "read", "list", "tree", "info", "glob", "execute", "echo", "start", "wait")
@@ -52,8 +53,24 @@ def sink(parsed: DataFrame, good: str, bad: str, checkpoint: str, strict: bool =
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Tasks that a batch of arriving files is dealt to, at most.
+MOST_SLICES = 256
+
+
 def arriving(spark: SparkSession, directory: str, algorithm: str = "sha256") -> DataFrame:
-    """(path, size, mtime_ns, hash) of files as they appear below a directory: a stream without state."""
+    """(path, size, mtime_ns, hash) of files as they appear below a directory, each path once: a stream without state.
+
+    If the directory and spark.checkpoint.dir are mounted, tasks list and read what is new, and what has come is logged below the
+    latter, which a stream that goes on from its checkpoint needs. Otherwise Spark's file source does it, in which all paths go
+    through the driver.
+    """
+    log = f"{corpus.shared_dir(spark)}/corpusloom/arrived"
+    mounted = [re.sub("^file:/*", "/", p) for p in (directory, log)]
+    if all(p.startswith("/") for p in mounted):
+        spark.dataSource.register(arrivals.Arrivals)
+        slices = min(MOST_SLICES, 4 * spark.sparkContext.defaultParallelism)
+        files = spark.readStream.format(arrivals.NAME).options(directory=mounted[0], log=mounted[1], slices=str(slices)).load()
+        return files.select("path", "size", "mtime_ns", identity.content_hash(F.col("content"), algorithm).alias("hash"))
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(directory)
     path = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
     return files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), identity.content_hash(F.col("content"), algorithm).alias("hash"))

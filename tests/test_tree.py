@@ -112,3 +112,17 @@ def test_base_that_is_a_link(spark):
     got = links.follow(spark.createDataFrame(rows, "path string, kind string, target string"), "/r").select("path", "base").collect()
     assert {tuple(r) for r in got} == {("/r/l", "/r"), ("/s/d", None), ("/t/f", "/t")}
     assert links.follow(spark.createDataFrame(rows, "path string, kind string, target string"), "/s/d").filter(F.col("path") == "/s/d/f").count() == 1
+
+
+def test_remove_tree(spark, tmp_path):
+    """All goes, by tasks; what links lead to stays."""
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "kept" / "f").write_text("x")
+    for i in range(200):
+        (tmp_path / "t" / f"d{i % 3}" / "e").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / f"d{i % 3}" / "e" / f"{i}").write_text("x")
+    (tmp_path / "t" / "dir").symlink_to(tmp_path / "kept")
+    (tmp_path / "t" / "file").symlink_to(tmp_path / "kept" / "f")
+    tree.remove_tree(spark, str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists() and (tmp_path / "kept" / "f").read_text() == "x"
+    tree.remove_tree(spark, str(tmp_path / "none"))
