@@ -37,6 +37,14 @@ def dirname(path: Column) -> Column:
     return F.when(F.regexp_extract(path, "^(.*)/[^/]+$", 1) == "", F.lit("/")).otherwise(F.regexp_extract(path, "^(.*)/[^/]+$", 1))
 
 
+def above(path: Column) -> Column:
+    """The last of the ancestors of an absolute path; null if it has none."""
+    plain = path.startswith("/") & ~path.contains("//") & ~path.endswith("/")
+    p = parts(path)
+    long = F.when(F.size(p) > 1, F.concat(F.lit("/"), F.concat_ws("/", F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))))))
+    return F.when(plain, F.nullif(F.regexp_extract(path, "(?s)^(.*)/", 1), F.lit(""))).otherwise(long)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"[^.]\.([^.]+)$", 1))
 
@@ -120,10 +128,11 @@ def expand(text: Column, env: dict[str, str], strict: bool = True) -> Column:
     if not strict:
         values = F.transform(values, lambda v: F.coalesce(v, F.lit("")))
     out = F.aggregate(F.zip_with(pieces, values, lambda p, v: F.struct(p.alias("p"), v.alias("v"))), F.lit(""), lambda a, x: F.concat(a, F.coalesce(x["p"], F.lit("")), F.coalesce(x["v"], F.lit(""))))
+    plain = ~text.contains("${") if strict else ~(text.contains("${") | text.contains("$("))  # most texts, which cost nothing then
     if not strict:
-        return out
+        return F.when(plain, text).otherwise(out)
     unclosed = F.regexp_replace(text, r"\$\{[^}]*\}", "").contains("${")
-    return F.when(F.exists(values, lambda v: v.isNull()) | unclosed, F.lit(None).cast("string")).otherwise(out)
+    return F.when(plain, text).when(F.exists(values, lambda v: v.isNull()) | unclosed, F.lit(None).cast("string")).otherwise(out)
 
 
 def local_ns(ns: Column) -> Column:

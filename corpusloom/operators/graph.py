@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,34 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def near_components(edges: DataFrame) -> DataFrame:
+    """components() of edges (a, b, at), where what is tied mostly lies near each other by at: tasks contract ranges of it, and only
+    nodes that several ranges have tie what these found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def emit() -> pa.RecordBatch:
+            nodes, root = _contract(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["id", "root"])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield emit()
+                held, n = [], 0
+        if held:
+            yield emit()
+
+    near = written(edges.repartitionByRange("at").select("a", "b").mapInArrow(run, "id long, root long"))
+    each = written(near.groupBy("id").agg(F.min("root").alias("least"), F.max("root").alias("most")))
+    shared = each.filter("least <> most").select("id", "least")
+    tied = near.join(shared, "id").filter("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct()
+    joined = components(tied)
+    return each.join(joined.select(F.col("id").alias("least"), "component"), "least", "left").select("id", F.coalesce("component", "least").alias("component"))
+
+
 def _levels(edges: DataFrame) -> DataFrame:
     """(id, level): the distance of each node from a start along one edge into each node; none for those whose edges run in circles."""
     one = edges.groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("to"))
@@ -277,6 +306,50 @@ def rounds(state: DataFrame, edges: DataFrame, work: Callable[[pa.Table, pa.Tabl
     return every.filter("kind = 0"), reduce(DataFrame.unionByName, last) if last else every.filter("kind = 1")
 
 
+def alone(edges: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What work gives of each part of edges (part, src, dst, w), where no edge leaves its part; written."""
+    return written(edges.select("part", "src", "dst", "w").groupBy("part").applyInArrow(work, schema))
+
+
+def _whole(edges: pa.Table) -> Part:
+    """A part that has all of its edges' ends; src -1 is no node."""
+    e = edges.filter(pc.greater_equal(edges.column("src"), 0))
+    return Part(edges.column("dst").to_numpy(), e.append_column("to", pa.array(np.zeros(e.num_rows, np.int32))), 0)
+
+
+def levels_of(edges: pa.Table) -> pa.Table:
+    """(id, value): the level of each node of edges, -1 of those on or behind a cycle."""
+    of = _whole(edges)
+    waits, level = np.bincount(of.dst_at, minlength=len(of.ids)), np.zeros(len(of.ids), np.int64)
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        e, from_ = of.out(ready)
+        to = of.dst_at[e]
+        np.maximum.at(level, to, level[ready][from_] + of.w[e])
+        np.subtract.at(waits, to, 1)
+        ready = np.unique(to[waits[to] == 0])
+    return pa.table({"id": of.ids, "value": np.where(waits > 0, -1, level)})
+
+
+def distances_of(edges: pa.Table) -> pa.Table:
+    """(id, value): how far the nodes that can be reached lie from those that an edge from -1 leads to."""
+    of = _whole(edges)
+    far = np.iinfo(np.int64).max
+    known = np.full(len(of.ids), far)
+    open_ = np.searchsorted(of.ids, np.unique(edges.filter(pc.less(edges.column("src"), 0)).column("dst").to_numpy()))
+    known[open_] = 0
+    while len(open_):
+        least = known[open_].min()
+        now, open_ = open_[known[open_] == least], open_[known[open_] > least]
+        e, from_ = of.out(now)
+        to, reached = of.dst_at[e], least + of.w[e]
+        before = known[to]
+        np.minimum.at(known, to, reached)
+        open_ = np.unique(np.concatenate((open_, to[known[to] < before])))
+    has = known < far
+    return pa.table({"id": of.ids[has], "value": known[has]})
+
+
 def _skipping(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """work, for parts that have a state; edges without one have nothing to say."""
 

@@ -60,7 +60,7 @@ def playlist_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _waves(spark: SparkSession, d: str) -> tuple[factored.Relations, DataFrame]:
-    tasks = lineage.written(_tasks(spark, d))
+    tasks = factored.numbered(_tasks(spark, d))
     rel = factored.relations(lineage.paths_of(tasks))
     return rel, lineage.written(factored.waves(tasks, rel))
 
@@ -77,14 +77,14 @@ def playlist_widths(spark: SparkSession, d: str) -> DataFrame:
 
 def playlist_reach(spark: SparkSession, d: str) -> DataFrame:
     """How far the tasks lie behind a change of some, over factored edges."""
-    tasks = lineage.written(_tasks(spark, d))
-    return factored.dirty(factored.relations(lineage.paths_of(tasks)), tasks.filter("seq.seq % 2400 = 1200").select("task_id"))
+    tasks = factored.numbered(_tasks(spark, d))
+    return factored.dirty(factored.relations(lineage.paths_of(tasks)), tasks.filter("seq.seq % 2400 = 1200").select("task_id", "task"))
 
 
 def static_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Tasks that wait for nothing: nothing leads to them in the factored edges either, and these grow with the declarations, not as pairs do."""
-    tasks = lineage.written(_tasks(spark, d))
-    edge = factored.factored(factored.relations(lineage.paths_of(tasks)))
+    tasks = factored.numbered(_tasks(spark, d))
+    edge = factored.edges(factored.relations(lineage.paths_of(tasks)))
     return factored.static_tasks(tasks, edge)
 
 
