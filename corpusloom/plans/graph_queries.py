@@ -56,7 +56,7 @@ def playlist_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def playlist_edges(spark: SparkSession, d: str) -> DataFrame:
-    return lineage.edges(lineage.paths_of(_tasks(spark, d)))
+    return factored.reasons(factored.relations(lineage.paths_of(factored.numbered(_tasks(spark, d)))))
 
 
 def _waves(spark: SparkSession, d: str) -> tuple[factored.Relations, DataFrame]:
